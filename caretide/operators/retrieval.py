@@ -24,37 +24,48 @@ def _unit(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return m / np.where(zero, 1.0, norms)[:, None], zero
 
 
+def _first(keys: np.ndarray, k: int) -> np.ndarray:
+    """Column positions of the ``k`` smallest keys of each row, equal keys in column order."""
+    if k == keys.shape[1]:
+        return np.argsort(keys, axis=1, kind="stable")
+    part = np.sort(np.argpartition(keys, k - 1, axis=1)[:, :k], axis=1)
+    values = np.take_along_axis(keys, part, axis=1)
+    best = np.take_along_axis(part, np.argsort(values, axis=1, kind="stable"), axis=1)
+    tied = (keys <= values.max(axis=1)[:, None]).sum(axis=1) > k
+    best[tied] = np.argsort(keys[tied], axis=1, kind="stable")[:, :k]
+    return best
+
+
 def block_top_k(k: int, step: int = 256):
-    """Top ``k`` of one block of protocols for one chunk of queries."""
+    """Top ``k`` of one block of protocols for one chunk of queries, ordered by layer, kind, distance, id."""
 
     def run(queries: pd.DataFrame, protocols: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or protocols.empty:
             return pd.DataFrame(columns=["query_id", "layer", "id", "kind", "distance"])
+        protocols = protocols.sort_values("id", kind="stable")
         layer, ids = protocols["layer"].to_numpy(), protocols["id"].to_numpy()
-        p_missing = protocols["embedding"].isna().to_numpy()
-        q_missing = queries["embedding"].isna().to_numpy()
         p, p_zero = _unit(protocols["embedding"])
         q, q_zero = _unit(queries["embedding"])
-        id_rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-        take = min(k, len(ids))
+        p_missing, q_missing = protocols["embedding"].isna().to_numpy(), queries["embedding"].isna().to_numpy()
         out = []
         for at in range(0, len(q), step):
-            distance = np.round(1.0 - q[at : at + step] @ p.T, DISTANCE_DIGITS)
-            for row, d in enumerate(distance, start=at):
-                kind = np.where(p_missing | q_missing[row], _NULL, np.where(p_zero | q_zero[row], _NAN, _NUMBER))
-                d = np.where(kind == _NUMBER, d, 0.0)
-                best = np.lexsort((id_rank, d, kind, layer))[:take]
-                out.append(
-                    pd.DataFrame(
-                        {
-                            "query_id": queries["query_id"].iat[row],
-                            "layer": layer[best],
-                            "id": ids[best],
-                            "kind": kind[best],
-                            "distance": d[best],
-                        }
-                    )
+            rows = slice(at, at + step)
+            distance = np.round(1.0 - q[rows] @ p.T, DISTANCE_DIGITS)
+            kind = np.where(q_zero[rows, None] | p_zero, _NAN, _NUMBER)
+            kind = np.where(q_missing[rows, None] | p_missing, _NULL, kind)
+            distance = np.where(kind == _NUMBER, distance, 0.0)
+            best = _first(layer * 100.0 + kind * 10.0 + distance, min(k, len(ids)))
+            out.append(
+                pd.DataFrame(
+                    {
+                        "query_id": np.repeat(queries["query_id"].to_numpy()[rows], best.shape[1]),
+                        "layer": layer[best].ravel(),
+                        "id": ids[best].ravel(),
+                        "kind": np.take_along_axis(kind, best, axis=1).ravel(),
+                        "distance": np.take_along_axis(distance, best, axis=1).ravel(),
+                    }
                 )
+            )
         return pd.concat(out, ignore_index=True)
 
     return run
