@@ -1,25 +1,18 @@
-"""Table and message schemas. Nothing is ever inferred from data."""
+"""Table and message schemas as DDL. Nothing is ever inferred from data."""
 
-from pyspark.sql import types as T
+ENCOUNTERS_JSON = ("encounter_text STRING, patient_id STRING, category STRING")
 
-
-def _ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-ENCOUNTERS_JSON = _ddl("encounter_text STRING, patient_id STRING, category STRING")
-
-ENVELOPE = _ddl(
+ENVELOPE = (
     "message STRUCT<data: STRING, message_id: STRING, publish_time: STRING>, subscription STRING"
 )
 
-PROTOCOLS = _ddl(
+PROTOCOLS = (
     "id STRING, title STRING, content STRING, embedding ARRAY<FLOAT>, source_type STRING, "
     "specialty STRING, effective_date DATE, expiry_date DATE, version INT, hospital_id STRING, "
     "created_at TIMESTAMP, updated_at TIMESTAMP"
 )
 
-AUDIT_TRAIL = _ddl(
+AUDIT_TRAIL = (
     "encounter_id STRING, node_name STRING, model_used STRING, routing_category STRING, "
     "routing_confidence DOUBLE, input_tokens BIGINT, output_tokens BIGINT, cost_usd DOUBLE, "
     "reasoning_snapshot STRING, compliance_flags ARRAY<STRING>, sentinel_hallucination_score DOUBLE, "
@@ -27,18 +20,18 @@ AUDIT_TRAIL = _ddl(
     "created_at TIMESTAMP"
 )
 
-CLASSIFIER_FEEDBACK = _ddl(
+CLASSIFIER_FEEDBACK = (
     "encounter_id STRING, original_category STRING, corrected_category STRING, "
     "classifier_confidence DOUBLE, reviewer_id STRING, created_at TIMESTAMP"
 )
 
-TRIAGE_APPROVALS = _ddl(
+TRIAGE_APPROVALS = (
     "id STRING, encounter_id STRING, triage_level STRING, confidence_score DECIMAL(4,3), "
     "reasoning_summary STRING, status STRING, clinician_id STRING, clinician_notes STRING, "
     "submitted_at TIMESTAMP, reviewed_at TIMESTAMP, sla_deadline TIMESTAMP"
 )
 
-ENCOUNTER_AUDIT = _ddl(
+ENCOUNTER_AUDIT = (
     "id STRING, encounter_id STRING, patient_id_encrypted STRING, node_name STRING, model_used STRING, "
     "input_tokens INT, output_tokens INT, cost_usd DECIMAL(10,8), reasoning_snapshot STRING, "
     "compliance_flags ARRAY<STRING>, duration_ms INT, created_at TIMESTAMP"
