@@ -1,16 +1,18 @@
 """JSON held as VARIANT: presence tests, typed members and JSON-Schema checks as expressions."""
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from caretide import settings as S
 
 
+def is_object(value: Column) -> Column:
+    return F.schema_of_variant(value).startswith("OBJECT")
+
+
 def parse_object(text: Column) -> Column:
     """The JSON object in ``text``; NULL for bad JSON and for anything but an object."""
     value = F.try_parse_json(text)
-    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
+    return F.when(is_object(value), value)
 
 
 def member(obj: Column, name: str) -> Column:
@@ -54,13 +56,13 @@ def string_member(obj: Column, name: str) -> Column:
 
 # --- JSON Schema -> expression ---------------------------------------------
 
-_KIND_TESTS = {
-    "object": lambda k: k.startswith("OBJECT"),
-    "array": lambda k: k.startswith("ARRAY"),
-    "string": lambda k: k == "STRING",
-    "boolean": lambda k: k == "BOOLEAN",
-    "number": is_number,
-    "null": lambda k: k == "VOID",
+_KINDS = {
+    "object": "OBJECT.*",
+    "array": "ARRAY.*",
+    "string": "STRING",
+    "boolean": "BOOLEAN",
+    "number": "(?:BIGINT|DOUBLE|FLOAT|DECIMAL.*)",
+    "null": "VOID",
 }
 
 
@@ -68,53 +70,71 @@ def _no_errors() -> Column:
     return F.array().cast("array<string>")
 
 
-def _either(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)
+def _is(kind: Column, *names: str) -> Column:
+    return kind.rlike("^(?:" + "|".join(_KINDS[n] for n in names) + ")$")
 
 
-def _item_errors(schema: dict, path: Column):
-    return lambda item, index: schema_errors(item, schema, F.concat(path, F.lit("."), index.cast("string")))
+def _rules(root: Column, at: str, schema: dict, label: Column) -> list[tuple[bool, Column]]:
+    """(is_list, errors) in schema order; ``at`` is the member's path from ``root``.
 
-
-def schema_errors(value: Column, schema: dict, path: Column | None = None) -> Column:
-    """Every violation as ``<path> <rule>``, in schema order.
-
-    The schema is walked once while the plan is built, so the executors see one plain expression.
+    An absent member has no kind, so its rules yield nothing without further guards.
     """
-    path = F.lit("") if path is None else path
+    value = F.try_variant_get(root, at, "variant")
     kind = kind_of(value)
-    is_object, is_array = _KIND_TESTS["object"](kind), _KIND_TESTS["array"](kind)
 
-    def rule(broken: Column, text: str) -> Column:
-        return F.when(broken, F.array(F.concat(path, F.lit(text))))
+    def error(broken: Column, text: str) -> tuple[bool, Column]:
+        return False, F.when(broken, F.concat(label, F.lit(text)))
 
-    found = []
+    def typed(name: str) -> Column:
+        return F.try_variant_get(root, at, name)
+
+    found: list[tuple[bool, Column]] = []
     for keyword, arg in schema.items():
         if keyword == "type":
-            wanted = arg if isinstance(arg, list) else [arg]
-            found.append(rule(~_either([_KIND_TESTS[t](kind) for t in wanted]), " type"))
+            found.append(error(~_is(kind, *(arg if isinstance(arg, list) else [arg])), " type"))
         elif keyword == "required":
-            found += [rule(is_object & ~present(value, name), f" required:{name}") for name in arg]
+            absent = [
+                F.when(F.try_variant_get(root, f"{at}.{n}", "variant").isNull(), F.concat(label, F.lit(f" required:{n}")))
+                for n in arg
+            ]
+            found.append((True, F.when(_is(kind, "object"), F.array_compact(F.array(*absent)))))
         elif keyword == "enum":
-            text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
-            found.append(rule(~F.coalesce(text.isin(arg), F.lit(False)), " enum"))
+            known = F.coalesce((kind == "STRING") & typed("string").isin(arg), F.lit(False))
+            found.append(error(kind.isNotNull() & ~known, " enum"))
         elif keyword == "minimum":
-            found.append(rule(is_number(kind) & (F.try_variant_get(value, "$", "double") < arg), " minimum"))
+            found.append(error((typed("double") < arg) & _is(kind, "number"), " minimum"))
         elif keyword == "maximum":
-            found.append(rule(is_number(kind) & (F.try_variant_get(value, "$", "double") > arg), " maximum"))
+            found.append(error((typed("double") > arg) & _is(kind, "number"), " maximum"))
         elif keyword == "minLength":
-            size = F.char_length(F.try_variant_get(value, "$", "string"))
-            found.append(rule((kind == "STRING") & (size < arg), " minLength"))
+            found.append(error((F.char_length(typed("string")) < arg) & (kind == "STRING"), " minLength"))
         elif keyword == "items":
-            elements = F.when(is_array, F.try_variant_get(value, "$", "array<variant>"))
-
-            found.append(F.flatten(F.transform(elements, _item_errors(arg, path))))
+            found.append((True, F.flatten(F.transform(typed("array<variant>"), _item_errors(arg, label)))))
         elif keyword == "properties":
             for name, sub in arg.items():
-                child = member(value, name)
-                errors = schema_errors(child, sub, F.concat(path, F.lit(f".{name}")))
-                found.append(F.when(is_object & child.isNotNull(), errors))
-    return F.concat(*[F.coalesce(f, _no_errors()) for f in found])
+                found += _rules(root, f"{at}.{name}", sub, F.concat(label, F.lit(f".{name}")))
+    return found
+
+
+def _item_errors(schema: dict, label: Column):
+    return lambda item, index: schema_errors(item, schema, F.concat(label, F.lit("."), index.cast("string")))
+
+
+def schema_errors(value: Column, schema: dict, label: Column | None = None) -> Column:
+    """Every violation as ``<path> <rule>``, in schema order.
+
+    The schema is walked once while the plan is built, so the executors see one plain expression.
+    """
+    parts, run = [], []
+    for is_list, errors in _rules(value, "$", schema, F.lit("") if label is None else label) + [(True, None)]:
+        if not is_list:
+            run.append(errors)
+            continue
+        if run:
+            parts.append(F.array_compact(F.array(*run)))
+            run = []
+        if errors is not None:
+            parts.append(F.coalesce(errors, _no_errors()))
+    return F.concat(*parts)
 
 
 def node_schema_errors(value: Column, node: Column) -> Column:

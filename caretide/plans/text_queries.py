@@ -73,7 +73,7 @@ _counted = " UNION ALL ".join(
 def redaction_summary(spark, d):
     """Length filter, masking, then counts by language and type: one map-side pass and one small shuffle."""
     fit = screening.filter_length(load(spark, d, "encounters").select("encounter_id", "encounter_text", "lang"), "encounter_text")
-    return R.redaction_summary(R.scan_pii(fit, "encounter_text"), "pii_redactions", ["lang"])
+    return R.redaction_summary(fit, "encounter_text", ["lang"])
 
 
 @query("filter_length", f"{ctes('encounters')} SELECT encounter_id, length(encounter_text) AS n FROM encounters WHERE length(encounter_text) BETWEEN 10 AND 50000")

@@ -9,6 +9,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly when the scan has fewer splits than there are cores, as with one small file.
+    Large tables have many splits and are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_encounters(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of encounters."""
     return spark.read.schema(schemas.ENCOUNTERS_JSON).json(path, multiLine=True)
