@@ -2,6 +2,8 @@
 
 from caretide.plans import (  # noqa: F401  (importing a module registers its queries)
     decision_queries,
+    message_queries,
+    state_queries,
     text_queries,
 )
 from caretide.plans.registry import REGISTRY

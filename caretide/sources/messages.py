@@ -8,17 +8,18 @@ from caretide.functions import variants as V
 def decode_message(df: DataFrame, data: str = "data", require: str = "present") -> DataFrame:
     """Adds ``body`` (JSON text), ``doc`` (VARIANT) and ``reject_reason`` (NULL when usable).
 
-    ``require='present'`` wants the ``encounter_id`` key; ``'truthy'`` also refuses null and ''.
+    ``require='present'`` wants the ``encounter_id`` key; ``'truthy'`` also refuses null and ''. The two columns come
+    out of a one-element ``inline``: filters on them stay above it, where otherwise every filter pushed
+    towards the scan would decode and parse the message again.
     """
     df = df.withColumn("body", F.try_validate_utf8(F.try_to_binary(F.col(data), F.lit("base64")).cast("string")))
-    df = df.withColumn("doc", V.parse_object(F.col("body")))
-    usable = V.present(F.col("doc"), "encounter_id")
+    df = df.withColumn("__json", F.try_parse_json("body"))
+    doc = F.when(V.is_object(F.col("__json")), F.col("__json"))
+    usable = V.present(F.col("__json"), "encounter_id")
     if require == "truthy":
-        usable = F.coalesce(V.get(F.col("doc"), "encounter_id", "string") != "", F.lit(False))
-    return df.withColumn(
-        "reject_reason",
-        F.when(F.col("doc").isNull(), "invalid_payload").when(~usable, "missing_encounter_id"),
-    )
+        usable = F.coalesce(V.get(F.col("__json"), "encounter_id", "string") != "", F.lit(False))
+    reason = F.when(doc.isNull(), "invalid_payload").when(~usable, "missing_encounter_id")
+    return df.select("*", F.inline(F.array(F.struct(doc.alias("doc"), reason.alias("reject_reason"))))).drop("__json")
 
 
 def flatten_envelope(df: DataFrame) -> DataFrame:

@@ -33,9 +33,10 @@ def sink_batched(stream: DataFrame, path: str, checkpoint: str, once: bool = Fal
     return _start(writer, checkpoint, once, seconds).start()
 
 
-def split_audit_batch(batch: DataFrame) -> dict[str, DataFrame]:
-    """One parsed batch to its three outputs: audit rows, feedback rows, rejects."""
-    ok, rejects = messages.decode_envelope(batch)
+def split_audit_batch(decoded: DataFrame) -> dict[str, DataFrame]:
+    """One decoded batch to its three outputs: audit rows, feedback rows, rejects."""
+    ok = decoded.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+    rejects = decoded.filter(F.col("reject_reason").isNotNull())
     audit, feedback = messages.route_events(ok)
     rows = records.flatten_audit(audit)
     feedback_rows, incomplete = records.flatten_feedback(feedback)
@@ -64,16 +65,16 @@ def audit_stream(stream: DataFrame, out: str, checkpoint: str, once: bool = Fals
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        decoded = messages.decode_message(batch).persist()
         try:
-            parts = split_audit_batch(batch)
+            parts = split_audit_batch(decoded)
             write_partitioned(parts["audit_trail"], f"{out}/audit_trail/batch={batch_id}", AUDIT_CLUSTER, mode="overwrite")
             write_partitioned(
                 parts["classifier_feedback"], f"{out}/classifier_feedback/batch={batch_id}", FEEDBACK_CLUSTER, mode="overwrite"
             )
             parts["rejects"].write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}")
         finally:
-            batch.unpersist()
+            decoded.unpersist()
 
     return _start(stream.writeStream.foreachBatch(write), checkpoint, once, seconds).start()
 
