@@ -70,9 +70,11 @@ def exact_percentile(df: DataFrame, keys: list[str], value: str, q: float, out:
     return picked.select(*keys, (F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * F.col("__frac")).alias(out))
 
 
-def p99_latency(logs: DataFrame, series: list[str], exact: bool = True, bucket_ms: float = 100.0) -> DataFrame:
-    """p99 per series and minute, then the largest across series: ``start``, ``p99_ms``."""
-    points = logs.withColumn("start", period_start("ts", MINUTE))
+def p99_latency(
+    logs: DataFrame, series: list[str], seconds: int = MINUTE, exact: bool = True, bucket_ms: float = 100.0
+) -> DataFrame:
+    """p99 per series and period, then the largest across series: ``start``, ``p99_ms``."""
+    points = logs.withColumn("start", period_start("ts", seconds))
     keys = [*series, "start"]
     if exact:
         per_series = exact_percentile(points, keys, "latency_ms", 0.99, "p99_ms", bucket_ms)
@@ -81,8 +83,9 @@ def p99_latency(logs: DataFrame, series: list[str], exact: bool = True, bucket_m
     return per_series.groupBy("start").agg(F.max("p99_ms").alias("p99_ms"))
 
 
-def p99_latency_alert(logs: DataFrame, series: list[str], duration: int = 300) -> DataFrame:
-    return sustained(p99_latency(logs, series), [], F.col("p99_ms") > S.P99_LATENCY_MS, MINUTE, duration)
+def p99_latency_alert(logs: DataFrame, series: list[str], seconds: int = MINUTE, duration: int = 300) -> DataFrame:
+    points = p99_latency(logs, series, seconds)
+    return sustained(points, [], F.col("p99_ms") > S.P99_LATENCY_MS, seconds, duration)
 
 
 # --- error rates and budgets -------------------------------------------------

@@ -3,6 +3,8 @@
 from caretide.plans import (  # noqa: F401  (importing a module registers its queries)
     decision_queries,
     message_queries,
+    retrieval_queries,
+    service_queries,
     state_queries,
     text_queries,
 )
