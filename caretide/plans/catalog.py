@@ -6,7 +6,9 @@ from caretide.plans import (  # noqa: F401  (importing a module registers its qu
     retrieval_queries,
     service_queries,
     state_queries,
+    stream_queries,
     text_queries,
+    triage_queries,
 )
 from caretide.plans.registry import REGISTRY
 

@@ -7,7 +7,7 @@ so a query and its check start from the same rows.
 from pyspark.sql import DataFrame, SparkSession
 
 from caretide import settings as S
-from caretide.sources.tables import spread, table
+from caretide.sources.tables import spread, table, table_stream
 
 
 def quoted(text: str) -> str:
@@ -253,6 +253,12 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df.selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
 
 
+def load_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The same input as a stream over its table's files."""
+    source, columns = INPUTS[name]
+    return table_stream(spark, folder, source).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+
+
 def cte(name: str) -> str:
     source, columns = INPUTS[name]
     body = ",\n  ".join(f"{e} AS {c}" for c, e in columns.items())

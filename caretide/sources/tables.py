@@ -1,5 +1,8 @@
 """Table sources and sinks."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from caretide import schemas
@@ -39,3 +42,20 @@ FEEDBACK_CLUSTER = ["original_category", "corrected_category"]
 def drop_expired_days(df: DataFrame, as_of: Column, days: int) -> DataFrame:
     """Day partitions still inside the retention window (a partition filter, no scan of the rest)."""
     return df.filter(F.col("day") >= F.date_sub(F.to_date(as_of), days))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared folder named by ``spark.checkpoint.dir``. Only a local session may go
+    without that setting; it then gets a temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.mkdtemp(prefix="caretide-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table's files as a stream."""
+    schema = table(spark, folder, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
