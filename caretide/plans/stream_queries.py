@@ -68,7 +68,13 @@ def approval_stream(spark, d):
     completed = first.unionByName(again).withColumn("ts", F.col("ts").cast("timestamp"))
     reviews = load_stream(spark, d, "reviews").withColumn("ts", F.col("ts").cast("timestamp"))
     out = SA.approval_stream(SA.union_events(completed, reviews))
-    return run_to_table(out, "approvals", "append").select("encounter_id", "seq", "status", "outcome")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, SA.ROCKSDB)
+    try:
+        return run_to_table(out, "approvals", "append").select("encounter_id", "seq", "status", "outcome")
+    finally:
+        spark.conf.set(key, before)
 
 
 @query(

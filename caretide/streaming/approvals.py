@@ -2,9 +2,8 @@
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUTPUT = (
     "encounter_id string, ts timestamp, seq long, outcome string, status string, reviewer_id string, "
@@ -12,41 +11,50 @@ OUTPUT = (
 )
 STATE = "status string, original string, confidence double"
 OPEN, DECISION = 0, 1
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+_Verdict = Row(*[c.strip().split(" ")[0] for c in OUTPUT.split(",")])
 
-def _advance(idempotent: bool):
+
+class ApprovalProcessor(StatefulProcessor):
     """One encounter's new events, in (ts, kind, seq) order, against its stored status."""
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, original, confidence = state.get if state.exists else (None, None, None)
-        events = pd.concat(list(batches)).sort_values(["ts", "kind", "seq"], kind="stable")
-        out = []
-        for e in events.itertuples(index=False):
+    def __init__(self, idempotent: bool) -> None:
+        self._idempotent = idempotent
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._entry = handle.getValueState("entry", STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        status, original, confidence = self._entry.get() or (None, None, None)
+        before = (status, original, confidence)
+        for e in sorted(rows, key=lambda r: (r.ts, r.kind, r.seq)):
             if e.kind == OPEN:
-                if status is not None and idempotent:
-                    continue
-                status, original, confidence = "pending_approval", e.original, e.confidence
+                if status is None or not self._idempotent:
+                    status, original, confidence = "pending_approval", e.original, e.confidence
                 continue
             outcome = "not_found" if status is None else "accepted" if status == "pending_approval" else "conflict"
             if outcome == "accepted":
                 status = e.status
-            out.append(
-                (key[0], e.ts, e.seq, outcome, e.status, e.reviewer_id, e.corrected_category, original, confidence)
+            yield _Verdict(
+                key[0], e.ts, e.seq, outcome, e.status, e.reviewer_id, e.corrected_category, original, confidence
             )
-        if status is not None:
-            state.update((status, original, confidence))
-        columns = [c.strip().split(" ")[0] for c in OUTPUT.split(",")]
-        yield pd.DataFrame(out, columns=columns)
+        if (status, original, confidence) != before:
+            self._entry.update((status, original, confidence))
 
-    return run
+    def close(self) -> None:
+        pass
 
 
 def approval_stream(events: DataFrame, idempotent: bool = False) -> DataFrame:
     """``events``: encounter_id, ts, seq, kind (0 completed, 1 decision), original, confidence, status,
     reviewer_id, corrected_category. Emits every decision with its outcome; state is one small row per
-    encounter. Repeats and conflicts are told apart without any race because the key owns its state."""
-    return events.groupBy("encounter_id").applyInPandasWithState(
-        _advance(idempotent), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
+    encounter. Repeats and conflicts are told apart without any race because the key owns its state.
+
+    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    return events.groupBy("encounter_id").transformWithState(
+        ApprovalProcessor(idempotent), OUTPUT, "Append", "None"
     )
 
 
