@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from caretide import settings as S
+from caretide.functions.binding import let
 
 
 def unicode_regex(pattern: str) -> str:
@@ -26,7 +27,7 @@ def contains_any(lowered: Column, words: list[str]) -> Column:
 
 
 def has_critical_keyword(text: Column) -> Column:
-    return contains_any(F.lower(text), S.CRITICAL_KEYWORDS)
+    return let(F.lower(text), lambda lowered: contains_any(lowered, S.CRITICAL_KEYWORDS))
 
 
 def is_scanner_agent(user_agent: Column) -> Column:
@@ -43,11 +44,10 @@ def blank_to(text: Column, default: str) -> Column:
 
 def retrieval_text(chief_complaint: Column, symptoms: Column) -> Column:
     """``complaint. Symptoms: a, b``; NULL when there is nothing to search for."""
-    complaint = F.coalesce(chief_complaint, F.lit(""))
     listed = F.array_join(F.transform(symptoms, lambda s: F.coalesce(s["description"], F.lit(""))), ", ")
-    full = F.when(F.coalesce(listed, F.lit("")) != "", F.concat(complaint, F.lit(". Symptoms: "), listed))
-    text = full.otherwise(complaint)
-    return F.when(F.trim(text) != "", text)
+    tail = let(listed, lambda t: F.when(t != "", F.concat(F.lit(". Symptoms: "), t)).otherwise(""))
+    text = F.concat(F.coalesce(chief_complaint, F.lit("")), F.coalesce(tail, F.lit("")))
+    return let(text, lambda t: F.when(F.trim(t) != "", t))
 
 
 def embed_text(title: Column, content: Column, separator: str = ". ") -> Column:

@@ -5,14 +5,15 @@ from pyspark.sql import Column, functions as F
 from caretide import settings as S
 
 
-def is_object(value: Column) -> Column:
-    return F.schema_of_variant(value).startswith("OBJECT")
+def only_objects(text: Column, parsed: Column) -> Column:
+    """``parsed`` where the JSON in ``text`` is an object, else NULL. Looks at the first character only;
+    describing the schema of a whole document to learn its kind would cost more than parsing it."""
+    return F.when(text.rlike(r"^\s*\{"), parsed)
 
 
 def parse_object(text: Column) -> Column:
     """The JSON object in ``text``; NULL for bad JSON and for anything but an object."""
-    value = F.try_parse_json(text)
-    return F.when(is_object(value), value)
+    return only_objects(text, F.try_parse_json(text))
 
 
 def member(obj: Column, name: str) -> Column:

@@ -21,9 +21,8 @@ def _error_name(text: Column, obj: Column, missing: Column) -> Column:
 
 
 def _with_object(df: DataFrame, content: str) -> DataFrame:
-    """Parsed once; everything but an object counts as unreadable."""
-    df = df.withColumn("__json", F.try_parse_json(F.col(content)))
-    return df.withColumn("__obj", F.when(V.is_object(F.col("__json")), F.col("__json"))).drop("__json")
+    """Everything but an object counts as unreadable."""
+    return df.withColumn("__obj", V.parse_object(F.col(content)))
 
 
 def parse_classification(

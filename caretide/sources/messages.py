@@ -13,13 +13,13 @@ def decode_message(df: DataFrame, data: str = "data", require: str = "present")
     towards the scan would decode and parse the message again.
     """
     df = df.withColumn("body", F.try_validate_utf8(F.try_to_binary(F.col(data), F.lit("base64")).cast("string")))
-    df = df.withColumn("__json", F.try_parse_json("body"))
-    doc = F.when(V.is_object(F.col("__json")), F.col("__json"))
-    usable = V.present(F.col("__json"), "encounter_id")
+    df = df.withColumn("__doc", V.parse_object(F.col("body")))
+    doc = F.col("__doc")
+    usable = V.present(doc, "encounter_id")
     if require == "truthy":
-        usable = F.coalesce(V.get(F.col("__json"), "encounter_id", "string") != "", F.lit(False))
+        usable = F.coalesce(V.get(doc, "encounter_id", "string") != "", F.lit(False))
     reason = F.when(doc.isNull(), "invalid_payload").when(~usable, "missing_encounter_id")
-    return df.select("*", F.inline(F.array(F.struct(doc.alias("doc"), reason.alias("reject_reason"))))).drop("__json")
+    return df.select("*", F.inline(F.array(F.struct(doc.alias("doc"), reason.alias("reject_reason"))))).drop("__doc")
 
 
 def flatten_envelope(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from caretide import settings as S
 from caretide.operators import keyed, records
 from caretide.sources import messages
-from caretide.sources.tables import AUDIT_CLUSTER, FEEDBACK_CLUSTER, write_partitioned
+from caretide.sources.tables import AUDIT_CLUSTER, FEEDBACK_CLUSTER, spread, write_partitioned
 
 WATERMARK = "10 minutes"
 
@@ -65,7 +65,7 @@ def audit_stream(stream: DataFrame, out: str, checkpoint: str, once: bool = Fals
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        decoded = messages.decode_message(batch).persist()
+        decoded = messages.decode_message(spread(batch)).persist()
         try:
             parts = split_audit_batch(decoded)
             write_partitioned(parts["audit_trail"], f"{out}/audit_trail/batch={batch_id}", AUDIT_CLUSTER, mode="overwrite")
