@@ -91,14 +91,19 @@ def _rules(root: Column, at: str, schema: dict, label: Column) -> list[tuple[boo
 
     found: list[tuple[bool, Column]] = []
     for keyword, arg in schema.items():
-        if keyword == "type":
+        if keyword == "type" and (arg, "required" in schema) == ("object", True):
+            continue  # told together with the required members: one look at the kind for both
+        elif keyword == "type":
             found.append(error(~_is(kind, *(arg if isinstance(arg, list) else [arg])), " type"))
         elif keyword == "required":
             absent = [
                 F.when(F.try_variant_get(root, f"{at}.{n}", "variant").isNull(), F.concat(label, F.lit(f" required:{n}")))
                 for n in arg
             ]
-            found.append((True, F.when(_is(kind, "object"), F.array_compact(F.array(*absent)))))
+            members = F.when(kind.startswith("OBJECT"), F.array_compact(F.array(*absent)))
+            if schema.get("type") == "object":
+                members = members.when(kind.isNotNull(), F.array(F.concat(label, F.lit(" type"))))
+            found.append((True, members))
         elif keyword == "enum":
             known = F.coalesce((kind == "STRING") & typed("string").isin(arg), F.lit(False))
             found.append(error(kind.isNotNull() & ~known, " enum"))

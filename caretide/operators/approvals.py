@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from caretide.functions import decisions as D
 from caretide.operators.keyed import running_count
 
-DAY = 86_400
-
 
 @dataclass
 class ApprovalResult:
@@ -23,7 +21,7 @@ def approval_state_machine(
     decisions: DataFrame,
     idempotent: bool = False,
     original: str = "routing_reason",
-    chunk_seconds: int = 30 * DAY,
+    chunk_seconds: int = 3_600,
 ) -> ApprovalResult:
     """Replay both event streams.
 

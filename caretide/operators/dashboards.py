@@ -61,7 +61,7 @@ def session_detail(sessions: DataFrame, audit: DataFrame, embedded: str = "audit
     """
     entry = ["node", "seq", "cost_usd", "duration_ms"]
     stored = sessions.drop(embedded).join(audit.select("encounter_id", *entry), "encounter_id")
-    without = sessions.join(audit.select("encounter_id"), "encounter_id", "left_anti")
+    without = sessions.join(audit.select("encounter_id").distinct(), "encounter_id", "left_anti")
     shown = without.select(*[c for c in sessions.columns if c != embedded], F.explode_outer(embedded).alias("e"))
     shown = shown.select("*", *[F.col(f"e.{c}").alias(c) for c in entry]).drop("e")
     return stored.withColumn("origin", F.lit("stored")).unionByName(shown.withColumn("origin", F.lit("embedded")))

@@ -30,11 +30,12 @@ def update_existing(
     existing: DataFrame, updates: DataFrame, key: list[str], order: list[str], fields: dict[str, Column]
 ) -> tuple[DataFrame, DataFrame]:
     """(merged rows, rejects): an update of a key that has no document is refused."""
-    found = updates.join(existing.select(*key), key, "left_semi")
-    missed = updates.join(existing.select(*key), key, "left_anti").withColumn("reject_reason", F.lit("not_found"))
-    merged = upsert_merge(found, key, order, fields)
-    flags = found.groupBy(*key).agg(*[F.max(written).alias(f"__w_{f}") for f, written in fields.items()])
-    patch = merged.select(*key, *[F.col(f).alias(f"__v_{f}") for f in fields]).join(flags, key)
+    keys = existing.select(*key)
+    missed = updates.join(keys, key, "left_anti").withColumn("reject_reason", F.lit("not_found"))
+    patch = updates.groupBy(*key).agg(
+        *[F.max_by(F.col(f), F.when(written, _order(order))).alias(f"__v_{f}") for f, written in fields.items()],
+        *[F.max(written).alias(f"__w_{f}") for f, written in fields.items()],
+    )
     out = existing.join(patch, key, "left").withColumns(
         {f: F.when(F.col(f"__w_{f}"), F.col(f"__v_{f}")).otherwise(F.col(f)) for f in fields}
     )
@@ -59,7 +60,8 @@ def running_count(
     """Number of ``event`` rows of the same key up to and including each row, in (ts, tie) order.
 
     A key's history is cut into time chunks: chunk totals are partially aggregated and accumulated on their
-    own, and only the rows of one (key, chunk) are ever sorted together.
+    own, and only the rows of one (key, chunk) are ever sorted together. Any chunk size is exact; a key with few
+    rows never has more chunks than rows, so short chunks cost little.
     """
     chunk = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / F.lit(chunk_seconds)).alias("__chunk")
     marked = df.select("*", chunk, F.when(event, 1).otherwise(0).alias("__e"))

@@ -201,6 +201,42 @@ def unavailable_result(requests: DataFrame, results: DataFrame, key: list[str])
     ).drop("__hit")
 
 
+def _attempt_slots(name: str, mine: Column, carry: list[str]) -> list[Column]:
+    """Aggregates for one retry loop: a slot per attempt and the number of the attempt to accept."""
+    attempt, last = F.col("attempt"), S.MAX_RETRIES
+    packed = F.struct("should_retry", "validated", "compliance_flags", *carry)
+    slots = [F.max_by(packed, F.when(mine & (attempt == i), F.lit(1))).alias(f"{name}_a{i}") for i in range(last + 1)]
+    done = mine & attempt.between(0, last) & (~F.col("should_retry") | (attempt == last))
+    return [*slots, F.min(F.when(done, attempt)).alias(f"{name}_accepted")]
+
+
+def _settle(slots: DataFrame, names: list[str], carry: list[str]) -> DataFrame:
+    """Per name, the record of the accepted attempt with the flags of all attempts made; NULL while none is
+    accepted."""
+    last = S.MAX_RETRIES
+
+    def chosen(name: str) -> Column:
+        out = F
+        for i in range(last + 1):
+            out = out.when(F.col(f"{name}_accepted") == i, F.col(f"{name}_a{i}"))
+        return out
+
+    def flags(name: str, i: int) -> Column:
+        made = F.when(F.col(f"{name}_accepted") >= i, F.col(f"{name}_a{i}.compliance_flags"))
+        return F.coalesce(made, _flags())
+
+    def record(name: str) -> Column:
+        c, accepted = F.col(f"{name}_c"), F.col(f"{name}_accepted")
+        exhausted = F.when((accepted == last) & ~c["validated"], _flags("FHIR_RETRY_EXHAUSTED")).otherwise(_flags())
+        all_flags = F.concat(*[flags(name, i) for i in range(last + 1)], exhausted)
+        fields = [accepted.alias("attempt"), all_flags.alias("compliance_flags")]
+        return F.when(accepted.isNotNull(), F.struct(*fields, *[c[f].alias(f) for f in ("validated", *carry)]))
+
+    picked = slots.withColumns({f"{n}_c": chosen(n) for n in names})
+    done = picked.withColumns({n: record(n) for n in names})
+    return done.drop(*[f"{n}_{x}" for n in names for x in ("c", "accepted", *[f"a{i}" for i in range(last + 1)])])
+
+
 def resolve_retries(attempts: DataFrame, key: list[str], carry: list[str]) -> DataFrame:
     """The attempt each (encounter, node) settles on.
 
@@ -208,33 +244,15 @@ def resolve_retries(attempts: DataFrame, key: list[str], carry: list[str]) -> Da
     three attempts are ever made, so a fixed slot per attempt replaces a collected list and the whole
     operator is one partially aggregated shuffle, whatever the key distribution.
     """
-    last = S.MAX_RETRIES
-    attempt = F.col("attempt")
-    packed = F.struct("should_retry", "validated", "compliance_flags", *carry)
-    made = attempts.filter(attempt.between(0, last))
-    slots = made.groupBy(*key).agg(
-        *[F.max_by(packed, F.when(attempt == i, F.lit(1))).alias(f"a{i}") for i in range(last + 1)],
-        F.min(F.when(~F.col("should_retry") | (attempt == last), attempt)).alias("accepted"),
-    )
-    accepted = F.col("accepted")
-    chosen = F
-    for i in range(last + 1):
-        chosen = chosen.when(accepted == i, F.col(f"a{i}"))
-    tried = F.concat(
-        *[
-            F.when((accepted >= i) & F.col(f"a{i}").isNotNull(), F.col(f"a{i}.compliance_flags")).otherwise(_flags())
-            for i in range(last + 1)
-        ]
-    )
-    out = slots.filter(accepted.isNotNull()).withColumns({"__c": chosen, "__tried": tried})
-    exhausted = F.when((accepted == last) & ~F.col("__c.validated"), _flags("FHIR_RETRY_EXHAUSTED")).otherwise(_flags())
-    return out.select(
-        *key,
-        accepted.alias("attempt"),
-        F.concat(F.col("__tried"), exhausted).alias("compliance_flags"),
-        F.col("__c.validated").alias("validated"),
-        *[F.col(f"__c.{c}").alias(c) for c in carry],
-    )
+    slots = attempts.groupBy(*key).agg(*_attempt_slots("r", F.lit(True), carry))
+    return _settle(slots, ["r"], carry).filter("r IS NOT NULL").select(*key, "r.*")
+
+
+def resolve_retries_by_node(attempts: DataFrame, nodes: list[str], carry: list[str]) -> DataFrame:
+    """As ``resolve_retries``, one row per encounter with a settled record per node: one shuffle for all nodes."""
+    node = F.col("node_name")
+    slots = attempts.groupBy("encounter_id").agg(*[c for n in nodes for c in _attempt_slots(n, node == n, carry)])
+    return _settle(slots, nodes, carry)
 
 
 def accumulate_flags(*flags: Column) -> Column:

@@ -58,7 +58,7 @@ def filter_recent_days(df: DataFrame, as_of: Column, hours: int = 48, ts: str =
 
 
 def verify_replayed(audit: DataFrame, ids: DataFrame) -> DataFrame:
-    found = audit.join(ids.select("encounter_id"), "encounter_id", "left_semi")
+    found = audit.join(ids.select("encounter_id").distinct(), "encounter_id", "left_semi")
     return found.select("encounter_id", "node_name", "created_at").orderBy("created_at", "encounter_id", "node_name")
 
 

@@ -14,21 +14,31 @@ def accept(encounters: DataFrame) -> tuple[DataFrame, DataFrame]:
     return clean, short.unionByName(injected)
 
 
-def classify_and_route(encounters: DataFrame, classifications: DataFrame) -> DataFrame:
-    """Category from the classifier response (one per encounter, missing counts as a failed call), then the model tier."""
-    joined = encounters.join(classifications.select("encounter_id", "content", "call_ok"), "encounter_id", "left")
-    parsed = O.parse_classification(joined, "content", "call_ok").drop("content", "call_ok")
-    return parsed.withColumn("routing", D.route(F.col("encounter_text"), F.col("category"), F.col("confidence")))
+CARRY = ["content", "model", "tokens_in", "tokens_out", "cost_usd", "duration_ms"]
 
 
 def settle_responses(responses: DataFrame) -> DataFrame:
-    """Validate every attempt and keep, per encounter and node, the one the retry rule settles on."""
-    asked = responses.withColumn("validation_type", F.lit("output"))
-    checked = O.validate(asked).withColumn("content", F.col("content"))
-    carry = ["content", "model", "tokens_in", "tokens_out", "cost_usd", "duration_ms"]
-    return O.resolve_retries(checked, ["encounter_id", "node_name"], carry)
+    """One row per encounter: the classifier's single answer and, per node, the attempt its retries settle on.
+
+    Attempts are validated where they are read; one shuffle by encounter then brings all of them together.
+    The classifier's answer is never validated, so it counts as accepted at once.
+    """
+    nodes = responses.filter(F.col("node_name").isin(S.NODES))
+    checked = O.validate(nodes.withColumn("validation_type", F.lit("output")))
+    first = responses.filter((F.col("node_name") == "classifier") & (F.col("attempt") == 0)).withColumns(
+        {"should_retry": F.lit(False), "validated": F.lit(True), "compliance_flags": F.array().cast("array<string>")}
+    )
+    fields = ["encounter_id", "node_name", "attempt", "should_retry", "validated", "compliance_flags", "call_ok", *CARRY]
+    every = checked.select(*fields).unionByName(first.select(*fields))
+    return O.resolve_retries_by_node(every, ["classifier", *S.NODES], ["call_ok", *CARRY])
 
 
+def route(df: DataFrame) -> DataFrame:
+    """Category from the classifier's answer (a missing one counts as a failed call), then the model tier."""
+    df = df.withColumns({"__answer": F.col("classifier.content"), "__called": F.col("classifier.call_ok")})
+    df = O.parse_classification(df, "__answer", "__called").drop("__answer", "__called")
+    return df.withColumn("routing", D.route(F.col("encounter_text"), F.col("category"), F.col("confidence")))
+
 
 def triage(
     encounters: DataFrame, responses: DataFrame, cases: DataFrame | None = None, clock: Column | None = None
@@ -40,19 +50,7 @@ def triage(
     """
     clock = F.lit("1970-01-01T00:00:00+00:00") if clock is None else clock
     accepted, _ = accept(encounters)
-    classifier = responses.filter((F.col("node_name") == "classifier") & (F.col("attempt") == 0))
-    routed = classify_and_route(accepted, classifier)
-    settled = settle_responses(responses.filter(F.col("node_name").isin(S.NODES)))
-    slots = settled.groupBy("encounter_id").agg(
-        *[
-            F.max_by(
-                F.struct(*[c for c in settled.columns if c not in ("encounter_id", "node_name")]),
-                F.when(F.col("node_name") == n, F.lit(1)),
-            ).alias(n)
-            for n in S.NODES
-        ]
-    )
-    df = routed.join(slots, "encounter_id", "left")
+    df = route(accepted.join(settle_responses(responses), "encounter_id", "left"))
     if cases is not None:
         df = df.join(cases.withColumnRenamed("query_id", "encounter_id"), "encounter_id", "left")
     for n in S.NODES:
@@ -93,7 +91,7 @@ def triage(
             "circuit_breaker_tripped": F.col("sentinel_check.circuit_breaker_tripped"),
             "timestamp": clock,
         }
-    ).drop("__model", "__reason", *S.NODES, *[f"{n}_content" for n in S.NODES])
+    ).drop("__model", "__reason", "classifier", *S.NODES, *[f"{n}_content" for n in S.NODES])
 
 
 def triage_response(triaged: DataFrame, clock: Column) -> DataFrame:

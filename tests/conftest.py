@@ -1,13 +1,15 @@
 import pytest
 from pyspark.sql import SparkSession
 
+from caretide.session import configure
+
 
 def new_session():
     spark = (
-        SparkSession.builder.master("local[8]")
+        configure(SparkSession.builder)
+        .master("local[8]")
         .appName("caretide-tests")
         .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
