@@ -15,9 +15,12 @@ _NUMBER, _NAN, _NULL = 0, 1, 2
 _FOUND = "query_id string, layer int, id string, kind int, distance double"
 
 
-def _unit(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+def _dim(*sides: pd.Series) -> int:
+    return max((len(v) for side in sides for v in side if v is not None), default=1)
+
+
+def _unit(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(unit rows, row is all zeros); a missing vector becomes zeros."""
-    dim = max((len(v) for v in vectors if v is not None), default=1)
     m = np.stack([np.asarray(v, dtype=np.float64) if v is not None else np.zeros(dim) for v in vectors])
     norms = np.sqrt((m * m).sum(axis=1))
     zero = norms == 0
@@ -44,8 +47,9 @@ def block_top_k(k: int, step: int = 256):
             return pd.DataFrame(columns=["query_id", "layer", "id", "kind", "distance"])
         protocols = protocols.sort_values("id", kind="stable")
         layer, ids = protocols["layer"].to_numpy(), protocols["id"].to_numpy()
-        p, p_zero = _unit(protocols["embedding"])
-        q, q_zero = _unit(queries["embedding"])
+        dim = _dim(protocols["embedding"], queries["embedding"])
+        p, p_zero = _unit(protocols["embedding"], dim)
+        q, q_zero = _unit(queries["embedding"], dim)
         p_missing, q_missing = protocols["embedding"].isna().to_numpy(), queries["embedding"].isna().to_numpy()
         out = []
         for at in range(0, len(q), step):
