@@ -158,7 +158,7 @@ INPUTS: dict[str, tuple[str, dict[str, str]]] = {
     }),
     "completed": ("orders", {
         "encounter_id": text_of("o_orderkey"),
-        "order_key": "o_orderkey",
+        "redelivered": "o_orderpriority = '1-URGENT'",
         "ts": "o_orderdate",
         "seq": "o_orderkey",
         "routing_reason": pick(CATEGORIES, "o_custkey % 10"),

@@ -62,13 +62,13 @@ def update_existing(spark, d):
 # --- approvals ---------------------------------------------------------------
 
 _columns = "encounter_id, ts, seq, routing_reason, category, confidence"
-_redelivered = f"SELECT {_columns} FROM completed UNION ALL SELECT encounter_id, ts + INTERVAL 120 DAYS AS ts, seq + 1000000000 AS seq, routing_reason, category, confidence FROM completed WHERE order_key % 5 = 0"
+_redelivered = f"SELECT {_columns} FROM completed UNION ALL SELECT encounter_id, ts + INTERVAL 120 DAYS AS ts, seq + 1000000000 AS seq, routing_reason, category, confidence FROM completed WHERE redelivered"
 
 
 def _completed(spark, d):
     first = load(spark, d, "completed")
-    again = first.filter("order_key % 5 = 0").withColumns({"ts": F.expr("ts + INTERVAL 120 DAYS"), "seq": F.col("seq") + 1_000_000_000})
-    return first.unionByName(again).drop("order_key")
+    again = first.filter("redelivered").withColumns({"ts": F.expr("ts + INTERVAL 120 DAYS"), "seq": F.col("seq") + 1_000_000_000})
+    return first.unionByName(again).drop("redelivered")
 
 
 def _machine(spark, d, **options):

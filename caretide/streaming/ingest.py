@@ -1,9 +1,12 @@
 """Audit topic to partitioned tables, dead letters, dedup and change feed as streams."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from caretide import settings as S
+from caretide.functions import variants as V
 from caretide.operators import keyed, records
 from caretide.sources import messages
 from caretide.sources.tables import AUDIT_CLUSTER, FEEDBACK_CLUSTER, spread, write_partitioned
@@ -33,28 +36,30 @@ def sink_batched(stream: DataFrame, path: str, checkpoint: str, once: bool = Fal
     return _start(writer, checkpoint, once, seconds).start()
 
 
-def split_audit_batch(decoded: DataFrame) -> dict[str, DataFrame]:
-    """One decoded batch to its three outputs: audit rows, feedback rows, rejects."""
-    ok = decoded.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-    rejects = decoded.filter(F.col("reject_reason").isNotNull())
-    audit, feedback = messages.route_events(ok)
-    rows = records.flatten_audit(audit)
-    feedback_rows, incomplete = records.flatten_feedback(feedback)
-    kept = ["message_id", "data", "reject_reason"]
-    return {
-        "audit_trail": rows.filter(F.col("created_at").isNotNull()),
-        "classifier_feedback": feedback_rows.filter(F.col("created_at").isNotNull()),
-        "rejects": rejects.select(*kept)
-        .unionByName(incomplete.select(*kept))
-        .unionByName(_undated(audit, kept))
-        .unionByName(_undated(feedback, kept)),
-    }
+def judge_messages(batch: DataFrame) -> DataFrame:
+    """Decoded messages with their ``target`` table; ``rejects`` carry a reason. Both tables require a time, and
+    feedback its three categories and reviewer."""
+    decoded = messages.decode_message(batch)
+    doc, feedback = F.col("doc"), messages.is_feedback(F.col("doc"))
+    complete = reduce(lambda a, b: a & b, [V.present(doc, k) for k in records.FEEDBACK_KEYS])
+    reason = (
+        F.when(F.col("reject_reason").isNotNull(), F.col("reject_reason"))
+        .when(feedback & ~complete, "missing_feedback_field")
+        .when(records.parse_time(V.get(doc, "timestamp", "string")).isNull(), "missing_timestamp")
+    )
+    judged = decoded.withColumn("reject_reason", reason)
+    target = F.when(F.col("reject_reason").isNotNull(), "rejects").when(feedback, "classifier_feedback")
+    return judged.withColumn("target", target.otherwise("audit_trail"))
 
 
-def _undated(df: DataFrame, kept: list[str]) -> DataFrame:
-    """Both tables require a time."""
-    at = records.parse_time(F.try_variant_get("doc", "$.timestamp", "string"))
-    return df.filter(at.isNull()).withColumn("reject_reason", F.lit("missing_timestamp")).select(*kept)
+def split_audit_batch(judged: DataFrame) -> dict[str, DataFrame]:
+    """One judged batch to its three outputs."""
+    to = {t: judged.filter(F.col("target") == t) for t in ("audit_trail", "classifier_feedback", "rejects")}
+    return {
+        "audit_trail": records.flatten_audit(to["audit_trail"]),
+        "classifier_feedback": records.flatten_feedback(to["classifier_feedback"])[0],
+        "rejects": to["rejects"].select("message_id", "data", "reject_reason"),
+    }
 
 
 def audit_stream(stream: DataFrame, out: str, checkpoint: str, once: bool = False, seconds: int = S.FLUSH_SECONDS):
@@ -65,16 +70,16 @@ def audit_stream(stream: DataFrame, out: str, checkpoint: str, once: bool = Fals
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        decoded = messages.decode_message(spread(batch)).persist()
+        judged = judge_messages(spread(batch)).persist()
         try:
-            parts = split_audit_batch(decoded)
+            parts = split_audit_batch(judged)
             write_partitioned(parts["audit_trail"], f"{out}/audit_trail/batch={batch_id}", AUDIT_CLUSTER, mode="overwrite")
             write_partitioned(
                 parts["classifier_feedback"], f"{out}/classifier_feedback/batch={batch_id}", FEEDBACK_CLUSTER, mode="overwrite"
             )
             parts["rejects"].write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}")
         finally:
-            decoded.unpersist()
+            judged.unpersist()
 
     return _start(stream.writeStream.foreachBatch(write), checkpoint, once, seconds).start()
 
