@@ -2,10 +2,9 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caretide.functions import decisions as D
-from caretide.operators.keyed import running_count
 
 
 @dataclass
@@ -16,6 +15,48 @@ class ApprovalResult:
     feedback: DataFrame   # classifier feedback events
 
 
+ENTRY = ["routing_reason", "category", "confidence"]
+DECISION = ["status", "reviewer_id", "corrected_category"]
+
+
+def _rounds(events: DataFrame, chunk_seconds: int) -> DataFrame:
+    """Adds ``round`` (completed events so far) and ``accepted`` (first decision of its round).
+
+    An encounter's history is cut into time chunks and only the rows of one (encounter, chunk) are sorted together,
+    so an encounter that owns a third of all events is spread out. What a chunk needs from the ones before it, the
+    number of rounds opened and whether the current round is already decided, is carried over a table
+    with one row per chunk. Any chunk size is exact.
+    """
+    chunk = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / F.lit(chunk_seconds))
+    inside = Window.partitionBy("encounter_id", "chunk").orderBy("ts", "kind", "seq")
+    is_open, previous = F.col("kind") == 0, F.coalesce(F.lag("kind").over(inside), F.lit(0))
+    local = events.withColumn("chunk", chunk).withColumns(
+        {
+            "in_round": F.sum(F.when(is_open, 1).otherwise(0)).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+            "leads": ~is_open & (previous == 0),
+        }
+    )
+
+    per_round = local.groupBy("encounter_id", "chunk", "in_round").agg(F.max(~is_open).alias("decided"))
+    per_chunk = per_round.groupBy("encounter_id", "chunk").agg(
+        F.max("in_round").alias("opens"), F.max_by("decided", "in_round").alias("last_decided")
+    )
+    history = Window.partitionBy("encounter_id").orderBy("chunk")
+    upto = history.rowsBetween(Window.unboundedPreceding, 0)
+    carried = per_chunk.withColumn("segment", F.sum(F.when(F.col("opens") > 0, 1).otherwise(0)).over(upto))
+    same_round = Window.partitionBy("encounter_id", "segment").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
+    carried = carried.withColumn("decided_after", F.max("last_decided").over(same_round)).select(
+        "encounter_id",
+        "chunk",
+        (F.sum("opens").over(upto) - F.col("opens")).alias("rounds_before"),
+        F.coalesce(F.lag("decided_after").over(history), F.lit(False)).alias("decided_before"),
+    )
+    rounds = local.join(carried, ["encounter_id", "chunk"]).withColumn("round", F.col("rounds_before") + F.col("in_round"))
+    fresh = (F.col("in_round") > 0) | ~F.col("decided_before")
+    accepted = F.col("leads") & (F.col("round") > 0) & fresh
+    return rounds.withColumn("accepted", accepted).drop("chunk", "in_round", "leads", "rounds_before", "decided_before")
+
+
 def approval_state_machine(
     completed: DataFrame,
     decisions: DataFrame,
@@ -30,71 +71,42 @@ def approval_state_machine(
     only the first decision of a round counts. A repeated completed event opens a new round, unless
     ``idempotent``. ``original`` names the completed column a correction is compared with.
     """
-    events = completed.select(
-        "encounter_id", "ts", "seq", F.lit(0).alias("kind"),
-        F.struct("routing_reason", "category", "confidence").alias("entry"),
-        F.lit(None).cast("struct<status:string,reviewer_id:string,corrected_category:string>").alias("decision"),
-    ).unionByName(
-        decisions.select(
-            "encounter_id", "ts", "seq", F.lit(1).alias("kind"),
-            F.lit(None).cast("struct<routing_reason:string,category:string,confidence:double>").alias("entry"),
-            F.struct("status", "reviewer_id", "corrected_category").alias("decision"),
-        )
-    )
-    is_open = F.col("kind") == 0
-    rounds = running_count(events, ["encounter_id"], "ts", ["kind", "seq"], is_open, "round", chunk_seconds)
-    opened = rounds.filter(is_open)
     if idempotent:
-        opened = opened.filter(F.col("round") == 1)
-        rounds = rounds.withColumn("round", F.least(F.col("round"), F.lit(1)))
-    made = rounds.filter(~is_open)
-    at = F.struct("ts", "seq")
-    first = (
-        made.filter(F.col("round") > 0)
-        .groupBy("encounter_id", "round")
-        .agg(F.min(at).alias("first_at"), F.min_by(F.struct("decision", "ts"), at).alias("first"))
-    )
-
-    outcome = (
-        F.when(F.col("round") == 0, "not_found").when(at == F.col("first_at"), "accepted").otherwise("conflict")
-    )
-    verdicts = made.join(first.select("encounter_id", "round", "first_at"), ["encounter_id", "round"], "left").select(
-        "encounter_id", "ts", "seq", "decision.status", "decision.reviewer_id", "decision.corrected_category",
-        "round", outcome.alias("outcome"),
-    )
-
-    entries = opened.select("encounter_id", "round", "ts", "entry")
-    decided = entries.join(
-        first.select("encounter_id", "round", F.col("first.decision").alias("d"), F.col("first.ts").alias("decided_at")),
-        ["encounter_id", "round"],
-    )
-    latest = opened.groupBy("encounter_id").agg(
-        F.max("round").alias("round"), F.max_by(F.struct("ts", "entry"), F.col("round")).alias("o")
-    )
-    queue = latest.join(
-        first.select("encounter_id", "round", F.col("first.decision").alias("d"), F.col("first.ts").alias("decided_at")),
-        ["encounter_id", "round"],
-        "left",
-    ).select(
+        first = completed.groupBy("encounter_id").agg(F.min_by(F.struct("ts", "seq", *ENTRY), F.struct("ts", "seq")).alias("c"))
+        completed = first.select("encounter_id", "c.*")
+    opened = completed.select("encounter_id", "ts", "seq", F.lit(0).alias("kind"), *ENTRY)
+    made = decisions.select("encounter_id", "ts", "seq", F.lit(1).alias("kind"), *DECISION)
+    rounds = _rounds(opened.unionByName(made, allowMissingColumns=True), chunk_seconds)
+
+    outcome = F.when(F.col("round") == 0, "not_found").when(F.col("accepted"), "accepted").otherwise("conflict")
+    verdicts = rounds.filter("kind = 1").select("encounter_id", "ts", "seq", *DECISION, "round", outcome.alias("outcome"))
+
+    # one row per round: what opened it and, if any, the decision that closed it
+    opener = F.max_by(F.struct("ts", *ENTRY), F.when(F.col("kind") == 0, 1)).alias("e")
+    closer = F.max_by(F.struct("ts", *DECISION), F.when(F.col("accepted"), 1)).alias("d")
+    closed = rounds.filter("kind = 0 OR accepted").groupBy("encounter_id", "round").agg(opener, closer)
+    latest = closed.groupBy("encounter_id").agg(F.max_by(F.struct("e", "d"), "round").alias("l"))
+    queue = latest.select(
         "encounter_id",
-        F.coalesce(F.col("d.status"), F.lit("pending_approval")).alias("status"),
-        F.col("o.ts").alias("created_at"),
-        F.coalesce("decided_at", F.col("o.ts")).alias("updated_at"),
-        F.col("d.reviewer_id").alias("reviewer_id"),
-        F.nullif(F.col("d.corrected_category"), F.lit("")).alias("corrected_category"),
+        F.coalesce("l.d.status", F.lit("pending_approval")).alias("status"),
+        F.col("l.e.ts").alias("created_at"),
+        F.coalesce("l.d.ts", "l.e.ts").alias("updated_at"),
+        F.col("l.d.reviewer_id").alias("reviewer_id"),
+        F.nullif("l.d.corrected_category", F.lit("")).alias("corrected_category"),
     )
-    approved = decided.filter(F.col("d.status") == "approved").select(
-        "encounter_id", F.col("d.reviewer_id").alias("reviewer_id"), F.col("decided_at").alias("approved_at")
+    decided = closed.filter("d IS NOT NULL").select(
+        "encounter_id", F.col("d.ts").alias("decided_at"), *[f"e.{c}" for c in ENTRY], *[f"d.{c}" for c in DECISION]
     )
-    feedback = decided.select(
+    approved = decided.filter("status = 'approved'").select("encounter_id", "reviewer_id", F.col("decided_at").alias("approved_at"))
+    feedback = decided.filter(D.is_misroute(F.col(original), F.col("corrected_category"))).select(
         F.lit("classifier_feedback").alias("event_type"),
         "encounter_id",
-        F.col(f"entry.{original}").alias("original_category"),
-        F.col("d.corrected_category").alias("corrected_category"),
-        F.col("entry.confidence").alias("classifier_confidence"),
-        F.col("d.reviewer_id").alias("reviewer_id"),
+        F.col(original).alias("original_category"),
+        "corrected_category",
+        F.col("confidence").alias("classifier_confidence"),
+        "reviewer_id",
         F.col("decided_at").alias("timestamp"),
-    ).filter(D.is_misroute(F.col("original_category"), F.col("corrected_category")))
+    )
     return ApprovalResult(verdicts, queue, approved, feedback)
 
 

@@ -54,26 +54,6 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], limit: i
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
-def running_count(
-    df: DataFrame, key: list[str], ts: str, tie: list[str], event: Column, out: str, chunk_seconds: int
-) -> DataFrame:
-    """Number of ``event`` rows of the same key up to and including each row, in (ts, tie) order.
-
-    A key's history is cut into time chunks: chunk totals are partially aggregated and accumulated on their
-    own, and only the rows of one (key, chunk) are ever sorted together. Any chunk size is exact; a key with few
-    rows never has more chunks than rows, so short chunks cost little.
-    """
-    chunk = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / F.lit(chunk_seconds)).alias("__chunk")
-    marked = df.select("*", chunk, F.when(event, 1).otherwise(0).alias("__e"))
-    totals = marked.groupBy(*key, "__chunk").agg(F.sum("__e").alias("__sum"))
-    before = Window.partitionBy(*key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*key, "__chunk", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
-    within = Window.partitionBy(*key, "__chunk").orderBy(ts, *tie).rowsBetween(Window.unboundedPreceding, 0)
-    counted = marked.withColumn("__in", F.sum("__e").over(within))
-    joined = counted.join(starts, [*key, "__chunk"])
-    return joined.withColumn(out, F.col("__start") + F.col("__in")).drop("__chunk", "__e", "__in", "__start")
-
-
 def reconcile(left: DataFrame, right: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
     """Keys present on one side only."""
     a = left.filter(F.col(key).isNotNull()).select(key).distinct().withColumn("__a", F.lit(True))
