@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from caretide import settings as S
-from caretide.functions import text as tx, variants as V
+from caretide.functions import text as tx
 from caretide.operators import outputs as O, redaction as R, screening
 from caretide.plans.inputs import ctes, load, quoted
 from caretide.plans.registry import bar, query
