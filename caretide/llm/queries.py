@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caretide.llm import quality_rules
+from caretide.llm import decontaminate, license_scan, quality_rules
 from caretide.llm.common import table
 
 
@@ -11,6 +11,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, keep=["doc_id"])
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_labels(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op7_decontaminate": (op7_decontaminate, None),
+    "op3_license_scan": (op3_license_scan, None),
     "op6_quality_rules": (op6_quality_rules, None),
 }
