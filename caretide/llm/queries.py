@@ -1,8 +1,8 @@
 """Registered queries of this subpackage with, where plain SQL can say it, the equivalent statement."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caretide.llm import decontaminate, license_scan, quality_rules
+from caretide.llm import decontaminate, language_id, license_scan, quality_rules
 from caretide.llm.common import table
 
 
@@ -11,6 +11,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, keep=["doc_id"])
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the documents outside of the held-out fifth; predicts all."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    model = language_id.fit(docs.filter(~F.col("held_out")))
+    return language_id.identify(docs, model, keep=("doc_id", "held_out"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_labels(table(spark, sf_dir, "documents"))
 
@@ -20,6 +27,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": (op1_language_id, None),
     "op7_decontaminate": (op7_decontaminate, None),
     "op3_license_scan": (op3_license_scan, None),
     "op6_quality_rules": (op6_quality_rules, None),
