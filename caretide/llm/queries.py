@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caretide.llm import decontaminate, language_id, license_scan, quality_rules
+from caretide.llm import decontaminate, language_id, license_scan, packing, quality_rules
 from caretide.llm.common import table
 
 
@@ -26,7 +26,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op9_packing": (op9_packing, None),
     "op1_language_id": (op1_language_id, None),
     "op7_decontaminate": (op7_decontaminate, None),
     "op3_license_scan": (op3_license_scan, None),
