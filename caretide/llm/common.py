@@ -32,16 +32,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     re-read only. Consumers prune its columns."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def drop_stored(*frames: DataFrame) -> None:
     """Deletes the files of frames that came from ``stored`` and are no longer read."""
     for df in frames:
-        jvm = df.sparkSession._jvm
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -66,3 +66,22 @@ def spaced_words(text: Column) -> Column:
 def at(array: str, offset: int) -> Column:
     """Element ``pos + offset`` of an array column, with ``pos`` from ``posexplode``; null past the end."""
     return F.get(F.col(array), F.col("pos") + F.lit(offset))
+
+
+#: Ids up to this number (8 bytes each, so some tens of MB hashed) are broadcast by ``with_ids`` and ``without_ids``.
+BROADCAST_IDS = 500_000
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def with_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of ``df`` whose key is among ``ids`` (one column, stored). Few ids are broadcast, so that wide rows stay
+    where they are; more are joined by shuffle."""
+    return df.join(_small(ids), key, "left_semi")
+
+
+def without_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of ``df`` whose key is not among ``ids``; see ``with_ids``."""
+    return df.join(_small(ids), key, "left_anti")
