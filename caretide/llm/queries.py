@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caretide.llm import decontaminate, language_id, license_scan, near_dedup, packing, quality_rules
+from caretide.llm import decontaminate, language_id, license_scan, near_dedup, packing, quality_rules, suffix_index
 from caretide.llm.common import table
 
 
@@ -34,7 +34,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_index.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op8_suffix_dedup": (op8_suffix_dedup, None),
     "op10_near_dedup": (op10_near_dedup, None),
     "op9_packing": (op9_packing, None),
     "op1_language_id": (op1_language_id, None),
