@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from caretide.llm import decontaminate, language_id, license_scan, near_dedup, packing, quality_rules, suffix_index
+from caretide.llm import decontaminate, html_extract, language_id, license_scan, near_dedup, packing, quality_rules, suffix_index
 from caretide.llm.common import table
 
 
@@ -38,7 +38,12 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_index.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op2_html_extract": (op2_html_extract, None),
     "op8_suffix_dedup": (op8_suffix_dedup, None),
     "op10_near_dedup": (op10_near_dedup, None),
     "op9_packing": (op9_packing, None),
