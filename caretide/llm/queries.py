@@ -1,8 +1,8 @@
 """Registered queries of this subpackage with, where plain SQL can say it, the equivalent statement."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from caretide.llm import decontaminate, html_extract, language_id, license_scan, near_dedup, packing, quality_rules, suffix_index
+from caretide.llm import decontaminate, html_extract, language_id, license_scan, near_dedup, packing, quality_rules, suffix_index, url_filters
 from caretide.llm.common import table
 
 
@@ -42,7 +42,62 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def fetch_day(page_id: Column) -> Column:
+    """The tables have no fetch time: pages are taken as fetched over two years, in an order of its own."""
+    return F.date_add(F.lit("2023-01-01").cast("date"), F.pmod(page_id * 7919, F.lit(730)).cast("int"))
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """A dated list made from the hosts of the pages: every fifth page has its host listed on a day, every seventh has
+    it taken off, every eleventh has the domain above it listed."""
+    from_pages = pages.select("page_id", html_extract.host_of(F.col("url")).alias("host")).filter("host != ''")
+    day = F.date_add(F.lit("2023-01-01").cast("date"), F.pmod(F.col("page_id") * 104729, F.lit(730)).cast("int"))
+    above = F.regexp_replace("host", r"^[^.]*\.", "")
+    kinds = [(5, F.col("host"), "spam", "add"), (7, F.col("host"), "spam", "remove"), (11, above, "adult", "add"), (13, above, "adult", "remove")]
+    each = [
+        F.struct(F.when(F.pmod("page_id", F.lit(n)) == 0, p).alias("pattern"), F.lit(c).alias("category"), day.alias("day"), F.lit(a).alias("action"))
+        for n, p, c, a in kinds
+    ]
+    return from_pages.select(F.inline(F.array(*each))).filter("pattern is not null")
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", fetch_day(F.col("page_id")))
+    judged = url_filters.judge(captures, list_entries(pages))
+    return judged.select("page_id", F.col("fetched").cast("string").alias("fetched"), "blocked", "n_entries", "pattern", "category")
+
+
+OP4_SQL = r"""
+WITH p AS (
+  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+         DATE '2023-01-01' + CAST((page_id * 7919) % 730 AS INTEGER) AS fetched,
+         DATE '2023-01-01' + CAST((page_id * 104729) % 730 AS INTEGER) AS listed
+  FROM pages
+), e AS (
+  SELECT host AS pattern, 'spam' AS category, listed AS day, 'add' AS action FROM p WHERE page_id % 5 = 0 AND host <> ''
+  UNION ALL SELECT host, 'spam', listed, 'remove' FROM p WHERE page_id % 7 = 0 AND host <> ''
+  UNION ALL SELECT regexp_replace(host, '^[^.]*\.', ''), 'adult', listed, 'add' FROM p WHERE page_id % 11 = 0 AND host <> ''
+  UNION ALL SELECT regexp_replace(host, '^[^.]*\.', ''), 'adult', listed, 'remove' FROM p WHERE page_id % 13 = 0 AND host <> ''
+), d AS (
+  SELECT pattern, category, day, max(action) AS action FROM e GROUP BY ALL
+), i AS (
+  SELECT *, lead(day) OVER (PARTITION BY pattern, category ORDER BY day) AS next FROM d
+), a AS (
+  SELECT p.page_id, i.pattern, i.category
+  FROM p JOIN i ON (p.host = i.pattern OR p.host LIKE '%.' || i.pattern) AND i.action = 'add'
+    AND p.fetched >= i.day AND (i.next IS NULL OR p.fetched < i.next)
+), v AS (
+  SELECT page_id, count(*) AS n, min(struct_pack(l := -length(pattern), p := pattern, c := category)) AS best FROM a GROUP BY page_id
+)
+SELECT p.page_id, CAST(p.fetched AS VARCHAR) AS fetched, v.n IS NOT NULL AS blocked, coalesce(v.n, 0) AS n_entries,
+       v.best.p AS pattern, v.best.c AS category
+FROM p LEFT JOIN v USING (page_id)
+"""
+
+
 QUERIES = {
+    "op4_url_filters": (op4_url_filters, OP4_SQL),
     "op2_html_extract": (op2_html_extract, None),
     "op8_suffix_dedup": (op8_suffix_dedup, None),
     "op10_near_dedup": (op10_near_dedup, None),
