@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from caretide.llm import decontaminate, html_extract, language_id, license_scan, near_dedup, packing, quality_rules, suffix_index, url_filters
+from caretide.llm import decontaminate, html_extract, language_id, license_scan, near_dedup, packing, quality_model, quality_rules, suffix_index, url_filters
 from caretide.llm.common import table
 
 
@@ -96,7 +96,12 @@ FROM p LEFT JOIN v USING (page_id)
 """
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op5_quality_model": (op5_quality_model, None),
     "op4_url_filters": (op4_url_filters, OP4_SQL),
     "op2_html_extract": (op2_html_extract, None),
     "op8_suffix_dedup": (op8_suffix_dedup, None),
