@@ -153,12 +153,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row per document: doc_id, n_shingles, component_id (least id it is linked to, directly or not) and kept.
 
     Null or blank text: empty set, linked with nothing, kept. Rows repeated with id and text count as one document;
-    rows that share an id but not the text are linked through it. Empty table: no rows. Other columns are not read.
+    rows that share an id but not the text are linked through it. A null id: compared with nothing, component null, kept.
+    Empty table: no rows. Other columns are not read.
     """
     signed = stored(signatures(docs, doc_id, text, words).dropDuplicates(["doc_id", "n", "f1", "f2"]), "signatures")
     prints = ["n", "f1", "f2"]
-    classes = signed.filter("n > 0").groupBy(*prints).agg(F.min("doc_id").alias("rep"))
-    member = stored(signed.filter("n > 0").select("doc_id", *prints, "bands").join(classes, prints), "classes")
+    comparable = F.expr("n > 0 and doc_id is not null")
+    classes = signed.filter(comparable).groupBy(*prints).agg(F.min("doc_id").alias("rep"))
+    member = stored(signed.filter(comparable).select("doc_id", *prints, "bands").join(classes, prints), "classes")
 
     entries = member.filter(F.col("doc_id") == F.col("rep")).select("rep", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most")
@@ -199,8 +201,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     by_rep = found.withColumnRenamed("node", "rep")
     labelled = member.select("doc_id", *prints, "rep").join(by_rep, "rep", "left").select("doc_id", *prints, F.coalesce("component", "rep").alias("component_id"))
-    out = signed.filter("n = 0").select("doc_id", *prints, F.col("doc_id").alias("component_id")).unionByName(labelled)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    out = signed.filter(~comparable).select("doc_id", *prints, F.col("doc_id").alias("component_id")).unionByName(labelled)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _several(member: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from caretide.llm import decontaminate, html_extract, language_id, license_scan, near_dedup, packing, quality_model, quality_rules, suffix_index, url_filters
 from caretide.llm.common import table
 
@@ -101,6 +102,7 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
     "op5_quality_model": (op5_quality_model, None),
     "op4_url_filters": (op4_url_filters, OP4_SQL),
     "op2_html_extract": (op2_html_extract, None),

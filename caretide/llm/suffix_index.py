@@ -219,8 +219,7 @@ def window_scan(docs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def one_per_id(docs: DataFrame) -> DataFrame:
-    """Of rows that share an id, one with the least text; tables without such rows stay as they are. A null id counts
-    as the least."""
+    """Of rows that share an id, one with the least text; tables without such rows stay as they are."""
     if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return docs
     return docs.groupBy("doc_id").agg(F.min("text").alias("text"))
@@ -241,10 +240,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Removes every byte that a string of 100 bytes covers which also starts earlier: in a document of smaller id, or
     earlier in the same one. Null text: empty. Of rows that share an id the one with the least text counts (repeated
-    rows count once). Empty table: no rows. Ids are integers. Other columns of ``docs`` are not read.
+    rows count once). A null id: left as it is and compared with nothing. Empty table: no rows. Ids are integers. Other
+    columns of ``docs`` are not read.
     """
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    narrow = one_per_id(narrow)
+    every = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    narrow = one_per_id(every.filter("doc_id is not null"))
     limits = narrow.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     limits = sorted(set(map(int, limits)))
     index = SuffixIndex()
@@ -276,7 +276,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     changed = with_ids(narrow, ids).join(per_doc, "doc_id").mapInArrow(cut, schema)
     whole = F.coalesce("text", F.lit(""))
     zero = F.lit(0).cast("long")
-    same = without_ids(narrow, ids).select(
+    same = without_ids(narrow, ids).unionByName(every.filter("doc_id is null")).select(
         "doc_id",
         F.octet_length(whole).cast("long").alias("n_bytes"),
         zero.alias("n_removed"),
