@@ -112,8 +112,10 @@ def approval_state_machine(
 
 def approval_lookup(decisions: DataFrame, queue: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(decisions with the status of their entry, decisions without an entry)."""
-    entries = queue.select("encounter_id", F.col("status").alias("current_status"))
-    return decisions.join(entries, "encounter_id"), decisions.join(entries, "encounter_id", "left_anti")
+    entries = queue.select("encounter_id", F.col("status").alias("current_status"), F.lit(True).alias("__met"))
+    looked_up = decisions.join(entries, "encounter_id", "left")
+    met = F.col("__met").isNotNull()
+    return looked_up.filter(met).drop("__met"), looked_up.filter(~met).drop("__met", "current_status")
 
 
 def approval_sla_overdue(approvals: DataFrame, as_of: Column) -> DataFrame:

@@ -205,7 +205,8 @@ def _attempt_slots(name: str, mine: Column, carry: list[str]) -> list[Column]:
     """Aggregates for one retry loop: a slot per attempt and the number of the attempt to accept."""
     attempt, last = F.col("attempt"), S.MAX_RETRIES
     packed = F.struct("should_retry", "validated", "compliance_flags", *carry)
-    slots = [F.max_by(packed, F.when(mine & (attempt == i), F.lit(1))).alias(f"{name}_a{i}") for i in range(last + 1)]
+    # of an attempt that was delivered twice the greatest record counts, on every run the same
+    slots = [F.max(F.when(mine & (attempt == i), packed)).alias(f"{name}_a{i}") for i in range(last + 1)]
     done = mine & attempt.between(0, last) & (~F.col("should_retry") | (attempt == last))
     return [*slots, F.min(F.when(done, attempt)).alias(f"{name}_accepted")]
 
@@ -248,6 +249,15 @@ def resolve_retries(attempts: DataFrame, key: list[str], carry: list[str]) -> Da
     return _settle(slots, ["r"], carry).filter("r IS NOT NULL").select(*key, "r.*")
 
 
+def unsettled_retries(attempts: DataFrame, key: list[str]) -> DataFrame:
+    """The (encounter, node) pairs that ``resolve_retries`` has no attempt for: every one so far asks for a retry and the
+    last is still to come. ``attempts_made`` counts the different ones."""
+    last, attempt = S.MAX_RETRIES, F.col("attempt")
+    done = attempt.between(0, last) & (~F.col("should_retry") | (attempt == last))
+    made = attempts.groupBy(*key).agg(F.max(F.coalesce(done, F.lit(False))).alias("settled"), F.count_distinct("attempt").alias("attempts_made"))
+    return made.filter(~F.col("settled")).drop("settled")
+
+
 def resolve_retries_by_node(attempts: DataFrame, nodes: list[str], carry: list[str]) -> DataFrame:
     """As ``resolve_retries``, one row per encounter with a settled record per node: one shuffle for all nodes."""
     node = F.col("node_name")

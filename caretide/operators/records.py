@@ -40,13 +40,18 @@ def flatten_audit(df: DataFrame, doc: str = "doc", body: str = "body") -> DataFr
 FEEDBACK_KEYS = ["original_category", "corrected_category", "reviewer_id"]
 
 
-def flatten_feedback(df: DataFrame, doc: str = "doc") -> tuple[DataFrame, DataFrame]:
-    """(classifier_feedback rows, rejects missing a mandatory key)."""
-    d = F.col(doc)
+def judge_feedback(df: DataFrame, doc: str = "doc") -> DataFrame:
+    """Adds ``reject_reason``: set where a mandatory key is missing."""
     complete = F.lit(True)
     for k in FEEDBACK_KEYS:
-        complete = complete & V.present(d, k)
-    rows = df.filter(complete).select(
+        complete = complete & V.present(F.col(doc), k)
+    return df.withColumn("reject_reason", F.when(~complete, "missing_feedback_field"))
+
+
+def flatten_feedback(df: DataFrame, doc: str = "doc") -> tuple[DataFrame, DataFrame]:
+    """(classifier_feedback rows, rejects missing a mandatory key)."""
+    d, judged = F.col(doc), judge_feedback(df, doc)
+    rows = judged.filter(F.col("reject_reason").isNull()).select(
         V.get(d, "encounter_id", "string").alias("encounter_id"),
         V.get(d, "original_category", "string").alias("original_category"),
         V.get(d, "corrected_category", "string").alias("corrected_category"),
@@ -54,7 +59,7 @@ def flatten_feedback(df: DataFrame, doc: str = "doc") -> tuple[DataFrame, DataFr
         V.get(d, "reviewer_id", "string").alias("reviewer_id"),
         parse_time(V.get(d, "timestamp", "string")).alias("created_at"),
     )
-    return rows, df.filter(~complete).withColumn("reject_reason", F.lit("missing_feedback_field"))
+    return rows, judged.filter(F.col("reject_reason").isNotNull())
 
 
 def build_audit_doc(df: DataFrame, clock: Column) -> DataFrame:

@@ -1,7 +1,5 @@
 """Exact layered top-k protocol retrieval by cosine distance."""
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -85,18 +83,20 @@ def layer_of(source_type: Column) -> Column:
 
 
 def nearest(
-    queries: DataFrame, protocols: DataFrame, k: int, block_rows: int = 16_384, chunk_rows: int = 16_384
+    queries: DataFrame, protocols: DataFrame, k: int, blocks: int = 1, chunks: int | None = None
 ) -> DataFrame:
     """Top ``k`` of ``protocols`` (id, layer, embedding) for every row of ``queries`` (query_id, embedding).
 
-    Both sides are hashed into blocks of bounded size, and every (query chunk, protocol block) meets in one
-    bounded task that multiplies two matrices and keeps ``k`` candidates per query. Top-k merges, so the last
-    step only ranks ``k`` rows per query and block. Nothing is collected on the driver but two row counts.
+    Queries are hashed into ``chunks`` and protocols into ``blocks``, and every (chunk, block) meets in one task that
+    multiplies two matrices and keeps ``k`` candidates per query. Top-k merges, so the last step only ranks ``k`` rows
+    per query and block. Nothing runs before the caller's action.
+
+    ``chunks`` defaults to the number of shuffle partitions, so the protocols are copied as often as there are tasks
+    and no oftener. A task holds one chunk and one block: choose ``chunks`` for at most about 10^5 queries each, and
+    ``blocks`` for at most about 10^5 protocols.
     """
-    n_blocks = max(1, math.ceil(protocols.count() / block_rows))
-    n_chunks = max(1, math.ceil(queries.count() / chunk_rows))
-    session = queries.sparkSession
-    n_chunks = max(n_chunks, min(session.sparkContext.defaultParallelism, 8) if n_blocks == 1 else 1)
+    n_blocks = blocks
+    n_chunks = chunks or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     q = queries.select(
         "query_id", "embedding",
         F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)).cast("int").alias("chunk"),

@@ -12,31 +12,45 @@ def _passes(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
+def judge(df: DataFrame, condition: Column, reason: str) -> DataFrame:
+    """Adds ``reject_reason``: null for rows that satisfy ``condition``, else ``reason``; null counts as failing. One
+    pass over the input, where the pair from ``split`` costs one for each side that is used."""
+    return df.withColumn("reject_reason", F.when(~_passes(condition), F.lit(reason)))
+
+
 def split(df: DataFrame, condition: Column, reason: str) -> tuple[DataFrame, DataFrame]:
-    """(rows that satisfy ``condition``, the others with a ``reject_reason``); null counts as failing."""
-    ok = _passes(condition)
-    return df.filter(ok), df.filter(~ok).withColumn("reject_reason", F.lit(reason))
+    """(accepted rows, rejects) of ``judge``."""
+    judged = judge(df, condition, reason)
+    return judged.filter(F.col("reject_reason").isNull()).drop("reject_reason"), judged.filter(F.col("reject_reason").isNotNull())
 
 
 def filter_length(df: DataFrame, text: str) -> DataFrame:
     return df.filter(tx.length_ok(F.col(text)))
 
 
+def judge_injection(df: DataFrame, text: str) -> DataFrame:
+    return judge(df, ~tx.has_injection(F.col(text)), "prompt_injection")
+
+
 def filter_prompt_injection(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     return split(df, ~tx.has_injection(F.col(text)), "prompt_injection")
 
 
 def filter_not_expired(df: DataFrame, as_of: Column, expiry: str = "expiry_date") -> DataFrame:
-    """A protocol expires at midnight of its expiry date."""
-    return df.filter(F.col(expiry).isNull() | (F.col(expiry).cast("timestamp") > as_of))
+    """A protocol expires at midnight of its expiry date, so a later date than that of ``as_of`` is live; the
+    comparison of dates reaches the scan."""
+    return df.filter(F.col(expiry).isNull() | (F.col(expiry) > F.to_date(as_of)))
+
+
+def mark_enums(df: DataFrame, allowed: dict[str, list[str]]) -> DataFrame:
+    """Adds ``enum_violations``: the listed columns that hold no allowed value."""
+    broken = [F.when(~_passes(F.col(c).isin(values)), F.lit(c)) for c, values in allowed.items()]
+    return df.withColumn("enum_violations", F.array_compact(F.array(*broken)))
 
 
 def check_enums(df: DataFrame, allowed: dict[str, list[str]]) -> tuple[DataFrame, DataFrame]:
     """Rows whose listed columns hold allowed values, and the violations with the offending columns."""
-    broken = F.array_compact(
-        F.array(*[F.when(~_passes(F.col(c).isin(values)), F.lit(c)) for c, values in allowed.items()])
-    )
-    marked = df.withColumn("enum_violations", broken)
+    marked = mark_enums(df, allowed)
     return (
         marked.filter(F.size("enum_violations") == 0).drop("enum_violations"),
         marked.filter(F.size("enum_violations") > 0),

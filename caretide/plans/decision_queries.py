@@ -281,6 +281,15 @@ def resolve_retries(spark, d):
     return out.select("encounter_id", "node", "attempt", bar("compliance_flags").alias("flags"), "validated", "content")
 
 
+@query(
+    "retries_unsettled",
+    f"""{ctes('attempts')} SELECT encounter_id, node, count(DISTINCT attempt) AS attempts_made FROM attempts GROUP BY 1, 2
+HAVING NOT bool_or(attempt BETWEEN 0 AND 2 AND (NOT should_retry OR attempt = 2))""",
+)
+def retries_unsettled(spark, d):
+    return O.unsettled_retries(load(spark, d, "attempts"), ["encounter_id", "node"])
+
+
 @query(
     "unavailable_result",
     f"""{ctes('attempts')}, r AS (SELECT * FROM attempts WHERE validated)

@@ -25,9 +25,9 @@ def envelopes(spark, d):
 
 @query("decode_envelope", f"{_decoded} SELECT message_id, CASE WHEN reject_reason IS NULL THEN json_extract_string(j, '$.encounter_id') END AS encounter_id, reject_reason FROM d")
 def decode_envelope(spark, d):
-    ok, rejects = M.decode_envelope(envelopes(spark, d))
-    good = ok.select("message_id", V.get(F.col("doc"), "encounter_id", "string").alias("encounter_id"), F.lit(None).cast("string").alias("reject_reason"))
-    return good.unionByName(rejects.select("message_id", F.lit(None).cast("string").alias("encounter_id"), "reject_reason"))
+    usable = F.col("reject_reason").isNull()
+    encounter = F.when(usable, V.get(F.col("doc"), "encounter_id", "string"))
+    return M.decode_message(envelopes(spark, d)).select("message_id", encounter.alias("encounter_id"), "reject_reason")
 
 
 @query(
@@ -37,9 +37,7 @@ FROM d WHERE reject_reason IS NULL GROUP BY 1""",
 )
 def route_events(spark, d):
     ok, _ = M.decode_envelope(envelopes(spark, d))
-    audit, feedback = M.route_events(ok)
-    both = audit.select(F.lit("audit").alias("route")).unionByName(feedback.select(F.lit("feedback").alias("route")))
-    return both.groupBy("route").agg(F.count("*").alias("n"))
+    return ok.groupBy(M.route(F.col("doc")).alias("route")).agg(F.count("*").alias("n"))
 
 
 def _str(path: str) -> str:
@@ -75,11 +73,9 @@ FROM d WHERE reject_reason IS NULL AND json_extract_string(j, '$.event_type') =
 )
 def flatten_feedback(spark, d):
     ok, _ = M.decode_envelope(envelopes(spark, d))
-    rows, rejects = R.flatten_feedback(M.route_events(ok)[1])
-    doc = F.col("doc")
+    judged = R.judge_feedback(M.route_events(ok)[1])
     fields = ["encounter_id", "original_category", "corrected_category", "reviewer_id"]
-    bad = rejects.select(*[V.get(doc, f, "string").alias(f) for f in fields], "reject_reason")
-    return rows.select(*fields, F.lit(None).cast("string").alias("reject_reason")).unionByName(bad)
+    return judged.select(*[V.get(F.col("doc"), f, "string").alias(f) for f in fields], "reject_reason")
 
 
 @query("snapshot", f"{_decoded} SELECT message_id, body FROM d WHERE {_is_audit}")
@@ -337,9 +333,8 @@ def audit_trail_entry(spark, d):
 SELECT v AS violations, count(*) AS n FROM k GROUP BY 1""",
 )
 def check_enums(spark, d):
-    ok, bad = screening.check_enums(load(spark, d, "calls"), {"node": ["extractor", "reasoner"], "model": S.MODEL_TIERS})
-    both = ok.select(F.lit("").alias("violations")).unionByName(bad.select(bar("enum_violations").alias("violations")))
-    return both.groupBy("violations").agg(F.count("*").alias("n"))
+    marked = screening.mark_enums(load(spark, d, "calls"), {"node": ["extractor", "reasoner"], "model": S.MODEL_TIERS})
+    return marked.groupBy(bar("enum_violations").alias("violations")).agg(F.count("*").alias("n"))
 
 
 @query(

@@ -11,8 +11,8 @@ from caretide.sources.tables import scratch, table_stream, write_partitioned
 from caretide.streaming import approvals as SA, ingest as I
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Process all available input and return what the sink holds."""
+def run_to_table(stream: DataFrame, name: str, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Process all available input and return what the sink holds; in update mode the newest row of each key."""
     spark = stream.sparkSession
     folder = scratch(spark, name)
 
@@ -22,7 +22,11 @@ def run_to_table(stream: DataFrame, name: str, mode: str) -> DataFrame:
 
     writer = stream.writeStream.outputMode(mode).foreachBatch(write)
     writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    if not keys:
+        return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    updates = spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+    newest = updates.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("row"))
+    return newest.select("row.*")
 
 
 @query("write_partitioned", f"{ctes('calls')} SELECT CAST(CAST(ts AS DATE) AS STRING) AS day, node, count(*) AS n FROM calls GROUP BY 1, 2")
@@ -78,12 +82,12 @@ def approval_stream(spark, d):
 
 @query(
     "dead_letter_stream",
-    f"WITH {_deliveries_sql} SELECT message_id, CAST(count(*) FILTER (NOT ok) AS BIGINT) AS failures, count(*) FILTER (NOT ok) >= 5 OR bool_or(permanent AND NOT ok) AS dead FROM deliveries GROUP BY 1",
+    f"WITH {_deliveries_sql} SELECT message_id, CAST(count(*) FILTER (NOT ok) AS BIGINT) AS failures, count(*) FILTER (NOT ok) >= 5 OR bool_or(permanent AND NOT ok) AS dead FROM deliveries GROUP BY 1 HAVING NOT bool_or(ok)",
 )
 def dead_letter_stream(spark, d):
     log = table_stream(spark, d, "events").selectExpr(*[f"{e} AS {c}" for c, e in _deliveries.items()])
     log = log.withColumn("delivered_at", F.col("delivered_at").cast("timestamp"))
-    return run_to_table(I.dead_letter_stream(log), "dead", "complete")
+    return I.latest_dead(run_to_table(I.dead_letter_stream(log), "dead", "update", ["message_id", "window_start"]))
 
 
 @query("dedup_stream", f"SELECT DISTINCT {_repeated} AS message_id FROM events")
@@ -96,14 +100,14 @@ def dedup_stream(spark, d):
 def usage_stream(spark, d):
     calls = load_stream(spark, d, "calls").withColumn("ts", F.col("ts").cast("timestamp"))
     hourly = I.usage_stream(L.llm_usage_points(calls), "token_count", ["model"], "1 hour")
-    out = run_to_table(hourly, "usage", "complete")
+    out = run_to_table(hourly, "usage", "update", ["model", "window"])
     return out.select("model", epoch(F.col("window.start")).alias("start"), "value")
 
 
 @query("rate_limit_stream", f"{ctes('requests')} SELECT client, {sql_period('ts', 3600)} AS start, count(*) AS requests FROM requests GROUP BY 1, 2 HAVING count(*) > 2")
 def rate_limit_stream(spark, d):
     logs = load_stream(spark, d, "requests").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = run_to_table(I.rate_limit_stream(logs, 2, "1 hour"), "limits", "complete")
+    out = run_to_table(I.rate_limit_stream(logs, 2, "1 hour"), "limits", "update", ["client", "window"])
     return out.select("client", epoch(F.col("window.start")).alias("start"), "requests")
 
 

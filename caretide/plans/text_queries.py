@@ -67,13 +67,12 @@ _counted = " UNION ALL ".join(
 
 @query(
     "redaction_summary",
-    f"{ctes('encounters')},\nfit AS (SELECT * FROM encounters WHERE length(encounter_text) BETWEEN {S.MIN_TEXT_CHARS} AND {S.MAX_TEXT_CHARS}),\n"
-    f"{mask_sql('fit', 'encounter_text', S.PII_PATTERNS, S.PII_TAG, ', lang')}\n{_counted}",
+    f"{ctes('encounters')},\n"
+    f"{mask_sql('encounters', 'encounter_text', S.PII_PATTERNS, S.PII_TAG, ', lang')}\n{_counted}",
 )
 def redaction_summary(spark, d):
-    """Length filter, masking, then counts by language and type: one map-side pass and one small shuffle."""
-    fit = screening.filter_length(load(spark, d, "encounters").select("encounter_id", "encounter_text", "lang"), "encounter_text")
-    return R.redaction_summary(fit, "encounter_text", ["lang"])
+    """Masking of every text, then counts by language and type: one map-side pass and one small shuffle."""
+    return R.redaction_summary(load(spark, d, "encounters").select("encounter_id", "encounter_text", "lang"), "encounter_text", ["lang"])
 
 
 @query("filter_length", f"{ctes('encounters')} SELECT encounter_id, length(encounter_text) AS n FROM encounters WHERE length(encounter_text) BETWEEN 10 AND 50000")
@@ -87,8 +86,8 @@ _injected = "regexp_matches(encounter_text, " + quoted("(?i)(?:" + "|".join(S.IN
 
 @query("filter_prompt_injection", f"{ctes('encounters')} SELECT encounter_id, CASE WHEN {_injected} THEN 'prompt_injection' END AS reject_reason FROM encounters")
 def filter_prompt_injection(spark, d):
-    ok, bad = screening.filter_prompt_injection(load(spark, d, "encounters").select("encounter_id", "encounter_text"), "encounter_text")
-    return ok.withColumn("reject_reason", F.lit(None).cast("string")).unionByName(bad).select("encounter_id", "reject_reason")
+    judged = screening.judge_injection(load(spark, d, "encounters").select("encounter_id", "encounter_text"), "encounter_text")
+    return judged.select("encounter_id", "reject_reason")
 
 
 _critical = "(" + " OR ".join(f"contains(lower(encounter_text), {quoted(w)})" for w in S.CRITICAL_KEYWORDS) + ")"

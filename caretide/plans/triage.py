@@ -46,11 +46,14 @@ def triage(
     """One row per accepted encounter with routing, extraction, decision, check, flags and trail.
 
     ``responses`` holds every model attempt (encounter_id, node_name, attempt, content, model, tokens, cost,
-    duration, call_ok); ``cases`` the retrieved protocols per encounter. No stage stops the ones after it.
+    duration, call_ok); ``cases`` the retrieved protocols per encounter. No stage stops the ones after it. The
+    encounters left out are the second frame of ``accept``.
     """
     clock = F.lit("1970-01-01T00:00:00+00:00") if clock is None else clock
     accepted, _ = accept(encounters)
-    df = route(accepted.join(settle_responses(responses), "encounter_id", "left"))
+    # answers to encounters that were refused are dropped before anything is validated
+    wanted = responses.join(accepted.select("encounter_id"), "encounter_id", "left_semi")
+    df = route(accepted.join(settle_responses(wanted), "encounter_id", "left"))
     if cases is not None:
         df = df.join(cases.withColumnRenamed("query_id", "encounter_id"), "encounter_id", "left")
     for n in S.NODES:

@@ -48,6 +48,15 @@ SELECT encounter_id, category, CASE tier WHEN 0 THEN '{S.LOW_TIER}' WHEN 1 THEN
   NOT (h > 0.15 OR s < 0.85) AS passed, (h > 0.15 OR s < 0.85) AS tripped, (xj IS NULL OR NOT dg) AS stage_breaker FROM t"""
 
 
+@query(
+    "triage_rejects",
+    f"""{ctes('encounters')}, j AS (SELECT encounter_id, CASE WHEN NOT length(encounter_text) BETWEEN {S.MIN_TEXT_CHARS} AND {S.MAX_TEXT_CHARS} THEN 'length'
+  WHEN {_injected} THEN 'prompt_injection' END AS reject_reason FROM encounters) SELECT * FROM j WHERE reject_reason IS NOT NULL""",
+)
+def triage_rejects(spark, d):
+    return T.accept(load(spark, d, "encounters").select("encounter_id", "encounter_text"))[1].select("encounter_id", "reject_reason")
+
+
 @query("triage", _triage_sql)
 def triage(spark, d):
     out = T.triage(load(spark, d, "encounters").select("encounter_id", "encounter_text"), responses_by_node(spark, d))

@@ -1,5 +1,9 @@
 """Session settings the plans are written for."""
 
+#: Set by a caller whose tables are single unsplittable files: partitions that heavy inputs are dealt out to. Unset on a
+#: cluster, where the scan has splits enough.
+SCAN_PARTITIONS = "spark.caretide.scanPartitions"
+
 CONF = {
     # runtime re-planning: partition sizes, skewed joins and writes
     "spark.sql.adaptive.enabled": "true",

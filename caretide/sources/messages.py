@@ -39,6 +39,11 @@ def is_feedback(doc: Column) -> Column:
     return V.get(doc, "event_type", "string").eqNullSafe("classifier_feedback")
 
 
+def route(doc: Column) -> Column:
+    """Where a usable message goes: everything that is not feedback, including events without a type, is audit."""
+    return F.when(is_feedback(doc), F.lit("feedback")).otherwise(F.lit("audit"))
+
+
 def route_events(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(audit, feedback): everything that is not feedback, including events without a type, is audit."""
     return df.filter(~is_feedback(F.col("doc"))), df.filter(is_feedback(F.col("doc")))

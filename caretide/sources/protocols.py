@@ -9,7 +9,11 @@ from caretide.functions import text as tx, vectors
 
 
 def seed_protocols(existing: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Existing protocols plus the seeds not there yet, matched on (title, version)."""
+    """Existing protocols plus the seeds not there yet, matched on (title, version); of seeds that share both, the
+    least record (by id, where there is one)."""
+    rest = sorted((c for c in seeds.columns if c not in ("title", "version")), key=lambda c: (c != "id", c))
+    first = seeds.groupBy("title", "version").agg(F.min(F.struct(F.lit(0).alias("__0"), *rest)).alias("__s"))
+    seeds = first.select("title", "version", "__s.*").select(*seeds.columns)
     same = existing.select(F.col("title").alias("__t"), F.col("version").alias("__v"))
     match = F.col("title").eqNullSafe(F.col("__t")) & F.col("version").eqNullSafe(F.col("__v"))
     return existing.unionByName(seeds.join(same, match, "left_anti"), allowMissingColumns=True)

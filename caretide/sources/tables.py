@@ -12,27 +12,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out evenly when the scan has fewer splits than there are cores, as with one small file.
-    Large tables have many splits and are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def read_encounters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(encounters of a JSON array, records that do not fit the schema, as text)."""
+    schema = schemas.ENCOUNTERS_JSON + ", _corrupt_record STRING"
+    read = spark.read.schema(schema).json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record").cache()
+    broken = F.col("_corrupt_record").isNotNull()
+    return read.filter(~broken).drop("_corrupt_record"), read.filter(broken).select(F.col("_corrupt_record").alias("record"))
 
 
-def read_encounters(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of encounters."""
-    return spark.read.schema(schemas.ENCOUNTERS_JSON).json(path, multiLine=True)
-
-
-def write_partitioned(df: DataFrame, path: str, keys: list[str], ts: str = "created_at", mode: str = "append") -> None:
-    """Day partitions, clustered by ``keys`` inside.
+def write_partitioned(
+    df: DataFrame, path: str, keys: list[str], ts: str = "created_at", mode: str = "append", batch: int | None = None
+) -> None:
+    """Day partitions, clustered by ``keys`` inside. With ``batch``, a folder per batch within each day; ``overwrite``
+    then replaces that batch's folders alone.
 
     The rebalance hint shuffles by day and lets the adaptive planner split a busy day into several tasks and
     merge quiet ones, so files come out near the advisory size; sorting keeps narrow key ranges per row group.
     """
     dated = df.withColumn("day", F.to_date(ts))
     laid_out = dated.hint("rebalance", "day").sortWithinPartitions("day", *keys, ts)
-    laid_out.write.mode(mode).partitionBy("day").parquet(path)
+    if batch is None:
+        laid_out.write.mode(mode).partitionBy("day").parquet(path)
+    else:
+        writer = laid_out.withColumn("batch", F.lit(batch)).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("day", "batch").parquet(path)
 
 
 AUDIT_CLUSTER = ["encounter_id", "node_name"]

@@ -9,9 +9,10 @@ from caretide import settings as S
 from caretide.functions import variants as V
 from caretide.operators import keyed, records
 from caretide.sources import messages
-from caretide.sources.tables import AUDIT_CLUSTER, FEEDBACK_CLUSTER, spread, write_partitioned
+from caretide.sources.tables import AUDIT_CLUSTER, FEEDBACK_CLUSTER, write_partitioned
 
-WATERMARK = "10 minutes"
+#: A message is redelivered or first delivered late for as long as it is retained; nothing younger is dropped.
+WATERMARK = f"{S.MESSAGE_RETENTION_SECONDS} seconds"
 
 
 def read_topic(spark: SparkSession, fmt: str, options: dict[str, str], schema=None) -> DataFrame:
@@ -65,33 +66,56 @@ def split_audit_batch(judged: DataFrame) -> dict[str, DataFrame]:
 def audit_stream(stream: DataFrame, out: str, checkpoint: str, once: bool = False, seconds: int = S.FLUSH_SECONDS):
     """Decode, split, flatten and append each micro-batch to ``out``/{audit_trail,classifier_feedback,rejects}.
 
-    Files of a batch go under ``batch=<id>`` in overwrite mode, so a batch replayed after a lost driver
-    replaces its own files instead of doubling them.
+    With a ``publish_time``, a message id that came before within the retention is dropped first. Files go under
+    ``day=…/batch=<id>``, and a batch overwrites its own folders only, so one replayed after a lost driver replaces
+    its files instead of doubling them, and a day is read without listing all batches. ``compact`` merges the small
+    files of days that are over.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        judged = judge_messages(spread(batch)).persist()
+        judged = judge_messages(batch).persist()
         try:
             parts = split_audit_batch(judged)
-            write_partitioned(parts["audit_trail"], f"{out}/audit_trail/batch={batch_id}", AUDIT_CLUSTER, mode="overwrite")
-            write_partitioned(
-                parts["classifier_feedback"], f"{out}/classifier_feedback/batch={batch_id}", FEEDBACK_CLUSTER, mode="overwrite"
-            )
+            write_partitioned(parts["audit_trail"], f"{out}/audit_trail", AUDIT_CLUSTER, mode="overwrite", batch=batch_id)
+            write_partitioned(parts["classifier_feedback"], f"{out}/classifier_feedback", FEEDBACK_CLUSTER, mode="overwrite", batch=batch_id)
             parts["rejects"].write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}")
         finally:
             judged.unpersist()
 
-    return _start(stream.writeStream.foreachBatch(write), checkpoint, once, seconds).start()
+    unique = dedup_stream(stream) if "publish_time" in stream.columns else stream
+    return _start(unique.writeStream.foreachBatch(write), checkpoint, once, seconds).start()
+
+
+def compact(spark: SparkSession, path: str, out: str, before: str, keys: list[str]) -> None:
+    """Days of a table before ``before`` (a date) rewritten to ``out`` with files near the advisory size. A day that is
+    there already is replaced, so the job can be repeated; the source is left for the caller to drop."""
+    closed = spark.read.parquet(path).filter(F.col("day") < F.lit(before).cast("date")).drop("batch")
+    laid_out = closed.hint("rebalance", "day").sortWithinPartitions("day", *keys, "created_at")
+    laid_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(out)
 
 
 def dead_letter_stream(deliveries: DataFrame, max_attempts: int = S.MAX_DELIVERY_ATTEMPTS) -> DataFrame:
-    """Failure count per message so far; ``dead`` turns true at the limit. Run in update mode."""
-    failed = ~F.col("ok")
-    retained = deliveries.withWatermark("delivered_at", f"{S.MESSAGE_RETENTION_SECONDS} seconds")
-    return retained.groupBy("message_id").agg(
+    """Failure count per message so far; ``dead`` turns true at the limit, and false again if the message is delivered
+    after all, as in the batch form. Run in update mode.
+
+    Windows of twice the retention, one starting every retention, hold all deliveries of a message in one of them, and
+    their state is dropped when they have passed. A message may so have two rows; ``latest_dead`` joins them.
+    """
+    failed, retained = ~F.col("ok"), f"{S.MESSAGE_RETENTION_SECONDS} seconds"
+    windows = F.window("delivered_at", f"{2 * S.MESSAGE_RETENTION_SECONDS} seconds", retained)
+    counted = deliveries.withWatermark("delivered_at", retained).groupBy("message_id", windows).agg(
         F.count_if(failed).alias("failures"),
-        ((F.count_if(failed) >= max_attempts) | F.coalesce(F.max(F.col("permanent") & failed), F.lit(False))).alias("dead"),
+        F.max("ok").alias("delivered"),
+        F.coalesce(F.max(F.col("permanent") & failed), F.lit(False)).alias("permanent"),
     )
+    dead = ~F.col("delivered") & ((F.col("failures") >= max_attempts) | F.col("permanent"))
+    return counted.select("message_id", F.col("window.start").alias("window_start"), "failures", "delivered", dead.alias("dead"))
+
+
+def latest_dead(counted: DataFrame) -> DataFrame:
+    """One row per undelivered message from the newest state of its windows: failures and ``dead``."""
+    joined = counted.groupBy("message_id").agg(F.max("failures").alias("failures"), F.max("delivered").alias("delivered"), F.max("dead").alias("dead"))
+    return joined.filter(~F.col("delivered")).drop("delivered")
 
 
 def change_feed_stream(stream: DataFrame, state: str, out: str, checkpoint: str, once: bool = False, limit: int = S.SESSION_FEED_ROWS):

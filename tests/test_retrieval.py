@@ -25,8 +25,8 @@ def brute_force(queries, protocols, k):
     return out
 
 
-@pytest.mark.parametrize("block_rows,chunk_rows", [(1000, 1000), (7, 5), (1, 1)])
-def test_nearest_equals_brute_force(spark, block_rows, chunk_rows):
+@pytest.mark.parametrize("blocks,chunks", [(1, 1), (7, 5), (1, None)])
+def test_nearest_equals_brute_force(spark, blocks, chunks):
     rng = np.random.default_rng(5)
     base = [rng.normal(size=8).round(2).tolist() for _ in range(12)]
     protocols = [(f"p{i:02d}", i % 3 // 2, base[i % 12]) for i in range(30)]  # every vector two or three times
@@ -36,7 +36,7 @@ def test_nearest_equals_brute_force(spark, block_rows, chunk_rows):
     p = spark.createDataFrame(protocols, "id string, layer int, embedding array<float>")
     for k in (1, 4, 25, 50):
         got = {}
-        for r in R.nearest(q, p, k, block_rows, chunk_rows).orderBy("query_id", "rank").collect():
+        for r in R.nearest(q, p, k, blocks, chunks).orderBy("query_id", "rank").collect():
             got.setdefault(r["query_id"], []).append((r["id"], r["layer"], r["kind"]))
         assert got == brute_force(queries, protocols, k)
 

@@ -41,6 +41,25 @@ def test_audit_stream_tables(spark, tmp_path):
     assert counts == {"audit_trail": 199 - len(bad) - len(feedback), "classifier_feedback": len(feedback), "rejects": len(bad)}
     days = spark.read.parquet(f"{out}/audit_trail").select("day").distinct().count()
     assert days == 3
+    I.compact(spark, f"{out}/audit_trail", f"{out}/closed", "2026-01-03", ["encounter_id"])
+    I.compact(spark, f"{out}/audit_trail", f"{out}/closed", "2026-01-03", ["encounter_id"])
+    closed = spark.read.parquet(f"{out}/audit_trail").filter("day < DATE '2026-01-03'").count()
+    assert spark.read.parquet(f"{out}/closed").count() == closed
+
+
+def test_late_and_repeated_messages(spark, tmp_path):
+    def write(rows, mode):
+        frame = [(m, base64.b64encode(json.dumps({"encounter_id": m, "timestamp": "2026-01-01T10:00:00Z"}).encode()).decode(), t) for m, t in rows]
+        df = spark.createDataFrame(frame, "message_id string, data string, t int").withColumn("publish_time", F.timestamp_seconds("t")).drop("t")
+        df.coalesce(1).write.mode(mode).parquet(str(tmp_path / "in"))
+        return df.schema
+
+    for rows, mode in (([("a", 100_000), ("b", 100_000)], "overwrite"), ([("a", 100_000), ("late", 1_000), ("c", 140_000)], "append")):
+        schema = write(rows, mode)
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        I.audit_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
+    got = [r["encounter_id"] for r in spark.read.parquet(str(tmp_path / "out" / "audit_trail")).collect()]
+    assert sorted(got) == ["a", "b", "c", "late"]
 
 
 def test_audit_stream_resumes_from_its_checkpoint(spark, tmp_path):
@@ -97,7 +116,9 @@ def test_change_feed_stream(spark, tmp_path):
 def test_dead_letter_stream_counts(spark, tmp_path):
     rows = [("a", False, False, i) for i in range(5)] + [("b", False, True, 0), ("c", False, False, 0)]
     df = spark.createDataFrame(rows, "message_id string, ok boolean, permanent boolean, t int").withColumn("delivered_at", F.timestamp_seconds("t")).drop("t")
-    out = run_to_table(I.dead_letter_stream(as_stream(spark, tmp_path, df, "d")), "dead", "complete")
+    df = df.unionByName(df.filter("message_id = 'b'").withColumns({"message_id": F.lit("d"), "ok": F.lit(True)}))
+    stream = I.dead_letter_stream(as_stream(spark, tmp_path, df, "d"))
+    out = I.latest_dead(run_to_table(stream, "dead", "update", ["message_id", "window_start"]))
     assert {r["message_id"]: (r["failures"], r["dead"]) for r in out.collect()} == {"a": (5, True), "b": (1, True), "c": (1, False)}
 
 
