@@ -61,6 +61,9 @@ def parse_extraction(df: DataFrame, content: str) -> DataFrame:
         ).alias("vitals"),
         V.get(obj, "symptoms", schemas.EXTRACTION_SYMPTOMS).alias("symptoms"),
         V.get(obj, "medications", schemas.EXTRACTION_MEDICATIONS).alias("medications"),
+        F.struct(
+            *[V.get(obj, f"history.{n}", "array<string>").alias(n) for n in ["conditions", "allergies", "surgeries"]]
+        ).alias("history"),
         V.get(obj, "chief_complaint", "string").alias("chief_complaint"),
         V.get(obj, "assessment_notes", "string").alias("assessment_notes"),
     )

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caretide.functions import labels, text as tx, variants as V
+from caretide.operators.redaction import strip_phi
 
 
 def parse_time(text: Column) -> Column:
@@ -63,7 +64,16 @@ def flatten_feedback(df: DataFrame, doc: str = "doc") -> tuple[DataFrame, DataFr
 
 
 def build_audit_doc(df: DataFrame, clock: Column) -> DataFrame:
-    """The 12-field audit document of one node step, from its flat columns."""
+    """The 12-field audit document of one node step, from its flat columns. Health identifiers are stripped from both
+    summaries, and the flags of both passes follow those of the step."""
+    df = strip_phi(strip_phi(df, "input_summary", "__in_"), "output_summary", "__out_")
+    df = df.withColumns(
+        {
+            "input_summary": F.col("__in_text"),
+            "output_summary": F.col("__out_text"),
+            "compliance_flags": F.concat("compliance_flags", "__in_flags", "__out_flags"),
+        }
+    )
     return df.select(
         "encounter_id", "node", "model", "routing_decision", "input_summary", "output_summary",
         "tokens", "cost_usd", "compliance_flags", "sentinel_check", "duration_ms", clock.alias("timestamp"),

@@ -94,6 +94,8 @@ def parse_classification(spark, d):
     f"""{_parsed('extraction_json')} SELECT encounter_id, CAST(json_extract_string(j, '$.vitals.heart_rate') AS DOUBLE) AS heart_rate,
   json_extract_string(j, '$.vitals.blood_pressure') AS blood_pressure, CAST(json_extract_string(j, '$.vitals.spo2') AS DOUBLE) AS spo2,
   CAST(coalesce(len(json_extract_string(j, '$.symptoms[*].description')), -1) AS INT) AS n_symptoms,
+  coalesce(array_to_string(json_extract_string(j, '$.history.allergies[*]'), '|'), '') AS allergies,
+  CAST(coalesce(json_array_length(j, '$.history.conditions'), -1) AS INT) AS n_conditions,
   json_extract_string(j, '$.chief_complaint') AS chief_complaint, j IS NULL AS failed,
   CASE WHEN j IS NULL THEN 'Extractor failed to parse LLM output' END AS error FROM p""",
 )
@@ -103,6 +105,8 @@ def parse_extraction(spark, d):
     return df.select(
         "encounter_id", e["vitals"]["heart_rate"].alias("heart_rate"), e["vitals"]["blood_pressure"].alias("blood_pressure"),
         e["vitals"]["spo2"].alias("spo2"), F.coalesce(F.size(e["symptoms"]), F.lit(-1)).alias("n_symptoms"),
+        F.coalesce(bar(e["history"]["allergies"]), F.lit("")).alias("allergies"),
+        F.coalesce(F.size(e["history"]["conditions"]), F.lit(-1)).alias("n_conditions"),
         e["chief_complaint"].alias("chief_complaint"), F.col("extraction_failed").alias("failed"), F.col("extraction_error").alias("error"),
     )
 
