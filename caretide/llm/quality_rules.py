@@ -102,7 +102,7 @@ def shares() -> dict[str, Column]:
 
 
 def thresholds(measured: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per group: number of documents and the lower and upper fence of every share.
+    """One row per group (none of an empty table): number of documents and the lower and upper fence of every share.
 
     Partial sketches are made map-side, so a source with a third of all rows sends one sketch per task.
     """
@@ -111,6 +111,7 @@ def thresholds(measured: DataFrame, keys: list[str]) -> DataFrame:
         F.count("*").alias("n_group"),
         *(F.kll_sketch_agg_double(v.cast("double"), F.lit(SKETCH_K)).alias(k) for k, v in named.items()),
     )
+    sketches = sketches.filter("n_group > 0")  # an empty table has no sketch to ask
     out = [F.col(k) for k in keys] + [F.col("n_group")]
     for k in named:
         q1, q3 = (F.kll_sketch_get_quantile_double(k, F.lit(q)) for q in (0.25, 0.75))
@@ -140,7 +141,7 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     narrow = stored(measured.select("_lang", "_source", *COUNTS), "quality-measures")
     fences = _fences()
     whole = thresholds(narrow, []).first()
-    whole = F.struct(*(F.lit(whole[k]).cast("double").alias(k) for k in fences))
+    whole = F.struct(*(F.lit(whole[k] if whole else None).cast("double").alias(k) for k in fences))
     by_lang = thresholds(narrow, ["_lang"]).select("_lang", F.when(F.col("n_group") >= MIN_GROUP, F.struct(*fences)).alias("_l"))
     by_source = thresholds(narrow, ["_lang", "_source"]).select(
         "_lang", "_source", F.when(F.col("n_group") >= MIN_GROUP, F.struct(*fences)).alias("_s")
