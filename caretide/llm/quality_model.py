@@ -21,7 +21,7 @@ ORDER = 5
 #: Entries (16 bytes each) of one broadcast shard.
 SHARD_ENTRIES = 4_000_000
 #: A document passes up to this quantile of its language's trusted perplexities, with this much allowance.
-QUANTILE, ALLOWANCE = 0.99, 1.15
+QUANTILE, ALLOWANCE = 0.99, 1.25
 #: And this much more surprise in all (in nats), which only matters for a text of a few words.
 SLACK = 8.0
 #: Languages with fewer trusted documents take the threshold of all.
