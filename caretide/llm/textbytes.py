@@ -57,6 +57,11 @@ def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
         at = to
 
 
+def _next_space(data: np.ndarray, at: int) -> int:
+    found = np.flatnonzero(SPACE[data[at:]])
+    return at + int(found[0]) if len(found) else len(data)
+
+
 #: ASCII white space: the separators of words.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -64,9 +69,25 @@ LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
 
 
+#: A single text longer than this is cut at white space while it is hashed.
+LONG = 4 << 20
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the white-space separated, A-Z lowered words of all texts in order, and the number of words in
     each text."""
+    n = len(data)
+    if n > LONG and len(offsets) == 2:
+        cuts = [0]
+        while cuts[-1] < n:
+            spaces = np.flatnonzero(SPACE[data[cuts[-1] + LONG // 4 : cuts[-1] + LONG]])
+            cuts.append(min(n, cuts[-1] + LONG // 4 + int(spaces[0]) if len(spaces) else _next_space(data, cuts[-1] + LONG)))
+        parts = [_hashes(data[a:b], np.array([0, b - a]))[0] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return np.concatenate(parts), np.array([sum(map(len, parts))])
+    return _hashes(data, offsets)
+
+
+def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
