@@ -31,6 +31,9 @@ from caretide.llm.textbytes import flat, mixed, slices
 WIDTH, GRAM = 100, 32
 #: Batches that a whole table is added in.
 BATCHES = 2
+#: Parts, by anchor, that the windows of edges are looked at in, one after the other, so that the hashes of all are never
+#: on disk at once. Equal windows have equal anchors, so no match crosses parts.
+PARTS = 6
 #: Bytes of text whose repeats are settled within a task.
 CHUNK = 8 << 20
 
@@ -147,34 +150,45 @@ class SuffixIndex:
         sent = stored(own, "runs")
         scanned = stored(merge_scan(sent.filter("new").drop("new"), [level for _, level in self.levels], more), "scanned")
         settled = stored(sent.filter("not new").select("doc_id", "start", "count"), "settled")
-        self.found += [scanned.filter(F.col("kind") == DUPLICATE).select("doc_id", "start", "count"), settled]
-        self.edges.append(scanned.filter(F.col("kind") == EDGE).drop("kind"))
         drop_stored(sent)
+        release(docs.sparkSession)
+        self.found += [stored(scanned.filter(F.col("kind") == DUPLICATE).select("doc_id", "start", "count"), "found"), settled]
+        self.edges.append(stored(scanned.filter(F.col("kind") == EDGE).drop("kind", "r"), "edges"))
+        if more:
+            self.levels.append((1, stored(scanned.filter(F.col("kind") == NEW).drop("kind"), "level")))
+        drop_stored(scanned)
         if more:
-            self.levels.append((1, scanned.filter(F.col("kind") == NEW).drop("kind")))
             while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
                 (n, upper), (_, lower) = self.levels.pop(), self.levels.pop()
                 both = lower.unionByName(upper).repartition(_partitions(docs.sparkSession), "a").sortWithinPartitions("a", "r")
                 self.levels.append((2 * n, stored(both, "level")))
+                drop_stored(upper, lower)
         release(docs.sparkSession)
 
     def spans(self, docs: DataFrame) -> DataFrame:
-        """doc_id, start, count: runs of windows that occur earlier. ``docs`` holds all batches."""
+        """doc_id, start, count: runs of windows that occur earlier. ``docs`` holds all batches; the index ends here."""
+        drop_stored(*(level for _, level in self.levels))
+        self.levels.clear()
         edges = self.edges[0]
         for e in self.edges[1:]:
             edges = edges.unionByName(e)
-        # an old run may have become an edge in several batches
-        edges = edges.select("doc_id", "start", "count").distinct()
-        found = window_scan(docs, edges)
-        for f in self.found:
+        found = self.found[0]
+        for f in self.found[1:]:
             found = found.unionByName(f)
+        # an old run may have become an edge in several batches
+        edges = edges.select("doc_id", "start", "count", F.pmod(F.xxhash64("a"), F.lit(PARTS)).alias("part")).distinct()
+        per_doc = stored(edges.groupBy("doc_id").agg(F.collect_list(F.struct("part", "start", "count")).alias("edges")), "edges")
+        texts = with_ids(docs.select("doc_id", "text"), per_doc.select("doc_id")).join(per_doc, "doc_id")
+        texts = stored(texts, "edge-texts")  # texts are moved once for all parts
+        for part in range(PARTS):
+            found = found.unionByName(window_scan(texts, part))
+        drop_stored(texts, per_doc)
         return found
 
 
-def window_scan(docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Windows of the given runs that an earlier window equals: doc_id, start, count (1)."""
-    per_doc = stored(edges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "count")).alias("edges")), "edges")
-    texts = with_ids(docs.select("doc_id", "text"), per_doc.select("doc_id")).join(per_doc, "doc_id")
+def window_scan(texts: DataFrame, wanted: int) -> DataFrame:
+    """Windows of the runs of one part that an earlier window equals: doc_id, start, count (1). ``texts``: doc_id, text and
+    edges (their part, start and count)."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +197,10 @@ def window_scan(docs: DataFrame, edges: DataFrame) -> DataFrame:
                 lists = part.column("edges")
                 inner = lists.flatten()
                 owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-                start, count = inner.field("start").to_numpy(), inner.field("count").to_numpy()
+                mine = inner.field("part").to_numpy() == wanted
+                owner, start, count = owner[mine], inner.field("start").to_numpy()[mine], inner.field("count").to_numpy()[mine]
+                if not len(owner):
+                    continue
                 owner = np.repeat(owner, count)
                 within = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
                 at = np.repeat(start, count) + within
@@ -210,11 +227,11 @@ def window_scan(docs: DataFrame, edges: DataFrame) -> DataFrame:
             yield rows.select(["doc_id", "start"]).filter(pa.array(again))
 
     first = hashed.filter("new").select("w1", "w2", "doc_id", "start")
-    dealt = first.repartition(_partitions(docs.sparkSession), "w1").sortWithinPartitions("w1", "w2", "doc_id", "start")
+    dealt = first.repartition(_partitions(texts.sparkSession), "w1").sortWithinPartitions("w1", "w2", "doc_id", "start")
     later = dealt.mapInArrow(scan, "doc_id long, start long").unionByName(hashed.filter("not new").select("doc_id", "start"))
     later = stored(later.withColumn("count", F.lit(1).cast("long")), "window-spans")
-    drop_stored(hashed, per_doc)
-    release(docs.sparkSession)
+    drop_stored(hashed)
+    release(texts.sparkSession)
     return later
 
 
