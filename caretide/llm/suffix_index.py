@@ -31,7 +31,7 @@ from caretide.llm.textbytes import flat, mixed, slices
 WIDTH, GRAM = 100, 32
 #: Batches that a whole table is added in.
 BATCHES = 2
-#: Parts, by anchor, that the windows of edges are looked at in, one after the other, so that the hashes of all are never
+#: Parts, by anchor, that the windows of edges are shuffled in, one after the other, so that only a part of the shuffle is
 #: on disk at once. Equal windows have equal anchors, so no match crosses parts.
 PARTS = 6
 #: Bytes of text whose repeats are settled within a task.
@@ -179,28 +179,26 @@ class SuffixIndex:
         edges = edges.select("doc_id", "start", "count", F.pmod(F.xxhash64("a"), F.lit(PARTS)).alias("part")).distinct()
         per_doc = stored(edges.groupBy("doc_id").agg(F.collect_list(F.struct("part", "start", "count")).alias("edges")), "edges")
         texts = with_ids(docs.select("doc_id", "text"), per_doc.select("doc_id")).join(per_doc, "doc_id")
-        texts = stored(texts, "edge-texts")  # texts are moved once for all parts
+        hashed = stored(window_hashes(texts), "windows")
         for part in range(PARTS):
-            found = found.unionByName(window_scan(texts, part))
-        drop_stored(texts, per_doc)
+            found = found.unionByName(window_scan(hashed.filter(F.col("part") == part)))
+        drop_stored(hashed, per_doc)
         return found
 
 
-def window_scan(texts: DataFrame, wanted: int) -> DataFrame:
-    """Windows of the runs of one part that an earlier window equals: doc_id, start, count (1). ``texts``: doc_id, text and
-    edges (their part, start and count)."""
+def window_hashes(texts: DataFrame) -> DataFrame:
+    """Hashes of the windows of all edges, with their part: new false for those that an earlier window of the same task
+    equals. ``texts``: doc_id, text and edges (part, start and count)."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", CHUNK // 4):
+            for part in slices(batch, "text", CHUNK // 16):
                 data, offsets = flat(part.column("text"))
                 lists = part.column("edges")
                 inner = lists.flatten()
                 owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-                mine = inner.field("part").to_numpy() == wanted
-                owner, start, count = owner[mine], inner.field("start").to_numpy()[mine], inner.field("count").to_numpy()[mine]
-                if not len(owner):
-                    continue
+                start, count = inner.field("start").to_numpy(), inner.field("count").to_numpy()
+                own_part = np.repeat(inner.field("part").to_numpy(), count)
                 owner = np.repeat(owner, count)
                 within = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
                 at = np.repeat(start, count) + within
@@ -210,11 +208,15 @@ def window_scan(texts: DataFrame, wanted: int) -> DataFrame:
                 order = np.lexsort((at, ids, w2, w1))
                 new = _first_of((w1, w2), order)
                 yield pa.record_batch(
-                    [*(pa.array(x[order]) for x in (w1.view(np.int64), w2.view(np.int64), ids, at)), pa.array(new)],
-                    names=["w1", "w2", "doc_id", "start", "new"],
+                    [*(pa.array(x[order]) for x in (own_part, w1.view(np.int64), w2.view(np.int64), ids, at)), pa.array(new)],
+                    names=["part", "w1", "w2", "doc_id", "start", "new"],
                 )
 
-    hashed = stored(texts.mapInArrow(windows, "w1 long, w2 long, doc_id long, start long, new boolean"), "windows")
+    return texts.mapInArrow(windows, "part long, w1 long, w2 long, doc_id long, start long, new boolean")
+
+
+def window_scan(hashed: DataFrame) -> DataFrame:
+    """Windows that an earlier window equals: doc_id, start, count (1)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -227,11 +229,10 @@ def window_scan(texts: DataFrame, wanted: int) -> DataFrame:
             yield rows.select(["doc_id", "start"]).filter(pa.array(again))
 
     first = hashed.filter("new").select("w1", "w2", "doc_id", "start")
-    dealt = first.repartition(_partitions(texts.sparkSession), "w1").sortWithinPartitions("w1", "w2", "doc_id", "start")
+    dealt = first.repartition(_partitions(hashed.sparkSession), "w1").sortWithinPartitions("w1", "w2", "doc_id", "start")
     later = dealt.mapInArrow(scan, "doc_id long, start long").unionByName(hashed.filter("not new").select("doc_id", "start"))
     later = stored(later.withColumn("count", F.lit(1).cast("long")), "window-spans")
-    drop_stored(hashed)
-    release(texts.sparkSession)
+    release(hashed.sparkSession)
     return later
 
 
