@@ -6,8 +6,9 @@ step or two per shingle. Registers of one document differ in their ranks and so
 
 Documents with equal sets are one class from the start (pre-aggregated by fingerprint). Classes that share a band are
 candidates. A band's members are compared with its least member first, never in all pairs; what is linked then is one
-component, and only pairs of a band that are still in different components are compared further, until none is left
-untested. With 32 bands of 4 registers a pair of similarity 0.8 shares no band once in 10^7.
+component. Bands that still hold different components are then settled exactly: classes around the same center are
+compared block by block within tasks that return links alone, and the few pairs of different centers one by one. With 32
+bands of 4 registers a pair of similarity 0.8 shares no band once in 10^7.
 """
 
 from collections.abc import Iterator
@@ -27,9 +28,11 @@ SIMILAR = 80
 #: Words in a shingle.
 WORDS = 2
 #: Bytes of text worked on at a time.
-CHUNK = 4 << 20
-#: Star rounds go on, at most so often, while the open pairs outnumber the band entries this many times.
-STAR_ROUNDS, OPEN = 4, 4
+CHUNK = 2 << 20
+#: Bands that a class must share with a leader to follow it; of similarity 0.8 it shares 13 of 32 on average.
+FOLLOWS = 4
+#: Classes in a block of the comparison of what one center has, and shingles multiplied at a time.
+BLOCK, COLUMNS = 256, 4096
 
 U64 = np.uint64
 _STEP, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -84,7 +87,7 @@ def super_minhash(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
 
 
 def band_keys(registers: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    rows = registers.reshape(len(registers), bands, -1)
+    rows = registers.reshape(len(registers), bands, registers.shape[1] // bands)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * U64(_STEP), rows.shape[:2])
     for i in range(rows.shape[2]):
         key = mixed(key + rows[:, :, i])
@@ -149,6 +152,75 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return both.filter(near).select("u", "v").distinct()
 
 
+def linked_across(rows: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Links between classes that share a band but neither center nor component."""
+    other = rows.select("key", F.col("rep").alias("v"), F.col("n").alias("m"), F.col("center").alias("e"), F.col("c").alias("d"))
+    sized = 100 * F.least("n", "m") >= similar * F.greatest("n", "m")
+    apart = (F.col("center") < F.col("e")) & (F.col("c") != F.col("d")) & sized
+    pairs = rows.join(other, "key").filter(apart).select(F.greatest("rep", "v").alias("u"), F.least("rep", "v").alias("v")).distinct()
+    return verified(stored(pairs, "pairs"), sets, similar)
+
+
+def block_links(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, cross: bool, similar: int) -> list[tuple[int, int]]:
+    """Pairs (i, least) that connect what similar sets of different components connect: each set with the first one that
+    it reaches. ``cross``: only sets of different sides are held against each other. Intersections of all pairs are
+    sums of small matrix products over shared shingles."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times[column] > 1  # what only one set has adds to no intersection
+    dense = (np.cumsum(times > 1) - 1)[column[several]]
+    owner = owner[several]
+    order = np.argsort(dense, kind="stable")
+    dense, owner = dense[order], owner[order]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(dense[-1]) + 1 if len(dense) else 0, COLUMNS):
+        a, b = np.searchsorted(dense, [at, at + COLUMNS])
+        block = np.zeros((len(sets), COLUMNS), np.float32)
+        block[owner[a:b], dense[a:b] - at] = 1
+        shared += block @ block.T
+    near = 100 * shared >= similar * (sizes[:, None] + sizes[None, :] - shared)
+    near &= component[:, None] != component[None, :]
+    if cross:
+        near &= side[:, None] != side[None, :]
+    near |= near.T
+    least = np.arange(len(sets))
+    while True:
+        reached = np.minimum(least, np.where(near, least[None, :], len(sets)).min(axis=1, initial=len(sets)))
+        if (reached == least).all():
+            break
+        least = reached
+    return [(i, int(k)) for i, k in enumerate(least) if i != k]
+
+
+def linked_inside(classes: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Links between classes (rep, center, c) of one center and different components.
+
+    Classes of a center are dealt into blocks of about BLOCK, and every two blocks meet in one task: each set is copied
+    once per block, and what leaves the task is at most one link for a class. However many copies a center has, a task
+    holds two blocks.
+    """
+    sizes = classes.groupBy("center").agg(F.count("*").alias("size"), F.min("c").alias("c"), F.max("c").alias("d")).filter("c < d")
+    dealt = classes.join(sizes.select("center", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "center")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    full = dealt.withColumn("own", own).join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    copied = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = copied.select("center", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "c", "shingles")
+    id_type = classes.schema["rep"].dataType.simpleString()
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        lists = rows.column("shingles").combine_chunks()
+        bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        found = [values[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        component = np.unique(np.array(rows.column("c").to_pylist()), return_inverse=True)[1]
+        pairs = block_links(found, component, rows.column("own").to_numpy(), key[1].as_py() != key[2].as_py(), similar)
+        ids = rows.column("rep")
+        u, v = (ids.take(pa.array([p[k] for p in pairs], pa.int64())) for k in (0, 1))
+        return pa.table({"u": u, "v": v})
+
+    return met.groupBy("center", "lo", "hi").applyInArrow(compare, f"u {id_type}, v {id_type}")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least id it is linked to, directly or not) and kept.
 
@@ -162,7 +234,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = signed.filter(comparable).groupBy(*prints).agg(F.min("doc_id").alias("rep"))
     member = stored(signed.filter(comparable).select("doc_id", *prints, "bands").join(classes, prints), "classes")
 
-    entries = member.filter(F.col("doc_id") == F.col("rep")).select("rep", F.explode("bands").alias("key"))
+    entries = member.filter(F.col("doc_id") == F.col("rep")).select("rep", "n", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most")
     bands = stored(entries.join(shared.select("key", "least"), "key").distinct(), "bands")
     candidates = stored(bands.select(F.col("rep").alias("doc_id")).distinct(), "candidates")
@@ -171,31 +243,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     standing = member.filter(F.col("doc_id") == F.col("rep")).select("doc_id", "f1")
     sets = stored(sets.join(standing, ["doc_id", "f1"], "left_semi").dropDuplicates(["doc_id", "f1"]), "sets")
 
-    tested = stored(bands.filter("rep > least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct(), "pairs")
-    links = stored(verified(tested, sets, similar), "links")
-    for turn in range(STAR_ROUNDS + 1):
-        labels = components(links)
-        labelled = bands.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        labelled = stored(labelled.select("key", "rep", F.coalesce("component", "rep").alias("c")), "labelled")
-        counts = labelled.groupBy("key", "c").agg(F.count("*").alias("n"), F.min("rep").alias("pivot"))
-        mixed_keys = counts.groupBy("key").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("parts"))
-        mixed_keys = stored(mixed_keys.filter("parts > 1"), "open-bands")
-        size = mixed_keys.agg(F.sum("all").alias("rows"), F.sum((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs")).first()
-        if not size["rows"]:
-            break
-        inside = labelled.join(mixed_keys.select("key"), "key")
-        last = turn == STAR_ROUNDS or size["pairs"] <= OPEN * size["rows"]
-        # each member against the least member of every other component, or at last against all of them
-        others = inside.select("key", F.col("rep").alias("v"), F.col("c").alias("d"))
-        if not last:
-            others = counts.join(mixed_keys.select("key"), "key").select("key", F.col("pivot").alias("v"), F.col("c").alias("d"))
-        apart = (F.col("c") < F.col("d")) if last else (F.col("c") != F.col("d"))
-        pairs = inside.join(others, "key").filter(apart).select(F.greatest("rep", "v").alias("u"), F.least("rep", "v").alias("v")).distinct()
-        fresh = stored(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
-        links = stored(links.unionByName(verified(fresh, sets, similar)), "links")
-        if last:
-            break
-        tested = stored(tested.unionByName(fresh), "pairs")
+    star = bands.filter("rep > least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct()
+    links = stored(verified(star, sets, similar), "links")
+    # a class follows the leader of most of its bands, that one its own, and so on: copies of one text end at one center
+    met = bands.groupBy("rep", "least").agg(F.count("*").alias("times")).groupBy("rep")
+    leader = met.agg(F.max(F.struct("times", "least")).alias("m")).filter(F.col("m.times") >= FOLLOWS)
+    found = components(leader.select("rep", F.col("m.least").alias("leader")), "rep", "leader")
+    followed = found.select(F.col("node").alias("rep"), F.col("component").alias("center"))
+    centers = candidates.select(F.col("doc_id").alias("rep")).join(followed, "rep", "left")
+    centers = centers.select("rep", F.coalesce("center", "rep").alias("center"))
+    labels = components(links).withColumnRenamed("node", "rep")
+    labelled = centers.join(labels, "rep", "left").select("rep", "center", F.coalesce("component", "rep").alias("c"))
+    labelled = stored(labelled, "labelled")
+    rows = bands.select("key", "rep", "n").join(labelled, "rep")
+    undecided = rows.groupBy("key").agg(F.min("c").alias("c"), F.max("c").alias("d")).filter("c < d")
+    rows = stored(rows.join(undecided.select("key"), "key"), "open-bands")
+    open_classes = labelled.join(rows.select("rep").distinct(), "rep", "left_semi")
+    across = stored(linked_across(rows, sets, similar), "links")
+    inside = stored(linked_inside(open_classes, sets, similar), "links")
+    links = links.unionByName(across).unionByName(inside)
     same = member.filter(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     found = components(links.unionByName(same.join(_several(member), F.col("u") == F.col("several"), "left_semi")))
 
