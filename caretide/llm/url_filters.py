@@ -12,8 +12,6 @@ from caretide.llm.html_extract import host_of
 
 #: Day that an entry which was never removed ends on (exclusive).
 OPEN_END = "9999-12-31"
-#: Labels of a host that are looked up: the host and the domains above it, the last two labels being the shortest.
-MAX_LABELS = 10
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -31,13 +29,10 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def patterns_of(host: Column) -> Column:
-    """The host and the domains above it, the longest first."""
+    """The host and all domains above it down to its last label, the longest first."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    last = F.greatest(F.lit(1), n - 1)
-    starts = F.sequence(F.greatest(F.lit(1), n - MAX_LABELS + 1), last)
-    # a long host is looked up whole and by its last labels
-    return F.array_distinct(F.concat(F.array(host), F.transform(starts, lambda i: F.array_join(F.slice(labels, i, n), "."))))
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))
 
 
 def _month(day: Column) -> Column:

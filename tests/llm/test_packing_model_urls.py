@@ -136,6 +136,18 @@ def test_intervals_and_captures(spark):
     assert url_filters.judge(captures, entries.limit(0)).filter("blocked").isEmpty()
 
 
+def test_every_domain_above_a_host_is_looked_up(spark):
+    day = datetime.date(2024, 1, 1)
+    labels = [f"l{i}" for i in range(30)]
+    host = ".".join(labels)
+    patterns = [".".join(labels[-n:]) for n in (1, 2, 10, 11, 12, 20, 29, 30)] + ["zip", "intranet", "0.l1"]
+    entries = spark.createDataFrame([(p, "x", day, "add") for p in patterns], "pattern string, category string, day date, action string")
+    urls = [f"http://{host}/x", "http://a.b.zip/", "http://zip/", "http://wiki.intranet/", "http://azip/", f"http://{'.'.join(labels[1:-1])}/"]
+    captures = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "page_id long, url string, fetched date")
+    got = {r["page_id"]: (r["n_entries"], r["pattern"]) for r in url_filters.judge(captures, entries).collect()}
+    assert got == {0: (8, host), 1: (1, "zip"), 2: (1, "zip"), 3: (1, "intranet"), 4: (0, None), 5: (0, None)}
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     import duckdb
     import public_tokenizers
