@@ -155,7 +155,10 @@ def score(docs: DataFrame, model: DataFrame, text: str, keep: list[str]) -> Data
     """Columns ``keep`` with n_bytes and log_p (sum over all bytes of the text)."""
     spark = docs.sparkSession
     shards = max(1, -(-model.count() // SHARD_ENTRIES))
-    schema = docs.select(*keep).schema.add("n_bytes", "long").add("log_p", "double")
+    # with several shards a row is told from others by its text as well
+    hashed = [F.sha2(text, 256).alias("_hash")] if shards > 1 else []
+    key = [*keep, *["_hash"] * len(hashed)]
+    schema = docs.select(*keep, *hashed).schema.add("n_bytes", "long").add("log_p", "double")
     out = None
     for shard in range(shards):
         sent = spark.sparkContext.broadcast(shard_tables(model, shard, shards))
@@ -172,13 +175,16 @@ def score(docs: DataFrame, model: DataFrame, text: str, keep: list[str]) -> Data
                     mine = np.flatnonzero(pairs[(keys >> 8) & mask(2)] == shard) if shards > 1 else np.arange(len(keys))
                     logs[mine] = log_probability(keys[mine], sent.value)
                     sums = np.append(0.0, np.cumsum(logs))
-                    own = [part.column(c) for c in keep]
-                    yield pa.record_batch([*own, pa.array(np.diff(offsets)), pa.array(sums[offsets[1:]] - sums[offsets[:-1]])], names=[*keep, "n_bytes", "log_p"])
+                    own = [part.column(c) for c in key]
+                    yield pa.record_batch([*own, pa.array(np.diff(offsets)), pa.array(sums[offsets[1:]] - sums[offsets[:-1]])], names=[*key, "n_bytes", "log_p"])
 
-        passed = docs.select(*keep, F.col(text).alias("_text")).mapInArrow(add_up, schema)
+        passed = docs.select(*keep, *hashed, F.col(text).alias("_text")).mapInArrow(add_up, schema)
         out = passed if out is None else out.unionByName(passed)
     if shards > 1:
-        out = out.groupBy(*keep, "n_bytes").agg(F.sum("log_p").alias("log_p"))
+        # equal rows are one group, which becomes as many rows again; each of them came once from every shard
+        alike = out.groupBy(*key, "n_bytes").agg(F.sum("log_p").alias("_sum"), (F.count("*") / shards).cast("int").alias("_copies"))
+        each = alike.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        out = each.select(*keep, "n_bytes", (F.col("_sum") / F.col("_copies")).alias("log_p"))
     return out
 
 

@@ -96,6 +96,24 @@ def test_sharded_scores_are_the_same(spark, docs, monkeypatch):
     assert whole.keys() == parts.keys() and all(abs(whole[i] - parts[i]) < 1e-6 * max(1, abs(whole[i])) for i in whole)
 
 
+def test_sharded_scores_keep_every_row(spark, docs, monkeypatch):
+    model = quality_model.train(docs)
+    alike = [(3, "en", "mivora lopuris"), (3, "en", "zq%vora lopuri"), (None, "de", "kapur"), (None, "de", "kapur"), (None, "de", "silva"), (None, None, None), (None, None, None)]
+    rows = spark.createDataFrame(alike, "doc_id long, lang string, text string")
+    rows = rows.union(docs.select("doc_id", "lang", "text")).union(docs.select("doc_id", "lang", "text"))
+
+    def scores():
+        got = quality_model.score(rows, model, "text", ["doc_id", "lang"])
+        assert got.columns == ["doc_id", "lang", "n_bytes", "log_p"]
+        return sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["lang"] or "", r["n_bytes"], r["log_p"]) for r in got.collect()))
+
+    whole = scores()
+    monkeypatch.setattr(quality_model, "SHARD_ENTRIES", model.count() // 3)
+    parts = scores()
+    assert len(parts) == len(whole) == rows.count()
+    assert all(a[:4] == b[:4] and abs(a[4] - b[4]) < 1e-6 * max(1, abs(a[4])) for a, b in zip(whole, parts, strict=True))
+
+
 def test_quality_tells_junk_from_trusted_text(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
