@@ -9,6 +9,8 @@ taken by salted windows, so a length that most documents share is spread over ma
 """
 
 import base64
+import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -22,14 +24,27 @@ CAPACITY = 2048
 END_TOKEN = 0
 #: Parts that the pieces of one length are ranked in.
 SALTS = 64
-#: Vocabulary file within the tokenizer folder.
+#: Vocabulary file within the tokenizer folder; its added tokens stand in the JSON file of the same name.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 _ENCODERS: dict[str, object] = {}
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of the vocabulary that a file of ranks belongs to; none if there is no JSON file beside it."""
+    described = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(described):
+        return {}
+    with open(described, encoding="utf-8") as text:
+        added = json.load(text)["added_tokens"]
+    if odd := [t["content"] for t in added if t["single_word"] or t["lstrip"] or t["rstrip"]]:
+        raise ValueError(f"added tokens that match by what stands around them: {odd}")
+    return {t["content"]: t["id"] for t in added}
+
+
 def encoder(path: str | None = None):
-    """Byte-level BPE from a file of ranks; strings of special tokens are ordinary text. One per process and file."""
+    """Byte-level BPE from a file of ranks. Strings of added tokens become these tokens, as in ``tokenizers``. One per
+    process and file."""
     import public_tokenizers
     import tiktoken
 
@@ -37,7 +52,7 @@ def encoder(path: str | None = None):
     if path not in _ENCODERS:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines)}
-        _ENCODERS[path] = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[path] = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(path))
     return _ENCODERS[path]
 
 
@@ -58,7 +73,7 @@ def tokenized_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         for batch in batches:
             owner, rows = [], []
             for i, t in enumerate(batch.column("text")):
-                ids = np.concatenate([encode(t.as_py() or "", disallowed_special=()).astype(np.uint32, copy=False), end])
+                ids = np.concatenate([encode(t.as_py() or "", allowed_special="all").astype(np.uint32, copy=False), end])
                 raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 for k, (a, b) in enumerate(cuts(len(ids), capacity)):
                     owner.append(i)

@@ -47,6 +47,19 @@ def test_pieces_are_those_of_the_tokenizer(spark, docs):
     assert check_bins(rows, 2048) <= 1.05 * sum(r["length"] for r in rows) / 2048 + 1
 
 
+def test_added_tokens_are_those_of_the_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}\n {end}x", f"<|endoftext {end[1:]} <{end}>", data.prose(1, 3000) + end + data.prose(2, 3000)]
+    assert plain.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    rows = packing.pack(data.frame(spark, [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)])).collect()
+    want = {(i, *p) for i, t in enumerate(texts) for p in brute.pieces(plain.encode(t, add_special_tokens=False).ids + [0])}
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows} == want and len(rows) == len(want)
+
+
 def test_packing_of_odd_rows(spark, docs):
     assert packing.pack(docs.limit(0)).collect() == []
     rows = packing.pack(docs.union(docs)).collect()
