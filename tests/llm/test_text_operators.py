@@ -143,6 +143,26 @@ def test_main_text_of_odd_pages(html, text):
     assert got == text or html.startswith("<![") and got.replace("\n\n", " ") == "x y"
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<main><div><p>a long story of many words</p></div></main><article>card</article>", "a long story of many words"),
+        ("<main><div><p>a long story of many words</p><article>card</article></div></main>", "a long story of many words\n\ncard"),
+        ("<main><article><p>first part</p></article><p>x</p><article><p>2nd</p></article></main>", "first part\n\n2nd"),
+        ("<div class='layout with-sidebar'><article><p>story</p></article><div class='sidebar'>side</div></div>", "story"),
+        ("<article class='post has-comments'><p>story</p><div class='comments'>a reader says far more than that</div></article>", "story"),
+        ("<article class='post has-comments'><p>one</p></article><article class='post has-comments'><p>two</p></article>", "one\n\ntwo"),
+        ("<article><div class='entry-header'><h1>head</h1></div><p>story</p></article>", "head\n\nstory"),
+        ("<div class='page no-sidebar'><p>all of the story</p></div><p>end</p>", "all of the story\n\nend"),
+        ("<article><p>story</p></article><div class='comments'><article>a reader says far more</article></div>", "story"),
+        ("<div><p>a long story of many words</p></div><div class='related-posts'><article>card</article></div>", "a long story of many words"),
+        ("<div class='widget'><article class='notice'><p>story</p></article></div><footer>foot</footer>", "story"),
+    ],
+)
+def test_whole_main_part(html, text):
+    assert html_extract.main_text(html) == text
+
+
 def test_simple_tree_matching():
     a = dom.skeleton(dom.parse("<div><p>1</p><ul><li>2</ul><p>3</p></div>"))
     b = dom.skeleton(dom.parse("<div><ul><li>2<li>3</ul><p>4</p></div>"))
