@@ -35,15 +35,15 @@ def template_texts(pages: list[str]) -> list[str]:
     distinct = sorted(set(pages))  # copies of one page tell nothing about what varies
     if len(distinct) < LEAST_PAGES:
         return []
-    wrapper: Slot | None = None
+    by_sign: dict[str, Slot] = {}  # a wrapper for each layout
     for html in distinct:
         tree = skeleton(content_region(parse(html)))
-        if wrapper is None:
-            wrapper = tree
-        elif wrapper.sign == tree.sign:
-            merge(wrapper, tree)
+        if tree.sign in by_sign:
+            merge(by_sign[tree.sign], tree)
+        else:
+            by_sign[tree.sign] = tree
     found: list[str] = []
-    stack = [(wrapper, wrapper.sign)] if wrapper else []
+    stack = [(wrapper, sign) for sign, wrapper in by_sign.items()]
     while stack:
         slot, path = stack.pop()
         found += [f"{path}\t{t}" for t, n in slot.texts.items() if n >= max(LEAST_PAGES, SHARE * slot.pages)]

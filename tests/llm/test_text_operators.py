@@ -185,3 +185,11 @@ def test_constant_nodes_become_template(spark):
     assert got[20, "http://c.example/1"]["text"].startswith("Read this")  # one page shows nothing constant
     assert got[21, None]["text"] == "" and got[23, "http://d.example/x"]["text"] == "all the same"
     assert html_extract.extract(pages.limit(0)).collect() == []
+
+
+def test_template_of_numbered_elements_and_of_each_layout():
+    numbered = [f"<article id='post-{i}' class='post p{i}'><p>Read this every day</p><p>{data.prose(i, 20)}</p></article>" for i in range(8)]
+    plain = [f"<main><p>Other notice</p><p>{data.prose(50 + i, 20)}</p></main>" for i in range(8)]
+    template = frozenset(html_extract.template_texts(numbered + plain))
+    assert {t.split("\t")[1] for t in template} == {"Read this every day", "Other notice"}
+    assert [html_extract.main_text(h, template) for h in (numbered[3], plain[3])] == [data.prose(3, 20), data.prose(53, 20)]
