@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from caretide.llm import decontaminate, html_extract, language_id, license_scan, near_dedup, packing, quality_model, quality_rules, suffix_index, url_filters
+from caretide.llm import collocations, conversation_repair, decontaminate, html_extract, language_id, license_scan, near_dedup, packing, quality_model, quality_rules, simhash, suffix_index, url_filters
 from caretide.llm.common import table
 
 
@@ -101,8 +101,70 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repairs conversations damaged by a fixed rule: turns dropped, emptied, cut, repeated or given to the user."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    turns = table(spark, sf_dir, "conversations").withColumn("damage", F.crc32(key) % 20)
+    damage, whole = F.col("damage"), F.coalesce("text", F.lit(" "))
+    turns = turns.withColumns(
+        {
+            "text": F.when(damage == 1, "").when(damage == 2, F.regexp_replace(whole, "[.!?]", "")).otherwise(whole),
+            "role": F.when(damage == 4, "user").otherwise(F.coalesce("role", F.lit(" "))),
+        }
+    )
+    return conversation_repair.repair(turns, copies=F.when(damage == 3, 2).otherwise(1), gone=damage == 0)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), p AS (
+  SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), c AS (
+  SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang
+), s AS (
+  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) AS sizes(k) WHERE len(w) >= k
+), f AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM s GROUP BY ALL HAVING count(*) >= 100
+), a AS (
+  SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM f WHERE k > 1
+), u AS (
+  SELECT lang, phrase, max(f) AS longer FROM (
+    SELECT lang, f, array_to_string(w[1 : k - 1], ' ') AS phrase FROM a UNION ALL SELECT lang, f, array_to_string(w[2 : k], ' ') FROM a
+  ) GROUP BY ALL
+), d AS (
+  SELECT a.lang, a.k, a.phrase, a.f, a.w FROM a LEFT JOIN u USING (lang, phrase) WHERE u.longer IS NULL OR 100 * u.longer < 100 * a.f
+), x AS (
+  SELECT lang, phrase, f AS a, w, k, unnest(range(1, k)) AS cut FROM d
+), y AS (
+  SELECT x.lang, x.phrase, x.a, x.cut, l.f AS l, r.f AS r, c.n, (1000 * x.a::HUGEINT * c.n::HUGEINT) // (l.f::HUGEINT * r.f::HUGEINT) AS score
+  FROM x JOIN c ON x.lang = c.lang
+  JOIN f AS l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1 : x.cut], ' ')
+  JOIN f AS r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.cut + 1 : x.k], ' ')
+), z AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS worst FROM y
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z WHERE worst = 1
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o WHERE rank <= 2000
+"""
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
+    "op11_conversation_repair": (op11_conversation_repair, None),
+    "op12_collocations": (op12_collocations, OP12_SQL),
+    "op13_simhash": (op13_simhash, None),
     "op5_quality_model": (op5_quality_model, None),
     "op4_url_filters": (op4_url_filters, OP4_SQL),
     "op2_html_extract": (op2_html_extract, None),

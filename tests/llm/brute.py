@@ -2,10 +2,12 @@
 
 import collections
 import hashlib
+import heapq
 import re
 import zlib
 
 import numpy as np
+import xxhash
 
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -119,3 +121,104 @@ def pieces(ids, capacity=2048):
     first = len(ids) % capacity or capacity
     cuts = [0, first, *range(first + capacity, len(ids) + 1, capacity)]
     return [(k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+
+
+def damaged(rows):
+    """Conversation to its (turn, role, text) in order, after the damage of the result contract."""
+    out = {}
+    for conv, turn, role, text in rows:
+        kept = out.setdefault(conv, [])
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = (" " if x is None else x for x in (role, text))
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        if kind:
+            kept += [(turn, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+    return {c: sorted(v, key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2])) for c, v in out.items()}
+
+
+def repaired(rows):
+    """gaps, blank, duplicate, truncated, illegal, cost, audit, sha256: the shortest path over edits and states."""
+    after = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    seen, faults = set(), []
+    for _, role, text in rows:
+        last = text.strip(" \t\n\x0b\x0c\r")[-1:]
+        faults.append("blank" if not last else "duplicate" if (role, text) in seen else "truncated" if last not in ".!?" else "")
+        seen.add((role, text))
+    turns = {t for t, _, _ in rows if t is not None}
+    gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:], strict=False))
+    heap, done = [(0, "", 0, 0, ())], set()
+    while True:
+        cost, audit, at, state, said = heapq.heappop(heap)
+        if (at, state) in done:
+            continue
+        done.add((at, state))
+        if at == len(rows) and state in (0, 3):
+            break
+        steps = [("I", 5, role, "", 0) for role in ("user", "assistant")]
+        if at < len(rows):
+            _, own, text = rows[at]
+            heapq.heappush(heap, (cost + 2, audit + "D", at + 1, state, said))
+            if faults[at] not in ("blank", "duplicate"):
+                more = 5 * (faults[at] == "truncated")
+                steps += [("K", more, own, text, 1)] + [("R", 1 + more, role, text, 1) for role in ("user", "assistant")]
+        for edit, price, role, text, taken in steps:
+            if (state, role[:1]) in after:
+                heapq.heappush(heap, (cost + price, audit + edit, at + taken, after[state, role[:1]], (*said, f"{role}:{text}")))
+    kinds = [faults.count(k) for k in ("blank", "duplicate", "truncated")]
+    return (gaps, *kinds, illegal, cost, audit, hashlib.sha256("\n".join(said).encode()).hexdigest())
+
+
+def phrases_of(docs, frequent, longest=5, reported=2000, absorbed=100):
+    """(lang, rank, phrase, a, l, r, n, score) of (lang, text)."""
+    f, n = collections.Counter(), collections.Counter()
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, *w[i : i + k]) for k in range(1, longest + 1) for i in range(len(w) - k + 1))
+    candidates = {p: c for p, c in f.items() if len(p) > 2 and c >= frequent}
+    dropped = set()
+    for p, c in candidates.items():
+        for k in range(2, len(p) - 1):
+            for i in range(1, len(p) - k + 1):
+                part = (p[0], *p[i : i + k])
+                if 100 * c >= absorbed * f[part]:
+                    dropped.add(part)
+    out = collections.defaultdict(list)
+    for p, a in candidates.items():
+        if p not in dropped:
+            lang, w = p[0], p[1:]
+            cuts = [(f[lang, *w[:k]], f[lang, *w[k:]], k) for k in range(1, len(w))]
+            score, _, left, right = min((1000 * a * n[lang] // (x * y), k, x, y) for x, y, k in cuts)
+            out[lang].append((-score, -a, " ".join(w).encode(), left, right))
+    return [
+        (lang, rank, p.decode(), -a, x, y, n[lang], -score)
+        for lang, found in out.items()
+        for rank, (score, a, p, x, y) in enumerate(sorted(found)[:reported], 1)
+    ]
+
+
+def simhash(text, words=4):
+    w = (text or "").encode().lower().split()
+    shingles = [b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))] if w else []
+    ones = collections.Counter(i for s in shingles for i in range(64) if xxhash.xxh64_intdigest(s, 42) >> i & 1)
+    return sum(1 << i for i in range(64) if 2 * ones[i] > len(shingles))
+
+
+def close_groups(prints, radius=4):
+    """Least id reachable of each (id, fingerprint)."""
+    root = {d: d for d, _ in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (a, x) in enumerate(prints):
+        for b, y in prints[:i]:
+            if (x ^ y).bit_count() <= radius:
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return {d: find(d) for d in root}
