@@ -31,8 +31,8 @@ SAMPLE, LOWERED_TO = 8, 0.4
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 20, 29
 #: Bits set for a proposal.
 PROBES = 3
-#: Bytes of text counted at a time.
-CHUNK = 8 << 20
+#: Bytes of text counted at a time; a task holds about sixty times that in arrays.
+CHUNK = 2 << 20
 #: Filter bits gathered in one row.
 SLAB = 1 << 20
 
@@ -148,9 +148,10 @@ def _opened(words: Words, k: int, known: dict[int, np.ndarray]) -> np.ndarray:
     return known[k - 1][:n] & known[k - 1][1 : n + 1] if k > 1 else np.ones(n, bool)
 
 
-def counted(docs: DataFrame, longest: int, now: Broadcast | None, before: Broadcast | None) -> DataFrame:
-    """lang, k, phrase and f: exact counts of the phrases that ``now`` opens. Without ``now`` all phrases are counted. With
-    ``before``, only what that filter did not open, and what is opened opens further phrases. k = 0: the number of words."""
+def counted(docs: DataFrame, shortest: int, longest: int, now: Broadcast | None, before: Broadcast | None, onwards: bool = False) -> DataFrame:
+    """lang, k, phrase and f: exact counts of the phrases of ``shortest`` to ``longest`` words that ``now`` opens and
+    ``before`` does not. Without ``now`` all phrases are counted. ``onwards``: what is opened opens further phrases. With
+    single words comes k = 0, the number of words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = [None if b is None else Filter(b.value) for b in (now, before)]
@@ -178,12 +179,14 @@ def counted(docs: DataFrame, longest: int, now: Broadcast | None, before: Broadc
                             held[k] = np.zeros(len(hashes), bool)
                             open_at = np.flatnonzero(_opened(words, k, held))
                             held[k][open_at] = f.holds(hashes[open_at])
-                    if filters[1] is not None and k < longest:
-                        known[0][k][: len(wanted)] |= wanted
+                    if onwards and k < longest and k >= shortest:
+                        known[0][k] |= wanted
+                    if k < shortest:
+                        continue
                     at = np.flatnonzero(wanted)
                     _, first, times = np.unique(hashes[at], return_index=True, return_counts=True)
                     first = at[first]
-                    if k == 1 and filters[1] is None:
+                    if k == 1 and before is None:
                         per_lang = np.bincount(lang_of, minlength=len(names))
                         yield _rows(pa.array([names[by_code[i]] for i in range(len(names))]), 0, pa.array([b""] * len(names), pa.large_binary()), per_lang)
                     if len(first):
@@ -240,16 +243,22 @@ def frequencies(docs: DataFrame, longest: int, frequent: int, sample: int, lower
     least = max(1, int(frequent / sample * lowered))
     part = narrow.filter(F.pmod("salt", F.lit(sample)) == 0).drop("salt")
     narrow = narrow.drop("salt")
-    sampled = counted(part, longest - 1, None, None).filter((F.col("k") > 0) & (F.col("f") >= least))
-    proposed = stored(sampled.select("lang", "k", "phrase"), "proposed")
+    proposed = stored(_at_least(counted(part, 1, 2, None, None), least), "proposed")
+    # longer phrases of the sample: only those whose parts are frequent there
+    longer = counted(part, 3, longest - 1, proposed_filter(proposed), None, onwards=True)
+    proposed = proposed.unionByName(stored(_at_least(longer, least), "proposed")).select("lang", "k", "phrase")
     now = proposed_filter(proposed)
-    found = stored(counted(narrow, longest, now, None).filter((F.col("k") == 0) | (F.col("f") >= frequent)), "frequent")
+    found = stored(counted(narrow, 1, longest, now, None).filter((F.col("k") == 0) | (F.col("f") >= frequent)), "frequent")
     failed = found.filter(F.col("k").between(1, longest - 1)).join(proposed, ["lang", "k", "phrase"], "left_anti")
     failed = stored(failed.select("lang", "k", "phrase"), "border-failures")
     if failed.isEmpty():
         return found
-    more = counted(narrow, longest, proposed_filter(proposed.unionByName(failed)), now).filter(F.col("f") >= frequent)
-    return found.unionByName(stored(more, "frequent"))
+    more = counted(narrow, 2, longest, proposed_filter(proposed.unionByName(failed)), now, onwards=True)
+    return found.unionByName(stored(_at_least(more, frequent), "frequent"))
+
+
+def _at_least(counts: DataFrame, least: int) -> DataFrame:
+    return counts.filter((F.col("k") > 0) & (F.col("f") >= least))
 
 
 def _salt(docs: DataFrame) -> list[Column]:

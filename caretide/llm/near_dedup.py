@@ -5,10 +5,10 @@ a value in [j, j + 1). A document stops as soon as all its registers lie below t
 step or two per shingle. Registers of one document differ in their ranks and so vary less than independent ones.
 
 Documents with equal sets are one class from the start (pre-aggregated by fingerprint). Classes that share a band are
-candidates. A band's members are compared with its least member first, never in all pairs; what is linked then is one
-component. Bands that still hold different components are then settled exactly: classes around the same center are
-compared block by block within tasks that return links alone, and the few pairs of different centers one by one. With 32
-bands of 4 registers a pair of similarity 0.8 shares no band once in 10^7.
+candidates. A band's members are compared with its least member first, then, while a band holds several components, each
+class with one drawn member of another component in a few rounds; every comparison is a row, so rows grow with the classes
+alone. Bands that still hold different components are settled exactly, block by block within tasks that return a link
+only where it joins components. With 32 bands of 4 registers a pair of similarity 0.8 shares no band once in 10^7.
 """
 
 from collections.abc import Iterator
@@ -29,10 +29,11 @@ SIMILAR = 80
 WORDS = 2
 #: Bytes of text worked on at a time.
 CHUNK = 2 << 20
-#: Bands that a class must share with a leader to follow it; of similarity 0.8 it shares 13 of 32 on average.
-FOLLOWS = 4
-#: Classes in a block of the comparison of what one center has, and shingles multiplied at a time.
-BLOCK, COLUMNS = 256, 4096
+#: Rounds in which classes of open bands are compared with a drawn member before bands are settled exactly.
+ROUNDS = 3
+#: Shingles of a block of classes in a band (a longer set is a block alone), sets compared at a time within a task, and
+#: shingles multiplied at a time.
+BLOCK, TILE, COLUMNS = 1 << 18, 256, 4096
 
 U64 = np.uint64
 _STEP, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -152,73 +153,109 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     return both.filter(near).select("u", "v").distinct()
 
 
-def linked_across(rows: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """Links between classes that share a band but neither center nor component."""
-    other = rows.select("key", F.col("rep").alias("v"), F.col("n").alias("m"), F.col("center").alias("e"), F.col("c").alias("d"))
+def drawn_pairs(rows: DataFrame, seed: int, similar: int) -> DataFrame:
+    """Pairs (u, v): each class with one member, drawn in one of its bands, that is of another component and not too long
+    or short. At most one pair for a class."""
+    drawn = F.struct(F.xxhash64("rep", "key", F.lit(seed)).alias("h"), "rep", "c", "n")
+    pivots = rows.groupBy("key").agg(F.max(drawn).alias("p")).select("key", F.col("p.rep").alias("v"), F.col("p.c").alias("d"), F.col("p.n").alias("m"))
     sized = 100 * F.least("n", "m") >= similar * F.greatest("n", "m")
-    apart = (F.col("center") < F.col("e")) & (F.col("c") != F.col("d")) & sized
-    pairs = rows.join(other, "key").filter(apart).select(F.greatest("rep", "v").alias("u"), F.least("rep", "v").alias("v")).distinct()
-    return verified(stored(pairs, "pairs"), sets, similar)
+    met = rows.join(pivots, "key").filter((F.col("c") != F.col("d")) & sized)
+    one = met.groupBy("rep").agg(F.max(F.struct(F.xxhash64("key", F.lit(seed)).alias("h"), "v")).alias("one"))
+    return one.select(F.col("rep").alias("u"), F.col("one.v").alias("v"))
 
 
-def block_links(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, cross: bool, similar: int) -> list[tuple[int, int]]:
-    """Pairs (i, least) that connect what similar sets of different components connect: each set with the first one that
-    it reaches. ``cross``: only sets of different sides are held against each other. Intersections of all pairs are
-    sums of small matrix products over shared shingles."""
-    sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
+def open_bands(bands: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, rep, n and c (its component) in bands that hold several components."""
+    rows = bands.select("key", "rep", "n").join(labels, "rep")
+    several = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
+    return stored(rows.join(several.select("key"), "key"), "open-bands")
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (rep, c) after further links (u, v) between classes: only the components that links join are looked at."""
+    ends = links.join(labels.withColumnRenamed("rep", "u").withColumnRenamed("c", "cu"), "u")
+    ends = ends.join(labels.withColumnRenamed("rep", "v").withColumnRenamed("c", "cv"), "v")
+    found = components(ends, "cu", "cv").select(F.col("node").alias("c"), "component")
+    return stored(labels.join(found, "c", "left").select("rep", F.coalesce("component", "c").alias("c")), "labels")
+
+
+def tile_shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs: sums of small matrix products over shared shingles."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     several = times[column] > 1  # what only one set has adds to no intersection
     dense = (np.cumsum(times > 1) - 1)[column[several]]
     owner = owner[several]
     order = np.argsort(dense, kind="stable")
     dense, owner = dense[order], owner[order]
-    shared = np.zeros((len(sets), len(sets)), np.float32)
+    # a product of 0 and 1 over COLUMNS shingles is exact in 32 bits, their sum needs more
+    shared = np.zeros((len(sets), len(sets)), np.int64)
     for at in range(0, int(dense[-1]) + 1 if len(dense) else 0, COLUMNS):
         a, b = np.searchsorted(dense, [at, at + COLUMNS])
         block = np.zeros((len(sets), COLUMNS), np.float32)
         block[owner[a:b], dense[a:b] - at] = 1
-        shared += block @ block.T
-    near = 100 * shared >= similar * (sizes[:, None] + sizes[None, :] - shared)
-    near &= component[:, None] != component[None, :]
-    if cross:
-        near &= side[:, None] != side[None, :]
-    near |= near.T
-    least = np.arange(len(sets))
-    while True:
-        reached = np.minimum(least, np.where(near, least[None, :], len(sets)).min(axis=1, initial=len(sets)))
-        if (reached == least).all():
-            break
-        least = reached
-    return [(i, int(k)) for i, k in enumerate(least) if i != k]
+        shared += (block @ block.T).astype(np.int64)
+    return shared
 
 
-def linked_inside(classes: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """Links between classes (rep, center, c) of one center and different components.
+def block_links(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, cross: bool, similar: int) -> list[tuple[int, int]]:
+    """Pairs of similar sets of different components, as many as join what similar sets of different components join.
 
-    Classes of a center are dealt into blocks of about BLOCK, and every two blocks meet in one task: each set is copied
-    once per block, and what leaves the task is at most one link for a class. However many copies a center has, a task
-    holds two blocks.
+    ``cross``: only sets of different sides are held against each other. Sets go by size in tiles; two tiles are skipped
+    if their sizes are too far apart or if all of them are one component by now.
     """
-    sizes = classes.groupBy("center").agg(F.count("*").alias("size"), F.min("c").alias("c"), F.max("c").alias("d")).filter("c < d")
-    dealt = classes.join(sizes.select("center", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "center")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    full = dealt.withColumn("own", own).join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    sizes = np.array([len(s) for s in sets])
+    order = np.argsort(sizes, kind="stable")
+    root = np.arange(int(component.max()) + 1)
+    links = []
+    tiles = [order[at : at + TILE] for at in range(0, len(order), TILE)]
+    for i, one in enumerate(tiles):
+        for other in tiles[: i + 1]:
+            if 100 * sizes[other].max() < similar * sizes[one].min():
+                continue
+            both = one if other is one else np.concatenate([other, one])
+            c = root[component[both]]
+            if (c == c[0]).all() or (cross and (side[both] == side[both[0]]).all()):
+                continue
+            shared = tile_shared([sets[k] for k in both])
+            near = 100 * shared >= similar * (sizes[both][:, None] + sizes[both][None, :] - shared)
+            near &= c[:, None] < c[None, :]
+            if cross:
+                near &= side[both][:, None] != side[both][None, :]
+            for u, v in np.argwhere(near).tolist():
+                p, q = root[component[both[u]]], root[component[both[v]]]
+                if p != q:
+                    root[root == max(p, q)] = min(p, q)
+                    links.append((int(both[u]), int(both[v])))
+    return links
+
+
+def linked_inside(rows: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Links (u, v) that join the components of each open band as far as similar sets do.
+
+    The classes of a band are dealt into blocks of about BLOCK shingles, and every two blocks meet in one task: a band whose
+    sets fit into one block copies each of them once. What leaves a task is fewer links than it has components.
+    """
+    sized = rows.groupBy("key").agg(F.sum("n").alias("total"))
+    dealt = rows.join(sized.select("key", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks")), "key")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
+    full = dealt.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
     copied = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = copied.select("center", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "c", "shingles")
-    id_type = classes.schema["rep"].dataType.simpleString()
-
-    def compare(key: tuple, rows: pa.Table) -> pa.Table:
-        lists = rows.column("shingles").combine_chunks()
-        bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        found = [values[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-        component = np.unique(np.array(rows.column("c").to_pylist()), return_inverse=True)[1]
-        pairs = block_links(found, component, rows.column("own").to_numpy(), key[1].as_py() != key[2].as_py(), similar)
-        ids = rows.column("rep")
+    met = copied.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "c", "shingles")
+    id_type = rows.schema["rep"].dataType.simpleString()
+
+    def compare(key: tuple, group: pa.Table) -> pa.Table:
+        found = []
+        for chunk in group.column("shingles").chunks:
+            bounds, values = chunk.offsets.to_numpy(), chunk.values.to_numpy()
+            found += [values[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        component = np.unique(np.array(group.column("c").to_pylist()), return_inverse=True)[1]
+        pairs = block_links(found, component, group.column("own").to_numpy(), key[1].as_py() != key[2].as_py(), similar)
+        ids = group.column("rep")
         u, v = (ids.take(pa.array([p[k] for p in pairs], pa.int64())) for k in (0, 1))
         return pa.table({"u": u, "v": v})
 
-    return met.groupBy("center", "lo", "hi").applyInArrow(compare, f"u {id_type}, v {id_type}")
+    return met.groupBy("key", "lo", "hi").applyInArrow(compare, f"u {id_type}, v {id_type}").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
@@ -244,24 +281,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = stored(sets.join(standing, ["doc_id", "f1"], "left_semi").dropDuplicates(["doc_id", "f1"]), "sets")
 
     star = bands.filter("rep > least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct()
-    links = stored(verified(star, sets, similar), "links")
-    # a class follows the leader of most of its bands, that one its own, and so on: copies of one text end at one center
-    met = bands.groupBy("rep", "least").agg(F.count("*").alias("times")).groupBy("rep")
-    leader = met.agg(F.max(F.struct("times", "least")).alias("m")).filter(F.col("m.times") >= FOLLOWS)
-    found = components(leader.select("rep", F.col("m.least").alias("leader")), "rep", "leader")
-    followed = found.select(F.col("node").alias("rep"), F.col("component").alias("center"))
-    centers = candidates.select(F.col("doc_id").alias("rep")).join(followed, "rep", "left")
-    centers = centers.select("rep", F.coalesce("center", "rep").alias("center"))
-    labels = components(links).withColumnRenamed("node", "rep")
-    labelled = centers.join(labels, "rep", "left").select("rep", "center", F.coalesce("component", "rep").alias("c"))
-    labelled = stored(labelled, "labelled")
-    rows = bands.select("key", "rep", "n").join(labelled, "rep")
-    undecided = rows.groupBy("key").agg(F.min("c").alias("c"), F.max("c").alias("d")).filter("c < d")
-    rows = stored(rows.join(undecided.select("key"), "key"), "open-bands")
-    open_classes = labelled.join(rows.select("rep").distinct(), "rep", "left_semi")
-    across = stored(linked_across(rows, sets, similar), "links")
-    inside = stored(linked_inside(open_classes, sets, similar), "links")
-    links = links.unionByName(across).unionByName(inside)
+    alone = candidates.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("c"))
+    labels = relabelled(alone, stored(verified(star, sets, similar), "links"))
+    for seed in range(ROUNDS):
+        rows = open_bands(bands, labels)
+        links = stored(verified(drawn_pairs(rows, seed, similar), sets, similar), "links")
+        if links.isEmpty():
+            break
+        labels = relabelled(labels, links)
+    rows = open_bands(bands, labels)
+    labels = relabelled(labels, stored(linked_inside(rows, sets, similar), "links"))
+    links = labels.filter("rep != c").select(F.col("rep").alias("u"), F.col("c").alias("v"))
     same = member.filter(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     found = components(links.unionByName(same.join(_several(member), F.col("u") == F.col("several"), "left_semi")))
 

@@ -129,6 +129,7 @@ def test_components(spark):
 @pytest.mark.parametrize("cross", [False, True])
 def test_blocks_connect_what_pairs_connect(cross, monkeypatch):
     monkeypatch.setattr(near_dedup, "COLUMNS", 64)
+    monkeypatch.setattr(near_dedup, "TILE", 16)
     rng = np.random.default_rng(3)
     base = rng.integers(1, 1 << 62, 60)
     sets = []
@@ -138,7 +139,7 @@ def test_blocks_connect_what_pairs_connect(cross, monkeypatch):
         own[rng.choice(60, n, replace=False)] = rng.integers(1, 1 << 62, n)
         sets.append(np.unique(own))
     component, side = rng.integers(0, 40, 80), rng.integers(0, 2, 80)
-    root = list(range(80))
+    root = [component.tolist().index(c) for c in component]  # what is one component already is connected
 
     def find(x):
         while root[x] != x:
@@ -151,5 +152,27 @@ def test_blocks_connect_what_pairs_connect(cross, monkeypatch):
             if component[i] != component[j] and (not cross or side[i] != side[j]) and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
-    got = dict(near_dedup.block_links(sets, component, side, cross, 80))
-    assert [got.get(i, i) for i in range(80)] == [find(i) for i in range(80)] and got
+    want = [find(i) for i in range(80)]
+    got = near_dedup.block_links(sets, component, side, cross, 80)
+    root = [component.tolist().index(c) for c in component]
+    for u, v in got:
+        x, y = find(u), find(v)
+        assert x != y
+        root[max(x, y)] = min(x, y)
+    assert [find(i) for i in range(80)] == want and got
+
+
+@pytest.mark.parametrize("rounds,block", [(0, 1 << 18), (0, 500), (3, 500)])
+def test_many_near_copies_in_any_rounds_and_blocks(spark, monkeypatch, rounds, block):
+    monkeypatch.setattr(near_dedup, "ROUNDS", rounds)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    base = data.prose(21, 120)
+    rows = [(i, data.edited(base, 500 + i, 4 + i % 9)) for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(frame).collect()}
+    assert got == brute.near_groups(rows)
+
+
+def test_shared_shingles_are_counted_exactly():
+    both = np.arange(700_001)
+    assert near_dedup.tile_shared([both, both[1:]])[0, 1] == 700_000
