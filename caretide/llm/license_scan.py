@@ -109,18 +109,22 @@ def votes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def license_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Spans per document: doc_id, text_hash, n_words, label, base, size, start and end word, coverage (0 to 1).
 
-    A document without spans has one row with null label. Complete phrases are one span a place; other templates are
-    merged over neighbouring diagonals and reported whatever their coverage.
+    A document without spans has one row with null label. Complete phrases and templates are one span a place;
+    partial ones are merged over neighbouring diagonals and reported whatever their coverage.
     """
     key = ["doc_id", "text_hash", "n_words"]
     diagonals = (
         votes(docs, doc_id, text)
         .groupBy(*key, "t", "label", "base", "size", (F.col("pos") - F.col("tpos")).alias("diagonal"))
-        .agg(F.count("t").alias("n"), F.min("pos").alias("start"), (F.max("pos") + K).alias("end"))
+        # places of the template that were hit, once each however often the row is repeated; no template has 64 of them
+        .agg(F.coalesce(F.bit_count(F.bit_or(F.expr("shiftleft(1L, tpos)"))), F.lit(0)).alias("n"), F.min("pos").alias("start"), (F.max("pos") + K).alias("end"))
     )
     # a row made for its first word alone votes for nothing
     by_place = Window.partitionBy(*key, "t").orderBy("diagonal")
-    new = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by_place) > MERGE, F.lit(True)) | F.col("base")
+    # what is complete by itself is a span of its own
+    complete = F.col("n") >= F.col("size")
+    alone = complete | F.coalesce(F.lag(complete).over(by_place), F.lit(False))
+    new = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by_place) > MERGE, F.lit(True)) | F.col("base") | F.coalesce(alone, F.lit(False))
     spans = (
         diagonals.withColumn("new", new.cast("int"))
         .withColumn("span", F.sum("new").over(by_place))

@@ -11,6 +11,7 @@ taken by salted windows, so a length that most documents share is spread over ma
 import base64
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +31,12 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 _ENCODERS: dict[str, object] = {}
 
 
+def public_tokenizers_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def added_tokens(path: str) -> dict[str, int]:
     """Added tokens of the vocabulary that a file of ranks belongs to; none if there is no JSON file beside it."""
     described = os.path.splitext(path)[0] + ".json"
@@ -48,7 +55,7 @@ def encoder(path: str | None = None):
     import public_tokenizers
     import tiktoken
 
-    path = path or public_tokenizers.path(VOCABULARY)
+    path = path or public_tokenizers_path(VOCABULARY)
     if path not in _ENCODERS:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines)}
@@ -56,6 +63,23 @@ def encoder(path: str | None = None):
     return _ENCODERS[path]
 
 
+#: Runs of white space from this length on go to ``tokenizers``: the pattern of ranks backtracks over a run.
+LONG_SPACE = re.compile(r"\s{50000}")
+
+
+def encode(text: str, path: str | None = None) -> np.ndarray:
+    """Ids of a text. ``tokenizers`` gives the same ones more slowly, and stands any run of white space."""
+    ranks = path or public_tokenizers_path(VOCABULARY)
+    if not LONG_SPACE.search(text):
+        return encoder(ranks).encode_to_numpy(text, allowed_special="all").astype(np.uint32, copy=False)
+    described = os.path.splitext(ranks)[0] + ".json"
+    if described not in _ENCODERS:
+        from tokenizers import Tokenizer
+
+        _ENCODERS[described] = Tokenizer.from_file(described)
+    return np.array(_ENCODERS[described].encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     """Start and end of each piece of n tokens."""
     first = (n - 1) % capacity + 1
@@ -68,12 +92,11 @@ def tokenized_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     id_type = narrow.schema["doc_id"].dataType.simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_to_numpy
         end = np.array([END_TOKEN], np.uint32)
         for batch in batches:
             owner, rows = [], []
             for i, t in enumerate(batch.column("text")):
-                ids = np.concatenate([encode(t.as_py() or "", allowed_special="all").astype(np.uint32, copy=False), end])
+                ids = np.concatenate([encode(t.as_py() or "", path), end])
                 raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 for k, (a, b) in enumerate(cuts(len(ids), capacity)):
                     owner.append(i)
