@@ -13,13 +13,18 @@ class ApprovalResult:
     queue: DataFrame      # final entry per encounter
     approved: DataFrame   # triage-approved events
     feedback: DataFrame   # classifier feedback events
+    entries: DataFrame    # final entry per encounter with all that its events bring along, and what opened and closed it
+    sessions: DataFrame   # what the last decision of each encounter writes to its session
 
 
 ENTRY = ["routing_reason", "category", "confidence"]
 DECISION = ["status", "reviewer_id", "corrected_category"]
+#: Further columns of completed events and decisions; they are carried where they are given.
+PAYLOAD = ["patient_id", "triage_result", "sentinel_check", "audit_ref"]
+NOTES = "notes"
 
 
-def _rounds(events: DataFrame, chunk_seconds: int) -> DataFrame:
+def rounds(events: DataFrame, chunk_seconds: int = 3_600) -> DataFrame:
     """Adds ``round`` (completed events so far) and ``accepted`` (first decision of its round).
 
     An encounter's history is cut into time chunks and only the rows of one (encounter, chunk) are sorted together,
@@ -51,10 +56,10 @@ def _rounds(events: DataFrame, chunk_seconds: int) -> DataFrame:
         (F.sum("opens").over(upto) - F.col("opens")).alias("rounds_before"),
         F.coalesce(F.lag("decided_after").over(history), F.lit(False)).alias("decided_before"),
     )
-    rounds = local.join(carried, ["encounter_id", "chunk"]).withColumn("round", F.col("rounds_before") + F.col("in_round"))
+    numbered = local.join(carried, ["encounter_id", "chunk"]).withColumn("round", F.col("rounds_before") + F.col("in_round"))
     fresh = (F.col("in_round") > 0) | ~F.col("decided_before")
     accepted = F.col("leads") & (F.col("round") > 0) & fresh
-    return rounds.withColumn("accepted", accepted).drop("chunk", "in_round", "leads", "rounds_before", "decided_before")
+    return numbered.withColumn("accepted", accepted).drop("chunk", "in_round", "leads", "rounds_before", "decided_before")
 
 
 def approval_state_machine(
@@ -66,36 +71,73 @@ def approval_state_machine(
 ) -> ApprovalResult:
     """Replay both event streams.
 
-    ``completed``: encounter_id, ts, seq, routing_reason, category, confidence. ``decisions``: encounter_id, ts,
-    seq, status, reviewer_id, corrected_category. A completed event opens a round in ``pending_approval``;
-    only the first decision of a round counts. A repeated completed event opens a new round, unless
-    ``idempotent``. ``original`` names the completed column a correction is compared with.
+    ``completed``: encounter_id, ts, seq, routing_reason, category, confidence and any of PAYLOAD. ``decisions``:
+    encounter_id, ts, seq, status, reviewer_id, corrected_category and perhaps notes. A completed event opens a round
+    in ``pending_approval``; only the first decision of a round counts. A repeated completed event opens a new round,
+    unless ``idempotent``. ``original`` names the completed column a correction is compared with.
     """
     if idempotent:
-        first = completed.groupBy("encounter_id").agg(F.min_by(F.struct("ts", "seq", *ENTRY), F.struct("ts", "seq")).alias("c"))
-        completed = first.select("encounter_id", "c.*")
-    opened = completed.select("encounter_id", "ts", "seq", F.lit(0).alias("kind"), *ENTRY)
-    made = decisions.select("encounter_id", "ts", "seq", F.lit(1).alias("kind"), *DECISION)
-    rounds = _rounds(opened.unionByName(made, allowMissingColumns=True), chunk_seconds)
+        completed = first_completed(completed)
+    return replay(rounds(approval_events(completed, decisions), chunk_seconds), original)
 
+
+def _given(df: DataFrame, names: list[str]) -> list[str]:
+    return [c for c in names if c in df.columns]
+
+
+def first_completed(completed: DataFrame) -> DataFrame:
+    columns = ["ts", "seq", *ENTRY, *_given(completed, PAYLOAD)]
+    first = completed.groupBy("encounter_id").agg(F.min_by(F.struct(*columns), F.struct("ts", "seq")).alias("c"))
+    return first.select("encounter_id", "c.*")
+
+
+def approval_events(completed: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Both topics as one frame: kind 0 opens a round, kind 1 is a decision."""
+    opened = completed.select("encounter_id", "ts", "seq", F.lit(0).alias("kind"), *ENTRY, *_given(completed, PAYLOAD))
+    made = decisions.select("encounter_id", "ts", "seq", F.lit(1).alias("kind"), *DECISION, *_given(decisions, [NOTES]))
+    return opened.unionByName(made, allowMissingColumns=True)
+
+
+def replay(history: DataFrame, original: str = "routing_reason") -> ApprovalResult:
+    """What follows from the ``rounds`` of events. Rows with ``carried`` stand for an entry that was there before: they
+    come before all others of their encounter, happened ``at`` some time, and make no verdict or event again."""
+    columns = history.columns
+    entry, decision = ENTRY + _given(history, PAYLOAD), DECISION + _given(history, [NOTES])
+    at = F.col("at") if "at" in columns else F.col("ts")
+    carried = F.col("carried") if "carried" in columns else F.lit(False)
     outcome = F.when(F.col("round") == 0, "not_found").when(F.col("accepted"), "accepted").otherwise("conflict")
-    verdicts = rounds.filter("kind = 1").select("encounter_id", "ts", "seq", *DECISION, "round", outcome.alias("outcome"))
+    made = history.filter("kind = 1" if "carried" not in columns else "kind = 1 AND NOT carried")
+    verdicts = made.select("encounter_id", "ts", "seq", *DECISION, "round", outcome.alias("outcome"))
 
     # one row per round: what opened it and, if any, the decision that closed it
-    opener = F.max_by(F.struct("ts", *ENTRY), F.when(F.col("kind") == 0, 1)).alias("e")
-    closer = F.max_by(F.struct("ts", *DECISION), F.when(F.col("accepted"), 1)).alias("d")
-    closed = rounds.filter("kind = 0 OR accepted").groupBy("encounter_id", "round").agg(opener, closer)
+    opener = F.max_by(F.struct(at.alias("ts"), *entry), F.when(F.col("kind") == 0, 1)).alias("e")
+    closer = F.max_by(F.struct(at.alias("ts"), carried.alias("carried"), *decision), F.when(F.col("accepted"), 1)).alias("d")
+    closed = history.filter("kind = 0 OR accepted").groupBy("encounter_id", "round").agg(opener, closer)
     latest = closed.groupBy("encounter_id").agg(F.max_by(F.struct("e", "d"), "round").alias("l"))
+    corrected = F.nullif("l.d.corrected_category", F.lit(""))
+    status, updated = F.coalesce("l.d.status", F.lit("pending_approval")), F.coalesce("l.d.ts", "l.e.ts")
     queue = latest.select(
         "encounter_id",
-        F.coalesce("l.d.status", F.lit("pending_approval")).alias("status"),
+        status.alias("status"),
         F.col("l.e.ts").alias("created_at"),
-        F.coalesce("l.d.ts", "l.e.ts").alias("updated_at"),
+        updated.alias("updated_at"),
         F.col("l.d.reviewer_id").alias("reviewer_id"),
-        F.nullif("l.d.corrected_category", F.lit("")).alias("corrected_category"),
+        corrected.alias("corrected_category"),
     )
-    decided = closed.filter("d IS NOT NULL").select(
-        "encounter_id", F.col("d.ts").alias("decided_at"), *[f"e.{c}" for c in ENTRY], *[f"d.{c}" for c in DECISION]
+    notes = [F.col(f"l.d.{NOTES}").alias("reviewer_notes")] if NOTES in columns else []
+    entries = latest.select(
+        "encounter_id",
+        status.alias("status"),
+        F.col("l.e.ts").alias("created_at"),
+        updated.alias("updated_at"),
+        *[F.col(f"l.e.{c}").alias(c) for c in entry],
+        F.col("l.d.reviewer_id").alias("reviewer_id"),
+        corrected.alias("corrected_category"),
+        F.col("l.d.ts").alias("reviewed_at"),
+        *notes,
+    )
+    decided = closed.filter("d IS NOT NULL AND NOT d.carried").select(
+        "encounter_id", "round", F.col("d.ts").alias("decided_at"), *[f"e.{c}" for c in ENTRY], *[f"d.{c}" for c in decision]
     )
     approved = decided.filter("status = 'approved'").select("encounter_id", "reviewer_id", F.col("decided_at").alias("approved_at"))
     feedback = decided.filter(D.is_misroute(F.col(original), F.col("corrected_category"))).select(
@@ -107,7 +149,16 @@ def approval_state_machine(
         "reviewer_id",
         F.col("decided_at").alias("timestamp"),
     )
-    return ApprovalResult(verdicts, queue, approved, feedback)
+    last = decided.groupBy("encounter_id").agg(F.max_by(F.struct("decided_at", *decision), "round").alias("d"))
+    sessions = last.select(
+        "encounter_id",
+        "d.status",
+        F.col("d.reviewer_id").alias("reviewed_by"),
+        *([F.col(f"d.{NOTES}").alias("reviewer_notes")] if NOTES in columns else []),
+        F.col("d.decided_at").alias("reviewed_at"),
+        F.col("d.decided_at").alias("updated_at"),
+    )
+    return ApprovalResult(verdicts, queue, approved, feedback, entries, sessions)
 
 
 def approval_lookup(decisions: DataFrame, queue: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -237,6 +237,14 @@ INPUTS: dict[str, tuple[str, dict[str, str]]] = {
     }),
 }
 
+# what the two topics bring along beside what the status machine reads
+INPUTS["completed_full"] = ("orders", INPUTS["completed"][1] | {
+    "patient_id": joined("'pat-'", text_of("o_custkey")),
+    "triage_result": joined("'{\"level\":\"'", pick(S.TRIAGE_LEVELS, "o_orderkey % 4"), "'\",\"routing_reason\":\"'", pick(CATEGORIES, "o_custkey % 10"), "'\"}'"),
+    "sentinel_check": "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE '{\"circuit_breaker_tripped\":false}' END",
+    "audit_ref": joined("'audit-'", text_of("o_orderkey")),
+})
+INPUTS["reviews_full"] = ("lineitem", INPUTS["reviews"][1] | {"notes": "CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_linestatus END"})
 
 # inputs whose queries spend their time on text or JSON, not on reading; dealt out after the scan only where the
 # session asks for it, as for a test table that is one file with one row group

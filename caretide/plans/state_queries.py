@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from caretide import settings as S
 from caretide.functions import labels as L
 from caretide.operators import approvals as A, dashboards as B, keyed as K, outputs as O, records as R, screening
-from caretide.plans.inputs import ctes, load
+from caretide.plans.inputs import cte, ctes, load
 from caretide.plans.registry import at, epoch, query, sql_epoch
 from caretide.sources.tables import table
 
@@ -111,6 +111,43 @@ def approval_queue(spark, d):
     return _machine(spark, d).queue.withColumns({c: epoch(c) for c in ("created_at", "updated_at")})
 
 
+_last_entry = "last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY encounter_id ORDER BY round DESC) AS k FROM entries) WHERE k = 1)"
+_notes = "SELECT encounter_id AS eid, seq AS sid, notes FROM reviews_full"
+
+
+@query(
+    "approval_sessions",
+    f"""{_machine_sql()}, {cte('reviews_full')}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY encounter_id ORDER BY round DESC) AS k FROM firsts) WHERE k = 1)
+SELECT encounter_id, status, reviewer_id AS reviewed_by, r.notes AS reviewer_notes, {sql_epoch('ts')} AS reviewed_at, {sql_epoch('ts')} AS updated_at FROM f JOIN ({_notes}) r ON eid = encounter_id AND sid = seq""",
+)
+def approval_sessions(spark, d):
+    """What decisions write to the sessions of their encounters."""
+    result = A.approval_state_machine(_completed(spark, d), load(spark, d, "reviews_full"))
+    return result.sessions.withColumns({c: epoch(c) for c in ("reviewed_at", "updated_at")})
+
+
+FULL_ENTRY = f"""{_machine_sql()}, {cte('completed_full')}, {cte('reviews_full')}, {_last_entry}
+SELECT l.encounter_id, coalesce(f.status, 'pending_approval') AS status, {sql_epoch('l.ts')} AS created_at, {sql_epoch('coalesce(f.ts, l.ts)')} AS updated_at,
+  {sql_epoch('f.ts')} AS reviewed_at, l.routing_reason, l.category, l.confidence, f.reviewer_id, nullif(f.corrected_category, '') AS corrected_category, r.notes AS reviewer_notes,
+  c.patient_id, c.triage_result, c.sentinel_check, c.audit_ref
+FROM last l JOIN completed_full c ON c.encounter_id = l.encounter_id LEFT JOIN firsts f ON f.encounter_id = l.encounter_id AND f.round = l.round
+LEFT JOIN ({_notes}) r ON eid = f.encounter_id AND sid = f.seq"""
+
+
+def full_events(spark, d):
+    """Both topics with all that they bring along, repeated deliveries included."""
+    first = load(spark, d, "completed_full")
+    again = first.filter("redelivered").withColumns({"ts": F.expr("ts + INTERVAL 120 DAYS"), "seq": F.col("seq") + 1_000_000_000})
+    return A.approval_events(first.unionByName(again).drop("redelivered"), load(spark, d, "reviews_full"))
+
+
+@query("approval_entries", FULL_ENTRY)
+def approval_entries(spark, d):
+    """Every entry with patient, result, check, audit reference and review."""
+    entries = A.replay(A.rounds(full_events(spark, d))).entries
+    return entries.withColumns({c: epoch(c) for c in ("created_at", "updated_at", "reviewed_at")})
+
+
 @query(
     "approved_events",
     f"{_machine_sql()} SELECT e.encounter_id, f.reviewer_id, {sql_epoch('f.ts')} AS approved_at FROM entries e JOIN firsts f USING (encounter_id, round) WHERE f.status = 'approved'",

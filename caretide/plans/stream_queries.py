@@ -6,9 +6,9 @@ from caretide.operators import service_levels as L
 from caretide.plans.inputs import ctes, load, load_stream
 from caretide.plans.message_queries import _data_spark, _decoded, _deliveries, _deliveries_sql, _is_audit, _repeated
 from caretide.plans.registry import epoch, query, sql_period
-from caretide.plans.state_queries import _machine_sql, _verdicts
+from caretide.plans.state_queries import FULL_ENTRY, _machine_sql, _verdicts, full_events
 from caretide.sources.tables import scratch, table_stream, write_partitioned
-from caretide.streaming import approvals as SA, ingest as I
+from caretide.streaming import approval_table as T, approvals as SA, ingest as I
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str, keys: list[str] | None = None) -> DataFrame:
@@ -80,6 +80,27 @@ def approval_stream(spark, d):
         spark.conf.set(key, before)
 
 
+def in_files(df: DataFrame, folder: str, ts: str, files: int) -> DataFrame:
+    """The rows as a stream of so many files, each of later times than the ones before it."""
+    edges = df.select(F.col(ts).cast("timestamp").alias("t")).selectExpr(f"percentile_approx(unix_seconds(t), array({', '.join(str(k / files) for k in range(1, files))})) AS q").first()["q"]
+    at = F.unix_seconds(F.col(ts).cast("timestamp"))
+    bounds = [None, *edges, None]
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        part = df if low is None else df.filter(at > low)
+        (part if high is None else part.filter(at <= high)).coalesce(1).write.mode("append").parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query("approval_table_stream", FULL_ENTRY)
+def approval_table_stream(spark, d):
+    """Both topics in five micro-batches through the table of entries."""
+    folder = scratch(spark, "approval-table")
+    events = full_events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = in_files(events, f"{folder}/in", "ts", 5)
+    T.approval_table_stream(stream, folder, f"{folder}/checkpoint", once=True, every=2).awaitTermination()
+    return T.current(spark, folder, events, 5, every=2).withColumns({c: epoch(c) for c in ("created_at", "updated_at", "reviewed_at")})
+
+
 @query(
     "dead_letter_stream",
     f"WITH {_deliveries_sql} SELECT message_id, CAST(count(*) FILTER (NOT ok) AS BIGINT) AS failures, count(*) FILTER (NOT ok) >= 5 OR bool_or(permanent AND NOT ok) AS dead FROM deliveries GROUP BY 1 HAVING NOT bool_or(ok)",

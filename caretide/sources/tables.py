@@ -62,3 +62,9 @@ def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table's files as a stream."""
     schema = table(spark, folder, name).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of a table, if it is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)

@@ -26,7 +26,8 @@ def dedup_stream(stream: DataFrame, ts: str = "publish_time", delay: str = WATER
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["message_id"])
 
 
-def _start(writer: DataStreamWriter, checkpoint: str, once: bool, seconds: int) -> DataStreamWriter:
+def start(writer: DataStreamWriter, checkpoint: str, once: bool, seconds: int) -> DataStreamWriter:
+    """A writer that takes what is there and ends, or looks again every so many seconds."""
     writer = writer.option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")
 
@@ -34,7 +35,7 @@ def _start(writer: DataStreamWriter, checkpoint: str, once: bool, seconds: int)
 def sink_batched(stream: DataFrame, path: str, checkpoint: str, once: bool = False, seconds: int = S.FLUSH_SECONDS):
     """Micro-batched append with exactly-once files."""
     writer = stream.writeStream.format("parquet").option("path", path).outputMode("append")
-    return _start(writer, checkpoint, once, seconds).start()
+    return start(writer, checkpoint, once, seconds).start()
 
 
 def judge_messages(batch: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def audit_stream(stream: DataFrame, out: str, checkpoint: str, once: bool = Fals
             judged.unpersist()
 
     unique = dedup_stream(stream) if "publish_time" in stream.columns else stream
-    return _start(unique.writeStream.foreachBatch(write), checkpoint, once, seconds).start()
+    return start(unique.writeStream.foreachBatch(write), checkpoint, once, seconds).start()
 
 
 def compact(spark: SparkSession, path: str, out: str, before: str, keys: list[str]) -> None:
@@ -134,7 +135,7 @@ def change_feed_stream(stream: DataFrame, state: str, out: str, checkpoint: str,
         changes = keyed.change_feed(previous, current, "encounter_id")
         changes.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return _start(stream.writeStream.foreachBatch(write), checkpoint, once, S.FLUSH_SECONDS).start()
+    return start(stream.writeStream.foreachBatch(write), checkpoint, once, S.FLUSH_SECONDS).start()
 
 
 def usage_stream(points: DataFrame, metric: str, by: list[str], window: str, delay: str = WATERMARK) -> DataFrame:
