@@ -6,9 +6,9 @@ The given event log is sparse (one row every few minutes), so alert runs are eva
 from pyspark.sql import functions as F
 
 from caretide import settings as S
-from caretide.operators import screening, service_levels as L
+from caretide.operators import intervals as N, screening, service_levels as L
 from caretide.plans.inputs import ctes, load
-from caretide.plans.registry import query, sql_period
+from caretide.plans.registry import at, query, sql_period
 from caretide.sources.tables import table
 
 HOUR, DAY = L.HOUR, L.DAY
@@ -200,3 +200,67 @@ def log_metric(spark, d):
 @query("rate_limit_breaches", f"{ctes('requests')} SELECT client, {sql_period('ts', HOUR)} AS start, count(*) AS requests, {sql_period('min(ts)', HOUR)} + 3660 AS banned_until FROM requests GROUP BY 1, 2 HAVING count(*) > 2")
 def rate_limit_breaches(spark, d):
     return L.rate_limit_breaches(_requests(spark, d), 2, HOUR, S.EDGE_BAN_SECONDS)
+
+
+# --- along time --------------------------------------------------------------
+
+_UNTIL = "1995-06-01"
+_deadlines = {
+    "sla_deadline": "submitted_at + make_interval(0, 0, 0, 2, 0, 0, order_key % 86400)",
+    "reviewed_at": "CASE WHEN order_key % 9 <> 0 THEN submitted_at + make_interval(0, 0, 0, 2 + order_key % 11, 0, 0, customer % 86400) END",
+}
+_overdue_sql = f"""{ctes('approvals')}, o AS (SELECT epoch(submitted_at) + 172800 + order_key % 86400 AS s,
+  CASE WHEN order_key % 9 <> 0 THEN epoch(submitted_at) + 86400 * (2 + order_key % 11) + customer % 86400 END AS e, epoch(TIMESTAMP '{_UNTIL}') AS u FROM approvals),
+i AS (SELECT CAST(floor(s / 300) AS BIGINT) AS a, CAST(floor((least(coalesce(e, u), u) - 1) / 300) AS BIGINT) AS b FROM o WHERE s < u AND (e IS NULL OR e > s))
+SELECT p * 300 AS start, count(*) AS n_overdue FROM (SELECT unnest(range(a, b + 1)) AS p FROM i) GROUP BY 1"""
+
+
+@query("overdue_per_period", _overdue_sql)
+def overdue_per_period(spark, d):
+    """Overdue entries in every period of 300 s, as of a day; the last ninth is never reviewed."""
+    approvals = load(spark, d, "approvals").withColumns({c: F.expr(e) for c, e in _deadlines.items()})
+    return N.overdue_per_period(approvals, at(_UNTIL))
+
+
+def _alert_sql(series: str) -> str:
+    """``series``: empty, or a column and a comma."""
+    part, grouped = (f"PARTITION BY {series.rstrip(', ')}", series) if series else ("", "")
+    return f"""{_points_sql}, a AS (SELECT {series}{sql_period('ts', HOUR)} AS start, sum(depth) AS value FROM points GROUP BY ALL),
+r AS (SELECT {series}start, start - {HOUR} * row_number() OVER ({part} ORDER BY start) AS g FROM a WHERE value > 10),
+x AS (SELECT {series}min(start) AS first, max(start) AS last FROM r GROUP BY {grouped}g HAVING count(*) >= 3)
+SELECT {series}'opened' AS event, first + {2 * HOUR} AS at FROM x UNION ALL SELECT {series}'closed', last + {HOUR} FROM x"""
+
+
+@query("alert_events", _alert_sql("subscription, "))
+def alert_events(spark, d):
+    """When alerts open and close: a condition held for three hours, in each subscription."""
+    aligned = L.align(_metric_points(spark, d), ["subscription"], "ts", "depth", HOUR, "sum")
+    return N.alert_events(aligned, ["subscription"], F.col("value") > 10, HOUR, 3 * HOUR)
+
+
+@query("alert_events_overall", _alert_sql(""))
+def alert_events_overall(spark, d):
+    """The same without a series: runs are carried over the days."""
+    aligned = L.align(_metric_points(spark, d), [], "ts", "depth", HOUR, "sum")
+    return N.alert_events(aligned, [], F.col("value") > 10, HOUR, 3 * HOUR)
+
+
+_LIMIT, _INTERVAL, _BAN = 3, 3_600, 5_400
+_edge_client = "CASE WHEN log_id % 3 = 0 THEN 'hot' ELSE client END"
+_edge_sql = f"""WITH RECURSIVE {ctes('requests').removeprefix('WITH ')}, q AS (SELECT log_id, {_edge_client} AS client, epoch_us(ts) AS t FROM requests),
+n AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY t, log_id) AS rn FROM q),
+w AS (SELECT log_id, client, t, rn, t AS opened, 1 AS used, CAST(NULL AS BIGINT) AS banned, false AS refused FROM n WHERE rn = 1
+  UNION ALL SELECT n.log_id, n.client, n.t, n.rn,
+    CASE WHEN w.banned IS NOT NULL AND n.t < w.banned THEN w.opened WHEN w.banned IS NOT NULL OR n.t >= w.opened + {_INTERVAL * 10**6} THEN n.t ELSE w.opened END,
+    CASE WHEN w.banned IS NOT NULL AND n.t < w.banned THEN w.used WHEN w.banned IS NOT NULL OR n.t >= w.opened + {_INTERVAL * 10**6} THEN 1 ELSE w.used + 1 END,
+    CASE WHEN w.banned IS NOT NULL AND n.t < w.banned THEN w.banned WHEN w.banned IS NOT NULL OR n.t >= w.opened + {_INTERVAL * 10**6} THEN NULL WHEN w.used + 1 > {_LIMIT} THEN n.t + {_BAN * 10**6} END,
+    (w.banned IS NOT NULL AND n.t < w.banned) OR (w.banned IS NULL AND n.t < w.opened + {_INTERVAL * 10**6} AND w.used + 1 > {_LIMIT})
+  FROM w JOIN n ON n.client = w.client AND n.rn = w.rn + 1)
+SELECT log_id, client, NOT refused AS allowed, CASE WHEN refused THEN banned - {_BAN * 10**6} END AS ban_start, CASE WHEN refused THEN banned END AS ban_end FROM w"""
+
+
+@query("edge_bans", _edge_sql)
+def edge_bans(spark, d):
+    """Requests at the edge, allowed or refused; a third of them is one client's."""
+    requests = _requests(spark, d).withColumn("client", F.expr(_edge_client)).select("log_id", "client", "ts")
+    return N.edge_bans(requests, _LIMIT, _INTERVAL, _BAN).drop("ts")
