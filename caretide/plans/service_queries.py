@@ -85,7 +85,7 @@ _points = {
 _points_sql = "WITH points AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in _points.items()) + " FROM events)"
 
 
-def _metric_points(spark, d):
+def metric_points(spark, d):
     return table(spark, d, "events").selectExpr(*[f"{e} AS {c}" for c, e in _points.items()])
 
 
@@ -95,25 +95,25 @@ def _aligned(value: str, how: str, seconds: int = HOUR) -> str:
 
 @query("dlq_depth", f"{_aligned('depth', 'max')} {sustained_sql('a', 'subscription', 'value > 0', HOUR, 5 * HOUR, 'subscription, value')}")
 def dlq_depth(spark, d):
-    aligned = L.align(_metric_points(spark, d), ["subscription"], "ts", "depth", HOUR, "max")
+    aligned = L.align(metric_points(spark, d), ["subscription"], "ts", "depth", HOUR, "max")
     return L.sustained(aligned, ["subscription"], F.col("value") > 0, HOUR, 5 * HOUR)
 
 
 @query("db_connections", f"{_aligned('connections', 'min')} {sustained_sql('a', 'subscription', 'value < 1', HOUR, HOUR, 'subscription, value')}")
 def db_connections(spark, d):
-    aligned = L.align(_metric_points(spark, d), ["subscription"], "ts", "connections", HOUR, "min")
+    aligned = L.align(metric_points(spark, d), ["subscription"], "ts", "connections", HOUR, "min")
     return L.sustained(aligned, ["subscription"], F.col("value") < 1, HOUR, HOUR)
 
 
 @query("db_cpu", f"{_aligned('cpu', 'avg')}, b AS (SELECT subscription, start, round(value, 6) AS value FROM a) {sustained_sql('b', 'subscription', 'value > 0.8', HOUR, 2 * HOUR, 'subscription, value')}")
 def db_cpu(spark, d):
-    aligned = L.align(_metric_points(spark, d), ["subscription"], "ts", "cpu", HOUR, "mean").withColumn("value", F.round("value", 6))
+    aligned = L.align(metric_points(spark, d), ["subscription"], "ts", "cpu", HOUR, "mean").withColumn("value", F.round("value", 6))
     return L.sustained(aligned, ["subscription"], F.col("value") > 0.8, HOUR, 2 * HOUR)
 
 
 @query("sustained", f"{_aligned('depth', 'sum')} {sustained_sql('a', 'subscription', 'value > 10', HOUR, 3 * HOUR, 'subscription, CAST(value AS BIGINT) AS value')}")
 def sustained(spark, d):
-    aligned = L.align(_metric_points(spark, d), ["subscription"], "ts", "depth", HOUR, "sum")
+    aligned = L.align(metric_points(spark, d), ["subscription"], "ts", "depth", HOUR, "sum")
     return L.sustained(aligned, ["subscription"], F.col("value") > 10, HOUR, 3 * HOUR)
 
 
@@ -222,7 +222,7 @@ def overdue_per_period(spark, d):
     return N.overdue_per_period(approvals, at(_UNTIL))
 
 
-def _alert_sql(series: str) -> str:
+def alert_sql(series: str) -> str:
     """``series``: empty, or a column and a comma."""
     part, grouped = (f"PARTITION BY {series.rstrip(', ')}", series) if series else ("", "")
     return f"""{_points_sql}, a AS (SELECT {series}{sql_period('ts', HOUR)} AS start, sum(depth) AS value FROM points GROUP BY ALL),
@@ -231,17 +231,17 @@ x AS (SELECT {series}min(start) AS first, max(start) AS last FROM r GROUP BY {gr
 SELECT {series}'opened' AS event, first + {2 * HOUR} AS at FROM x UNION ALL SELECT {series}'closed', last + {HOUR} FROM x"""
 
 
-@query("alert_events", _alert_sql("subscription, "))
+@query("alert_events", alert_sql("subscription, "))
 def alert_events(spark, d):
     """When alerts open and close: a condition held for three hours, in each subscription."""
-    aligned = L.align(_metric_points(spark, d), ["subscription"], "ts", "depth", HOUR, "sum")
+    aligned = L.align(metric_points(spark, d), ["subscription"], "ts", "depth", HOUR, "sum")
     return N.alert_events(aligned, ["subscription"], F.col("value") > 10, HOUR, 3 * HOUR)
 
 
-@query("alert_events_overall", _alert_sql(""))
+@query("alert_events_overall", alert_sql(""))
 def alert_events_overall(spark, d):
     """The same without a series: runs are carried over the days."""
-    aligned = L.align(_metric_points(spark, d), [], "ts", "depth", HOUR, "sum")
+    aligned = L.align(metric_points(spark, d), [], "ts", "depth", HOUR, "sum")
     return N.alert_events(aligned, [], F.col("value") > 10, HOUR, 3 * HOUR)
 
 

@@ -1,14 +1,17 @@
 """Sinks and streaming operators, run to the end of the given tables and read back."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, functions as F
 
 from caretide.operators import service_levels as L
 from caretide.plans.inputs import ctes, load, load_stream
 from caretide.plans.message_queries import _data_spark, _decoded, _deliveries, _deliveries_sql, _is_audit, _repeated
+from caretide.plans.service_queries import alert_sql, metric_points
 from caretide.plans.registry import epoch, query, sql_period
 from caretide.plans.state_queries import FULL_ENTRY, _machine_sql, _verdicts, full_events
 from caretide.sources.tables import scratch, table_stream, write_partitioned
-from caretide.streaming import approval_table as T, approvals as SA, ingest as I
+from caretide.streaming import alerts as AL, approval_table as T, approvals as SA, ingest as I
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str, keys: list[str] | None = None) -> DataFrame:
@@ -29,6 +32,18 @@ def run_to_table(stream: DataFrame, name: str, mode: str, keys: list[str] | None
     return newest.select("row.*")
 
 
+@contextmanager
+def rocksdb(spark):
+    """The state store that keyed operators need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, SA.ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @query("write_partitioned", f"{ctes('calls')} SELECT CAST(CAST(ts AS DATE) AS STRING) AS day, node, count(*) AS n FROM calls GROUP BY 1, 2")
 def write_partitioned_query(spark, d):
     """Write by day, clustered by encounter and node; read back by the partition column."""
@@ -71,13 +86,8 @@ def approval_stream(spark, d):
     completed = first.unionByName(again).withColumn("ts", F.col("ts").cast("timestamp"))
     reviews = load_stream(spark, d, "reviews").withColumn("ts", F.col("ts").cast("timestamp"))
     out = SA.approval_stream(SA.union_events(completed, reviews))
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, SA.ROCKSDB)
-    try:
+    with rocksdb(spark):
         return run_to_table(out, "approvals", "append").select("encounter_id", "seq", "status", "outcome")
-    finally:
-        spark.conf.set(key, before)
 
 
 def in_files(df: DataFrame, folder: str, ts: str, files: int) -> DataFrame:
@@ -101,6 +111,18 @@ def approval_table_stream(spark, d):
     return T.current(spark, folder, events, 5, every=2).withColumns({c: epoch(c) for c in ("created_at", "updated_at", "reviewed_at")})
 
 
+@query("alert_stream", alert_sql("subscription, ").replace("SELECT subscription, 'opened'", "SELECT subscription AS series, 'opened'"))
+def alert_stream(spark, d):
+    """The hourly alerts of each subscription in four micro-batches; a tick of the clock at the end lets the last runs end."""
+    folder = scratch(spark, "alerts")
+    points = L.align(metric_points(spark, d), ["subscription"], "ts", "depth", L.HOUR, "sum").withColumn("ts", F.timestamp_seconds("start"))
+    tick = points.agg(F.lit("tick").alias("subscription"), (F.max("start") + 10 * L.DAY).alias("start"), F.lit(0).alias("value"))
+    stream = in_files(points, f"{folder}/in", "ts", 4)
+    points.unionByName(tick, allowMissingColumns=True).filter("subscription = 'tick'").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    with rocksdb(spark):
+        return run_to_table(AL.alert_stream(stream, F.col("subscription"), F.col("value") > 10, L.HOUR, 3 * L.HOUR, "2 hours"), "alerts", "append").drop("batch")
+
+
 @query(
     "dead_letter_stream",
     f"WITH {_deliveries_sql} SELECT message_id, CAST(count(*) FILTER (NOT ok) AS BIGINT) AS failures, count(*) FILTER (NOT ok) >= 5 OR bool_or(permanent AND NOT ok) AS dead FROM deliveries GROUP BY 1 HAVING NOT bool_or(ok)",

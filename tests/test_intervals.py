@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from caretide.operators import intervals as N, service_levels as L
+from caretide.plans.stream_queries import rocksdb, run_to_table
+from caretide.streaming import alerts as AL
 
 
 def plain_bans(times, limit, interval, ban):
@@ -88,3 +90,25 @@ def test_alert_events_agree_with_firing_points(spark):
     assert {(r["event"], r["at"]) for r in N.alert_events(one, [], F.col("bad") == 1, 300, 1500).collect()} == {(e, t) for s, e, t in want if s == "x"}
     half = N.alert_events(one, [], F.col("bad") == 1, 300, 1500, until=F.lit(max(t for s, e, t in want if s == "x")))
     assert half.count() == sum(s == "x" for s, _, _ in want) - 1
+
+
+def test_alert_stream_equals_the_batch_form(spark, tmp_path):
+    rng, rows = random.Random(8), []
+    for series in "pq":
+        for p in range(0, 600, 5):
+            if rng.random() < 0.95:
+                rows.append((series, p * 60, int(rng.random() < 0.9)))
+    schema = "series string, start long, bad int"
+    want = {(r["series"], r["event"], r["at"]) for r in N.alert_events(spark.createDataFrame(rows, schema), ["series"], F.col("bad") == 1, 300, 1500).collect()}
+    rows.sort(key=lambda r: r[1])
+    parts = [rows[:80], rows[80:150], rows[150:]]
+    for a, b in ((0, 1), (1, 2)):  # points that come late, but within the delay
+        parts[a][-6:], parts[b][:6] = parts[b][:6], parts[a][-6:]
+    parts.append([("tick", 10**6, 0)])
+    for part in parts:
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with rocksdb(spark):
+        out = run_to_table(AL.alert_stream(stream, F.col("series"), F.col("bad") == 1, 300, 1500, "1 hour"), "alerts", "append")
+    assert sorted((r["series"], r["event"], r["at"]) for r in out.collect()) == sorted(want)
