@@ -85,3 +85,23 @@ def with_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
 def without_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``df`` whose key is not among ``ids``; see ``with_ids``."""
     return df.join(_small(ids), key, "left_anti")
+
+
+#: Name of the row key that ``unique_rows`` adds.
+ROW = "__row"
+
+
+def ids_are_unique(docs: DataFrame, doc_id: str = "doc_id") -> bool:
+    """Whether every row has an id of its own: no null, none twice."""
+    return docs.groupBy(doc_id).count().filter(F.col(doc_id).isNull() | (F.col("count") > 1)).isEmpty()
+
+
+def unique_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs``, stored, with a long row key in the order of ids (null ones last), then of texts.
+
+    Rows are dealt by range and numbered within their partition, so no task sees more than its share.
+    """
+    order = [F.col(doc_id).asc_nulls_last(), F.substring(text, 1, 32)]
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.repartitionByRange(n, *order).sortWithinPartitions(order[0], text)
+    return stored(dealt.withColumn(ROW, F.monotonically_increasing_id()), "unique-rows")

@@ -265,7 +265,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows that share an id but not the text are linked through it. A null id: compared with nothing, component null, kept.
     Empty table: no rows. Other columns are not read.
     """
-    signed = stored(signatures(docs, doc_id, text, words).dropDuplicates(["doc_id", "n", "f1", "f2"]), "signatures")
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    signed = stored(signatures(docs, "doc_id", "text", words).dropDuplicates(["doc_id", "n", "f1", "f2"]), "signatures")
     prints = ["n", "f1", "f2"]
     comparable = F.expr("n > 0 and doc_id is not null")
     classes = signed.filter(comparable).groupBy(*prints).agg(F.min("doc_id").alias("rep"))
@@ -275,7 +276,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shared = entries.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most")
     bands = stored(entries.join(shared.select("key", "least"), "key").distinct(), "bands")
     candidates = stored(bands.select(F.col("rep").alias("doc_id")).distinct(), "candidates")
-    sets = full_sets(with_ids(docs.withColumnRenamed(doc_id, "doc_id"), candidates), "doc_id", text, words)
+    sets = full_sets(with_ids(docs, candidates), "doc_id", "text", words)
     # an id may come with several texts; those that stand for a class are compared
     standing = member.filter(F.col("doc_id") == F.col("rep")).select("doc_id", "f1")
     sets = stored(sets.join(standing, ["doc_id", "f1"], "left_semi").dropDuplicates(["doc_id", "f1"]), "sets")

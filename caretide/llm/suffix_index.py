@@ -22,9 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegralType
 
 from caretide.llm.anchors import rolling, runs
-from caretide.llm.common import drop_stored, stored, with_ids, without_ids
+from caretide.llm.common import ROW, drop_stored, ids_are_unique, stored, unique_rows, with_ids, without_ids
 from caretide.llm.textbytes import flat, mixed, slices
 
 #: Bytes of a string that counts, and of the anchor inside it.
@@ -236,13 +237,6 @@ def window_scan(hashed: DataFrame) -> DataFrame:
     return later
 
 
-def one_per_id(docs: DataFrame) -> DataFrame:
-    """Of rows that share an id, one with the least text; tables without such rows stay as they are."""
-    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return docs
-    return docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-
-
 def covered(length: int, spans: np.ndarray) -> tuple[np.ndarray, int]:
     """Mask of the bytes inside windows of the spans (start, count), and the number of maximal runs of them."""
     edge = np.zeros(length + 1, np.int64)
@@ -253,16 +247,23 @@ def covered(length: int, spans: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES, contents: bool = False) -> DataFrame:
-    """One row per id: doc_id, n_bytes, n_removed, n_spans and kept_sha256, with ``contents`` also kept_text (what is left,
+    """One row per row: doc_id, n_bytes, n_removed, n_spans and kept_sha256, with ``contents`` also kept_text (what is left,
     without the halves of characters that were cut).
 
     Removes every byte that a string of 100 bytes covers which also starts earlier: in a document of smaller id, or
-    earlier in the same one. Null text: empty. Of rows that share an id the one with the least text counts (repeated
-    rows count once). A null id: left as it is and compared with nothing. Empty table: no rows. Ids are integers. Other
-    columns of ``docs`` are not read.
+    earlier in the same one. Null text: empty. Rows that share an id, repeated ones too, are documents of their own in the
+    order of their texts. A null id: left as it is and compared with nothing. Empty table: no rows. Ids of any type that
+    can be ordered. Other columns of ``docs`` are not read.
     """
-    every = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    narrow = one_per_id(every.filter("doc_id is not null"))
+    every = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    known = every.filter("doc_id is not null")
+    if not isinstance(every.schema["doc_id"].dataType, IntegralType) or not ids_are_unique(known):
+        rows = unique_rows(known)
+        judged = remove_repeats(rows, ROW, "text", batches, contents).withColumnRenamed("doc_id", ROW)
+        out = judged.join(rows.select(ROW, "doc_id"), ROW)
+        return out.select("doc_id", *judged.columns[1:]).unionByName(_untouched(every.filter("doc_id is null"), contents))
+    every = every.withColumn("doc_id", F.col("doc_id").cast("long"))
+    narrow = every.filter("doc_id is not null")
     limits = narrow.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     limits = sorted(set(map(int, limits)))
     index = SuffixIndex()
@@ -292,9 +293,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * contents
     changed = with_ids(narrow, ids).join(per_doc, "doc_id").mapInArrow(cut, schema)
+    same = without_ids(narrow, ids).unionByName(every.filter("doc_id is null"))
+    return _untouched(same, contents).unionByName(changed)
+
+
+def _untouched(rows: DataFrame, contents: bool) -> DataFrame:
+    """Result rows of texts that keep all their bytes."""
     whole = F.coalesce("text", F.lit(""))
     zero = F.lit(0).cast("long")
-    same = without_ids(narrow, ids).unionByName(every.filter("doc_id is null")).select(
+    return rows.select(
         "doc_id",
         F.octet_length(whole).cast("long").alias("n_bytes"),
         zero.alias("n_removed"),
@@ -302,4 +309,3 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.sha2(whole.cast("binary"), 256).alias("kept_sha256"),
         *([whole.alias("kept_text")] if contents else []),
     )
-    return same.unionByName(changed)

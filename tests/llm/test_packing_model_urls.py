@@ -213,6 +213,27 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     check_bins(rows, 2048)
 
 
+def test_pipeline_stages_lose_no_row_of_a_shared_or_null_id(spark, tmp_path):
+    passage, item = data.prose(41, 80), data.prose(42, 30)
+    texts = {"a": data.prose(43, 90) + " " + passage, "b": passage + " " + data.prose(44, 90), "c": data.prose(45, 150), "d": data.prose(46, 70) + " " + item}
+    ids = [(1, "a"), (2, "c"), (2, "b"), (2, "b"), (None, "d"), (None, "c"), (5, "c")]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = data.clashing(data.frame(spark, [(i, texts[t], "en", "s", len(texts[t])) for i, t in ids]), "kept", "count", "n", "hash")
+    stages = dict(corpus_pipeline.STAGES)
+    got = stages["near_dedup"](spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect() if r["doc_id"]) == sorted([(1, texts["a"]), (2, texts["b"]), (2, texts["c"])])
+    assert [r["text"] for r in got.collect() if r["doc_id"] is None] == [texts["d"]]
+    cut = stages["suffix_dedup"](spark, got, str(tmp_path))
+    assert cut.columns == docs.columns
+    left = {(r["doc_id"], r["text"]): r["n_chars"] for r in cut.collect()}
+    assert set(left) == {(1, texts["a"]), (2, texts["b"].removeprefix(passage)), (2, texts["c"]), (None, texts["d"])}
+    assert all(n == len(t) for (_, t), n in left.items())
+    clean = stages["decontaminate"](spark, cut, str(tmp_path))
+    assert clean.columns == docs.columns and {(r["doc_id"], r["text"]) for r in clean.collect()} == set(left) - {(None, texts["d"])}
+    assert {r["doc_id"] for r in stages["packing"](spark, cut, str(tmp_path)).collect()} == {1, 2, None}
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     data.frame(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
