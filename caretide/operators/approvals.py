@@ -180,6 +180,14 @@ def approval_turnaround(approvals: DataFrame, by: list[str] | None = None) -> Da
     return done.groupBy(*(by or [])).agg(F.avg(seconds).alias("avg_seconds"), F.count("*").alias("n_reviewed"))
 
 
+def approvals_by_day(approvals: DataFrame) -> DataFrame:
+    """Per day of submission: encounters (each once), entries reviewed so far and their mean seconds to review."""
+    seconds = F.unix_timestamp("reviewed_at") - F.unix_timestamp("submitted_at")
+    return approvals.groupBy(F.to_date("submitted_at").alias("day")).agg(
+        F.count_distinct("encounter_id").alias("n_encounters"), F.count("reviewed_at").alias("n_reviewed"), F.avg(seconds).alias("avg_seconds")
+    )
+
+
 def misroute_matrix(feedback: DataFrame) -> DataFrame:
     return feedback.groupBy("original_category", "corrected_category").agg(
         F.count("*").alias("n"), F.avg("classifier_confidence").alias("avg_confidence")

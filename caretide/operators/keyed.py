@@ -70,3 +70,22 @@ def change_feed(previous: DataFrame, current: DataFrame, key: str) -> DataFrame:
     joined = cur.join(prev, key, "left")
     event = F.when(F.col("__seen").isNull(), "new_triage").when(~F.col("__cur").eqNullSafe(F.col("__prev")), "updated")
     return joined.select(event.alias("event"), key, "__cur.*").filter("event is not null")
+
+
+def reconcile_stores(stores: dict[str, DataFrame], key: str, day: str, compared: list[str]) -> DataFrame:
+    """Where stores disagree: key, day, missing_in (names in the order of ``stores``, comma-joined; empty if none) and
+    ``differs`` (a compared column has several values over the stores that have the key).
+
+    One union and one aggregation for any number of stores: a bit mask of presence, and the least and greatest checksum
+    of the compared columns. A key that a store holds several times a day counts once there, unless its rows differ. Null
+    keys are left out.
+    """
+    checksum = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in compared])
+    rows = None
+    for i, df in enumerate(stores.values()):
+        part = df.filter(F.col(key).isNotNull()).select(key, F.to_date(day).alias("day"), F.lit(1 << i).alias("bit"), checksum.alias("sum"))
+        rows = part if rows is None else rows.unionByName(part)
+    seen = rows.groupBy(key, "day").agg(F.bit_or("bit").alias("mask"), (F.min("sum") != F.max("sum")).alias("differs"))
+    names = [F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) == 0, name) for i, name in enumerate(stores)]
+    missing = F.concat_ws(",", *names)
+    return seen.filter((F.col("mask") != (1 << len(stores)) - 1) | F.col("differs")).select(key, "day", missing.alias("missing_in"), "differs")

@@ -237,6 +237,32 @@ def reconcile(spark, d):
     return K.reconcile(queue, load(spark, d, "reviews"), "encounter_id", ("queue", "audit"))
 
 
+_store_rules = {"sessions": "seq % 7 <> 0", "queue": "seq % 5 <> 0", "audit": "seq % 3 <> 0"}
+_store_level = {"sessions": "level", "queue": "CASE WHEN seq % 11 = 0 THEN 'Changed' ELSE level END", "audit": "level"}
+
+
+@query(
+    "reconcile_stores",
+    f"""{ctes('session_log')}, s AS ({" UNION ALL ".join(f"SELECT DISTINCT '{n}' AS store, encounter_id, CAST(updated_at AS DATE) AS day, coalesce({_store_level[n]}, '') AS level FROM session_log WHERE {r}" for n, r in _store_rules.items())}),
+g AS (SELECT encounter_id, day, concat_ws(',', {", ".join(f"CASE WHEN count(*) FILTER (store = '{n}') = 0 THEN '{n}' END" for n in _store_rules)}) AS missing_in, count(DISTINCT level) > 1 AS differs FROM s GROUP BY 1, 2)
+SELECT encounter_id, CAST(day AS VARCHAR) AS day, missing_in, differs FROM g WHERE missing_in <> '' OR differs""",
+)
+def reconcile_stores(spark, d):
+    """Sessions, queue and audit trail held against each other, per encounter and day."""
+    log = load(spark, d, "session_log")
+    stores = {n: log.filter(r).withColumn("level", F.expr(_store_level[n])) for n, r in _store_rules.items()}
+    return K.reconcile_stores(stores, "encounter_id", "updated_at", ["level"]).withColumn("day", F.col("day").cast("string"))
+
+
+@query(
+    "approvals_by_day",
+    f"{_reviewed_sql} SELECT CAST(CAST(submitted_at AS DATE) AS VARCHAR) AS day, count(DISTINCT encounter_id) AS n_encounters, count(reviewed_at) AS n_reviewed, round(avg(epoch(reviewed_at) - epoch(submitted_at)), 3) AS avg_seconds FROM reviewed GROUP BY 1",
+)
+def approvals_by_day(spark, d):
+    out = A.approvals_by_day(_reviewed(spark, d))
+    return out.withColumns({"day": F.col("day").cast("string"), "avg_seconds": F.round("avg_seconds", 3)})
+
+
 _CUT = "2024-01-20"
 
 

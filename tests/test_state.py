@@ -140,3 +140,12 @@ def test_cost_alert_and_rate_limit(spark):
     logs = spark.sql("select timestamp_seconds(id) as ts, 'c' as client from range(61)")
     got = L.rate_limit_breaches(logs, 59, 60, 60).collect()
     assert [(r["start"], r["requests"], r["banned_until"]) for r in got] == [(0, 60, 120)]
+
+
+def test_stores_that_disagree(spark):
+    schema = "k string, t string, v int"
+    a = spark.createDataFrame([("x", "2026-01-01", 1), ("x", "2026-01-01", 1), ("y", "2026-01-01", 2), ("z", "2026-01-02", None), (None, "2026-01-01", 1)], schema)
+    b = spark.createDataFrame([("x", "2026-01-01", 1), ("y", "2026-01-01", 3), ("z", "2026-01-02", None)], schema)
+    c = spark.createDataFrame([("x", "2026-01-01", 1), ("z", "2026-01-03", None)], schema)
+    got = {(r["k"], str(r["day"])): (r["missing_in"], r["differs"]) for r in K.reconcile_stores({"a": a, "b": b, "c": c}, "k", "t", ["v"]).collect()}
+    assert got == {("y", "2026-01-01"): ("c", True), ("z", "2026-01-02"): ("c", False), ("z", "2026-01-03"): ("a,b", False)}
