@@ -32,7 +32,7 @@ BITS_EACH, LEAST_BITS, MOST_BITS = 16, 20, 29
 #: Bits set for a proposal.
 PROBES = 3
 #: Bytes of text counted at a time; a task holds about sixty times that in arrays.
-CHUNK = 2 << 20
+CHUNK = 3 << 18
 #: Filter bits gathered in one row.
 SLAB = 1 << 20
 
