@@ -136,18 +136,18 @@ def slo_latency(spark, d):
     return L.slo_latency(_requests(spark, d)).withColumn("sli", F.round("sli", 9))
 
 
-def _burn_sql(good: str, goal: float) -> str:
+def burn_sql(good: str, goal: float) -> str:
     fast, slow = (f"(1 - {_ratio(m * 60, 60)}) / CAST({1 - goal!r} AS DOUBLE)" for m in (60, 360))
     return f"{_rolled(good, 60)}, b AS (SELECT service, start, {fast} AS f, {slow} AS s FROM g) SELECT service, start, round(f, 6) AS fast_burn, round(s, 6) AS slow_burn, f > 14.4 AND s > 6 AS firing FROM b"
 
 
-@query("burn_rate", _burn_sql("response_class = '2xx'", S.SLO_AVAILABILITY))
+@query("burn_rate", burn_sql("response_class = '2xx'", S.SLO_AVAILABILITY))
 def burn_rate(spark, d):
     out = L.burn_rate(_requests(spark, d), screening.is_2xx(F.col("response_class")), S.SLO_AVAILABILITY)
     return out.withColumns({c: F.round(c, 6) for c in ("fast_burn", "slow_burn")})
 
 
-@query("burn_rate_latency", _burn_sql("latency_ms < 3000", S.SLO_LATENCY))
+@query("burn_rate_latency", burn_sql("latency_ms < 3000", S.SLO_LATENCY))
 def burn_rate_latency(spark, d):
     out = L.burn_rate(_requests(spark, d), F.col("latency_ms") < S.SLO_LATENCY_MS, S.SLO_LATENCY)
     return out.withColumns({c: F.round(c, 6) for c in ("fast_burn", "slow_burn")})

@@ -4,14 +4,15 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, functions as F
 
-from caretide.operators import service_levels as L
+from caretide import settings as S
+from caretide.operators import screening, service_levels as L
 from caretide.plans.inputs import ctes, load, load_stream
 from caretide.plans.message_queries import _data_spark, _decoded, _deliveries, _deliveries_sql, _is_audit, _repeated
-from caretide.plans.service_queries import alert_sql, metric_points
+from caretide.plans.service_queries import alert_sql, burn_sql, metric_points
 from caretide.plans.registry import epoch, query, sql_period
 from caretide.plans.state_queries import FULL_ENTRY, _machine_sql, _verdicts, full_events
 from caretide.sources.tables import scratch, table_stream, write_partitioned
-from caretide.streaming import alerts as AL, approval_table as T, approvals as SA, ingest as I
+from caretide.streaming import alerts as AL, approval_table as T, approvals as SA, budgets as BU, ingest as I
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str, keys: list[str] | None = None) -> DataFrame:
@@ -123,6 +124,19 @@ def alert_stream(spark, d):
         return run_to_table(AL.alert_stream(stream, F.col("subscription"), F.col("value") > 10, L.HOUR, 3 * L.HOUR, "2 hours"), "alerts", "append").drop("batch")
 
 
+@query("burn_rate_stream", burn_sql("response_class = '2xx'", S.SLO_AVAILABILITY))
+def burn_rate_stream(spark, d):
+    """The burn of every service in four micro-batches; every seventh request arrives three hours after its time."""
+    folder = scratch(spark, "budgets")
+    requests = load(spark, d, "requests").select("service", "response_class", F.col("ts").cast("timestamp").alias("ts"), "log_id")
+    arrived = F.when(F.col("log_id") % 7 == 0, F.expr("ts + INTERVAL 3 HOURS")).otherwise(F.col("ts"))
+    stream = in_files(requests.withColumn("arrived", arrived), f"{folder}/in", "arrived", 4)
+    with rocksdb(spark):
+        burned = BU.burn_rate_stream(stream, screening.is_2xx(F.col("response_class")), S.SLO_AVAILABILITY, "6 hours")
+        out = run_to_table(burned, "budgets", "update", ["service", "start"])
+    return out.withColumns({c: F.round(c, 6) for c in ("fast_burn", "slow_burn")})
+
+
 @query(
     "dead_letter_stream",
     f"WITH {_deliveries_sql} SELECT message_id, CAST(count(*) FILTER (NOT ok) AS BIGINT) AS failures, count(*) FILTER (NOT ok) >= 5 OR bool_or(permanent AND NOT ok) AS dead FROM deliveries GROUP BY 1 HAVING NOT bool_or(ok)",
