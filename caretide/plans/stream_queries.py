@@ -12,7 +12,7 @@ from caretide.plans.service_queries import alert_sql, burn_sql, metric_points
 from caretide.plans.registry import epoch, query, sql_period
 from caretide.plans.state_queries import FULL_ENTRY, _machine_sql, _verdicts, full_events
 from caretide.sources.tables import scratch, table_stream, write_partitioned
-from caretide.streaming import alerts as AL, approval_table as T, approvals as SA, budgets as BU, ingest as I
+from caretide.streaming import alerts as AL, approval_table as T, approvals as SA, budgets as BU, feed as E, ingest as I
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str, keys: list[str] | None = None) -> DataFrame:
@@ -112,6 +112,15 @@ def approval_table_stream(spark, d):
     return T.current(spark, folder, events, 5, every=2).withColumns({c: epoch(c) for c in ("created_at", "updated_at", "reviewed_at")})
 
 
+def in_periods(df: DataFrame, folder: str, ts: str, cuts: list[str]) -> DataFrame:
+    """The rows as a stream of one file up to each of these times, and one of what comes after the last."""
+    at = F.col(ts).cast("timestamp")
+    bounds = [F.lit(True), *[at >= F.lit(c).cast("timestamp") for c in cuts]]
+    for low, high in zip(bounds, [*bounds[1:], F.lit(False)], strict=True):
+        df.filter(low & ~high).coalesce(1).write.mode("append").parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 @query("alert_stream", alert_sql("subscription, ").replace("SELECT subscription, 'opened'", "SELECT subscription AS series, 'opened'"))
 def alert_stream(spark, d):
     """The hourly alerts of each subscription in four micro-batches; a tick of the clock at the end lets the last runs end."""
@@ -178,3 +187,38 @@ def change_feed_stream(spark, d):
     log = load_stream(spark, d, "session_log")
     I.change_feed_stream(log, f"{folder}/state", f"{folder}/out", f"{folder}/checkpoint", once=True).awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("event", "encounter_id", "seq")
+
+
+_FEED_CUTS = ["2024-01-10", "2024-01-20", "2024-01-29"]
+_snapshots = ",\n".join(
+    f"""s{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY encounter_id ORDER BY updated_at DESC) AS rn FROM session_log{f" WHERE updated_at < TIMESTAMP '{cut}'" if cut else ""}) WHERE rn = 1 ORDER BY updated_at DESC, encounter_id LIMIT 50)"""
+    for i, cut in enumerate([*_FEED_CUTS, None])
+)
+_feed_changes = " UNION ALL ".join(
+    f"""SELECT {i} AS batch, CASE WHEN p.encounter_id IS NULL THEN 'new_triage' ELSE 'updated' END AS event, c.encounter_id, c.status, c.seq FROM s{i} c LEFT JOIN {f"s{i - 1}" if i else "(SELECT * FROM s0 WHERE false)"} p USING (encounter_id) WHERE p.encounter_id IS NULL OR p.seq <> c.seq"""
+    for i in range(len(_FEED_CUTS) + 1)
+)
+
+
+@query("change_feed_batches", f"{ctes('session_log')}, {_snapshots} {_feed_changes}")
+def change_feed_batches(spark, d):
+    """The feed of four micro-batches: sessions that are new, updated, pushed out and back."""
+    folder = scratch(spark, "feed-batches")
+    log = in_periods(load(spark, d, "session_log"), f"{folder}/in", "updated_at", _FEED_CUTS)
+    I.change_feed_stream(log, f"{folder}/state", f"{folder}/out", f"{folder}/checkpoint", once=True).awaitTermination()
+    return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out").select("batch", "event", "encounter_id", "status", "seq")
+
+
+@query(
+    "resume_from",
+    f"""{ctes('session_log')}, numbered AS (SELECT row_number() OVER (ORDER BY updated_at, seq) AS event_id, encounter_id, status, seq FROM session_log)
+SELECT * FROM numbered WHERE event_id > (SELECT count(*) * 2 // 3 FROM session_log)""",
+)
+def resume_from(spark, d):
+    """All session events as a log of five micro-batches, read on behind the event at two thirds of it."""
+    folder = scratch(spark, "event-log")
+    log = load(spark, d, "session_log").select("encounter_id", "status", "seq", "updated_at")
+    stream = in_files(log, f"{folder}/in", "updated_at", 5)
+    E.event_log_stream(stream, f"{folder}/log", f"{folder}/checkpoint", ["updated_at", "seq"], once=True).awaitTermination()
+    last = E.newest_id(spark, f"{folder}/log", 5) * 2 // 3
+    return E.resume_from(spark, f"{folder}/log", last, log.schema).drop("updated_at")

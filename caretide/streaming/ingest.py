@@ -9,7 +9,7 @@ from caretide import settings as S
 from caretide.functions import variants as V
 from caretide.operators import keyed, records
 from caretide.sources import messages
-from caretide.sources.tables import AUDIT_CLUSTER, FEEDBACK_CLUSTER, write_partitioned
+from caretide.sources.tables import AUDIT_CLUSTER, FEEDBACK_CLUSTER, drop_folder, write_partitioned
 
 #: A message is redelivered or first delivered late for as long as it is retained; nothing younger is dropped.
 WATERMARK = f"{S.MESSAGE_RETENTION_SECONDS} seconds"
@@ -122,18 +122,24 @@ def latest_dead(counted: DataFrame) -> DataFrame:
 def change_feed_stream(stream: DataFrame, state: str, out: str, checkpoint: str, once: bool = False, limit: int = S.SESSION_FEED_ROWS):
     """Session changes: each micro-batch is merged into the newest ``limit`` sessions kept under ``state`` and the
     difference to the previous snapshot is appended to ``out``. Snapshots are written per batch id, so a
-    replayed batch starts from the same predecessor."""
+    replayed batch starts from the same predecessor; older ones are dropped. With a full snapshot, only rows at least as new
+    as its last session are shuffled: no other can enter it, and a session's own rows only get newer."""
     spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        previous = spark.createDataFrame([], batch.schema)
+        previous, rows = spark.createDataFrame([], batch.schema), batch
         if batch_id > 0:
             previous = spark.read.schema(batch.schema).parquet(f"{state}/{batch_id - 1}")
-        merged = keyed.upsert_replace(previous.unionByName(batch), ["encounter_id"], ["updated_at"])
+            n, floor = previous.agg(F.count("*"), F.min("updated_at")).first()
+            if n == limit:
+                rows = batch.filter(F.col("updated_at") >= F.lit(floor).cast(batch.schema["updated_at"].dataType))
+        merged = keyed.upsert_replace(previous.unionByName(rows), ["encounter_id"], ["updated_at"])
         keyed.latest_first(merged, "updated_at", "encounter_id", limit).write.mode("overwrite").parquet(f"{state}/{batch_id}")
         current = spark.read.schema(batch.schema).parquet(f"{state}/{batch_id}")
         changes = keyed.change_feed(previous, current, "encounter_id")
         changes.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if batch_id > 1:
+            drop_folder(spark, f"{state}/{batch_id - 2}")
 
     return start(stream.writeStream.foreachBatch(write), checkpoint, once, S.FLUSH_SECONDS).start()
 
