@@ -30,8 +30,10 @@ from caretide.llm.textbytes import flat, mixed, slices
 
 #: Bytes of a string that counts, and of the anchor inside it.
 WIDTH, GRAM = 100, 32
-#: Batches that a whole table is added in.
-BATCHES = 2
+#: Batches that a whole table is added in, whatever its size: the first two levels merge into one, and the last batch is
+#: scanned against a level of two batches and one of a single batch. Every batch is scanned against all that came before, so
+#: n batches cost about (n + 1) / 2 passes over all entries.
+BATCHES = 4
 #: Parts, by anchor, that the windows of edges are shuffled in, one after the other, so that only a part of the shuffle is
 #: on disk at once. Equal windows have equal anchors, so no match crosses parts.
 PARTS = 6
