@@ -146,6 +146,10 @@ def test_main_text():
         ("<p>a<p>b</p></div></p>c", "a\n\nb\n\nc"),
         ("<![if IE]><p>x<![endif]><!-- no --><!foo><?pi?>y", "xy"),
         ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
+        ("<div>" * 300 + "<p>s<script>var a;</script><nav>Home<div>x</div></nav><p>t</p>" + "</div>" * 300 + "<footer>f</footer><p>u</p>", "s\n\nt\n\nu"),
+        ("<p>out</p>" + "<div>" * 300 + "<article><p>one</p><div class='ad'>Buy</div>two</article>" + "</div>" * 300, "one\n\ntwo"),
+        ("<ul><li>" * 200 + "deep<li>er" + "</ul>" * 200, "deep\n\ner"),
+        ("<article><table class='notice-period'><tr><td>a</table><p>b</p><div class='notice'>n</div></article>", "a\n\nb"),
         ("<main><p>m</p></main><p>out</p>", "m"),
         ("<table><tr><td>a<td>b<tr><td>c</table>", "a\n\nb\n\nc"),
         ("<p>a <b>b</p><p>c</b> d", "a b\n\nc d"),
