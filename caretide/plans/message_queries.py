@@ -400,3 +400,34 @@ def prompts(spark, d):
     cases = F.when(F.col("event_id") % 2 == 0, F.array(F.struct(F.lit("t").alias("title"))))
     text = R.reasoner_prompt(F.struct("model", "tokens_in"), cases)
     return df.select("encounter_id", F.split_part(text, F.lit("\n"), F.lit(1)).alias("first_line"), text.contains("Similar cases for reference:").alias("has_cases"))
+
+
+@query(
+    "sentinel_prompts",
+    f"""{ctes('calls')} SELECT event_id, model AS context_model, CAST(tokens_in AS VARCHAR) AS context_tokens, node AS decision_node, CAST(tokens_out AS VARCHAR) AS decision_tokens, 'Original clinical data:' AS first_line FROM calls""",
+)
+def sentinel_prompts(spark, d):
+    """Sentinel prompts, taken apart again: both parts must parse and hold every field."""
+    calls = load(spark, d, "calls")
+    text = R.sentinel_prompt(F.struct("model", "tokens_in"), F.struct("node", "tokens_out"))
+    parts = calls.select("event_id", text.alias("prompt")).select(
+        "event_id",
+        F.substring_index("prompt", "\n", 1).alias("first_line"),
+        F.substring_index(F.split_part("prompt", F.lit("\n\nTriage decision:\n"), F.lit(1)), "clinical data:\n", -1).alias("context"),
+        F.split_part("prompt", F.lit("\n\nTriage decision:\n"), F.lit(2)).alias("decision"),
+    )
+    return parts.select(
+        "event_id",
+        F.get_json_object("context", "$.model").alias("context_model"),
+        F.get_json_object("context", "$.tokens_in").alias("context_tokens"),
+        F.get_json_object("decision", "$.node").alias("decision_node"),
+        F.get_json_object("decision", "$.tokens_out").alias("decision_tokens"),
+        "first_line",
+    )
+
+
+@query("classifier_prompts", f"{ctes('encounters')} SELECT encounter_id, '{', '.join(S.CATEGORY_ROUTING)}' AS listed, encounter_text AS user_message FROM encounters")
+def classifier_prompts(spark, d):
+    """What the classifier is asked about every encounter: the categories that its instruction lists, and the message."""
+    listed = F.regexp_extract(F.lit(R.classifier_prompt(list(S.CATEGORY_ROUTING))), r"Categories: ([^\n]*)", 1)
+    return load(spark, d, "encounters").select("encounter_id", listed.alias("listed"), F.col("encounter_text").alias("user_message"))
