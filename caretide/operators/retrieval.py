@@ -1,5 +1,7 @@
 """Exact layered top-k protocol retrieval by cosine distance."""
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -37,32 +39,35 @@ def _first(keys: np.ndarray, k: int) -> np.ndarray:
     return best
 
 
-def block_top_k(k: int, step: int = 256):
-    """Top ``k`` of one block of protocols for one chunk of queries, ordered by layer, kind, distance, id."""
+class Block:
+    """Protocols of one block in the order of ids, and the top ``k`` of them for batches of queries."""
+
+    def __init__(self, protocols: pd.DataFrame):
+        self.layer, self.ids = protocols["layer"].to_numpy(dtype=np.int64), protocols["id"].to_numpy()
+        self.embedding, self.missing = protocols["embedding"], protocols["embedding"].isna().to_numpy()
+        self.dim = 0
 
-    def run(queries: pd.DataFrame, protocols: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or protocols.empty:
-            return pd.DataFrame(columns=["query_id", "layer", "id", "kind", "distance"])
-        protocols = protocols.sort_values("id", kind="stable")
-        layer, ids = protocols["layer"].to_numpy(), protocols["id"].to_numpy()
-        dim = _dim(protocols["embedding"], queries["embedding"])
-        p, p_zero = _unit(protocols["embedding"], dim)
+    def top(self, queries: pd.DataFrame, k: int, step: int = 256) -> pd.DataFrame:
+        """By layer, kind, distance, id."""
+        dim = _dim(self.embedding, queries["embedding"])
+        if dim != self.dim:
+            self.dim, (self.unit, self.zero) = dim, _unit(self.embedding, dim)
         q, q_zero = _unit(queries["embedding"], dim)
-        p_missing, q_missing = protocols["embedding"].isna().to_numpy(), queries["embedding"].isna().to_numpy()
+        q_missing = queries["embedding"].isna().to_numpy()
         out = []
         for at in range(0, len(q), step):
             rows = slice(at, at + step)
-            distance = np.round(1.0 - q[rows] @ p.T, DISTANCE_DIGITS)
-            kind = np.where(q_zero[rows, None] | p_zero, _NAN, _NUMBER)
-            kind = np.where(q_missing[rows, None] | p_missing, _NULL, kind)
+            distance = np.round(1.0 - q[rows] @ self.unit.T, DISTANCE_DIGITS)
+            kind = np.where(q_zero[rows, None] | self.zero, _NAN, _NUMBER)
+            kind = np.where(q_missing[rows, None] | self.missing, _NULL, kind)
             distance = np.where(kind == _NUMBER, distance, 0.0)
-            best = _first(layer * 100.0 + kind * 10.0 + distance, min(k, len(ids)))
+            best = _first(self.layer * 100.0 + kind * 10.0 + distance, min(k, len(self.ids)))
             out.append(
                 pd.DataFrame(
                     {
                         "query_id": np.repeat(queries["query_id"].to_numpy()[rows], best.shape[1]),
-                        "layer": layer[best].ravel(),
-                        "id": ids[best].ravel(),
+                        "layer": self.layer[best].ravel(),
+                        "id": self.ids[best].ravel(),
                         "kind": np.take_along_axis(kind, best, axis=1).ravel(),
                         "distance": np.take_along_axis(distance, best, axis=1).ravel(),
                     }
@@ -70,10 +75,39 @@ def block_top_k(k: int, step: int = 256):
             )
         return pd.concat(out, ignore_index=True)
 
-    return run
 
+def visit(routed: DataFrame, protocols: DataFrame, k: int, chunks: int | None = None) -> DataFrame:
+    """Top ``k`` of each block for the queries routed to it (query_id, embedding, block); protocols have id, layer,
+    embedding, block.
 
-def _rank(found: DataFrame, k: int) -> DataFrame:
+    Both sides meet in one sorted stream, the protocols of a block first: a task holds one block and an Arrow batch of
+    queries, however many queries there are. ``chunks`` spreads the queries of a block over tasks, each with a copy of
+    the block; it defaults to the number of shuffle partitions.
+    """
+    tasks = int(routed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = chunks or tasks
+    q = routed.select("block", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("chunk"), F.lit(1).alias("side"), F.col("query_id").alias("id"), F.lit(0).alias("layer"), "embedding")
+    p = protocols.select("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("chunk"), F.lit(0).alias("side"), "id", F.col("layer").cast("int").alias("layer"), "embedding")
+    task = F.pmod(F.col("block").cast("long") * n + F.col("chunk"), F.lit(tasks)).cast("int")
+    met = p.unionByName(q).repartitionById(tasks, task).sortWithinPartitions("block", "chunk", "side", "id")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, parts, block = None, [], None
+        for frame in frames:
+            for (at, chunk, side), rows in frame.groupby(["block", "chunk", "side"], sort=True):
+                if (at, chunk) != place:
+                    place, parts, block = (at, chunk), [], None
+                if side == 0:
+                    parts.append(rows)
+                elif parts or block is not None:
+                    if block is None:
+                        block, parts = Block(pd.concat(parts, ignore_index=True)), []
+                    yield block.top(rows.rename(columns={"id": "query_id"}), k)
+
+    return met.mapInPandas(run, _FOUND)
+
+
+def rank_found(found: DataFrame, k: int) -> DataFrame:
     order = [F.asc("layer"), F.asc("kind"), F.asc("distance"), F.asc("id")]
     return top_per_group(found, ["query_id"], order, k)
 
@@ -87,28 +121,14 @@ def nearest(
 ) -> DataFrame:
     """Top ``k`` of ``protocols`` (id, layer, embedding) for every row of ``queries`` (query_id, embedding).
 
-    Queries are hashed into ``chunks`` and protocols into ``blocks``, and every (chunk, block) meets in one task that
-    multiplies two matrices and keeps ``k`` candidates per query. Top-k merges, so the last step only ranks ``k`` rows
-    per query and block. Nothing runs before the caller's action.
-
-    ``chunks`` defaults to the number of shuffle partitions, so the protocols are copied as often as there are tasks
-    and no oftener. A task holds one chunk and one block: choose ``chunks`` for at most about 10^5 queries each, and
-    ``blocks`` for at most about 10^5 protocols.
+    Queries are hashed into ``chunks`` and protocols into ``blocks``; every (chunk, block) multiplies matrices in one task
+    and keeps ``k`` candidates per query. Top-k merges, so the last step only ranks ``k`` rows per query and block.
+    Nothing runs before the caller's action. A task holds one block: choose ``blocks`` for at most about 10^5 protocols
+    each. See ``metric_index.search`` for a way that skips blocks.
     """
-    n_blocks = blocks
-    n_chunks = chunks or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q = queries.select(
-        "query_id", "embedding",
-        F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)).cast("int").alias("chunk"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"),
-    )
-    p = protocols.select(
-        "id", "layer", "embedding",
-        F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"),
-    )
-    found = q.groupBy("chunk", "block").cogroup(p.groupBy("chunk", "block")).applyInPandas(block_top_k(k), _FOUND)
-    return _rank(found, k)
+    q = queries.select("query_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    p = protocols.select("id", "layer", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    return rank_found(visit(q, p, k, chunks), k)
 
 
 def retrieve(
@@ -117,7 +137,10 @@ def retrieve(
     """Curated protocols first, then public ones, nearest first: title, content, source_type, specialty,
     similarity. A missing vector ranks after every number and after zero vectors; ties go by id."""
     live = filter_not_expired(protocols, as_of).withColumn("layer", layer_of(F.col("source_type")))
-    top = nearest(queries, live.select("id", "layer", "embedding"), k, **sizes)
+    return with_details(nearest(queries, live.select("id", "layer", "embedding"), k, **sizes), live)
+
+
+def with_details(top: DataFrame, live: DataFrame) -> DataFrame:
     similarity = (
         F.when(F.col("kind") == _NUMBER, 1 - F.col("distance")).when(F.col("kind") == _NAN, F.lit(float("nan")))
     )

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from caretide.functions import vectors as X
-from caretide.operators import retrieval as R, screening
+from caretide.operators import metric_index as M, retrieval as R, screening
 from caretide.plans.inputs import ctes, load
 from caretide.plans.registry import at, query
 from caretide.sources import protocols as P
@@ -19,19 +19,27 @@ def _query_vectors(spark, d):
     return table(spark, d, "embeddings").selectExpr("concat('q-', CAST(vec_id AS STRING)) AS query_id", "embedding")
 
 
-@query(
-    "retrieve",
-    f"""{ctes('protocols')}, {_live}, {_queries},
+_retrieved = f"""{ctes('protocols')}, {_live}, {_queries},
 r AS (SELECT query_id, id, title, content, source_type, specialty, {_similarity} AS s,
   row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN source_type = 'hospital_curated' THEN 0 ELSE 1 END, {_similarity} DESC, id) AS rank FROM queries, live)
-SELECT query_id, CAST(rank AS INT) AS rank, id, title, content, source_type, specialty, round(s, 6) AS similarity FROM r WHERE rank <= 5""",
-)
+SELECT query_id, CAST(rank AS INT) AS rank, id, title, content, source_type, specialty, round(s, 6) AS similarity FROM r WHERE rank <= 5"""
+
+
+@query("retrieve", _retrieved)
 def retrieve(spark, d):
     """Every vector queries the whole live corpus."""
     out = R.retrieve(_query_vectors(spark, d), load(spark, d, "protocols"), at(_AS_OF))
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
+@query("retrieve_pruned", _retrieved)
+def retrieve_pruned(spark, d):
+    """The same by pivots and the triangle inequality, leaving out what cannot be among the first."""
+    live = screening.filter_not_expired(load(spark, d, "protocols"), at(_AS_OF)).withColumn("layer", R.layer_of(F.col("source_type")))
+    top, _ = M.search(_query_vectors(spark, d), M.build(live), 5)
+    return R.with_details(top, live).withColumn("similarity", F.round("similarity", 6))
+
+
 @query(
     "expand_layered",
     f"""{ctes('protocols')}, {_live}, {_queries},
@@ -46,11 +54,8 @@ def expand_layered(spark, d):
     specialty, queries = F.lit("emergency_medicine"), _query_vectors(spark, d)
     curated = screening.protocol_scope(live.filter("source_type = 'hospital_curated'"), F.lit("h-3"), specialty)
     public = live.filter("source_type = 'fhir_public'").filter(F.col("specialty") == specialty)
-    hits = [
-        R.nearest(queries, p.select("id", F.lit(0).alias("layer"), "embedding"), 5).select("query_id", "id", (1 - F.col("distance")).alias("similarity"))
-        for p in (curated, public)
-    ]
-    return R.expand_layered(*hits).select("query_id", "rank", "id", "layer", F.round("similarity", 6).alias("similarity"))
+    top = R.nearest(queries, R.layered_union(*(p.select("id", "embedding") for p in (curated, public))), 5)
+    return top.select("query_id", "rank", "id", "layer", F.round(1 - F.col("distance"), 6).alias("similarity"))
 
 
 @query("layered_union", f"{ctes('protocols')} SELECT CASE WHEN source_type = 'hospital_curated' THEN 0 ELSE 1 END AS layer, id FROM protocols")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caretide.operators import retrieval as R
+from caretide.operators import metric_index as M, retrieval as R
 from caretide.sources import protocols as P
 from caretide.functions import vectors as X
 
@@ -41,6 +41,39 @@ def test_nearest_equals_brute_force(spark, blocks, chunks):
         assert got == brute_force(queries, protocols, k)
 
 
+@pytest.mark.parametrize("pivots,block", [(1, 100), (6, 3), (64, 2)])
+def test_pruned_search_equals_brute_force(spark, pivots, block):
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(5, 8))
+    near = lambda i: (centers[i % 5] + rng.normal(size=8) * 0.05).round(2).tolist()
+    protocols = [(f"p{i:02d}", i % 3 // 2, near(i)) for i in range(40)] + [(f"r{i:02d}", 0, near(i)) for i in range(5)]
+    protocols += [("copy1", 1, protocols[0][2]), ("copy2", 0, protocols[0][2]), ("zero", 0, [0.0] * 8), ("none", 0, None), ("azero", 1, [0.0] * 8)]
+    queries = [(f"q{i}", near(i)) for i in range(15)] + [("qz", [0.0] * 8), ("qn", None)]
+    q = spark.createDataFrame(queries, "query_id string, embedding array<float>")
+    p = spark.createDataFrame(protocols, "id string, layer int, embedding array<float>")
+    index = M.build(p, pivots, block)
+    for k in (1, 4, 25, 60):
+        top, pairs = M.search(q, index, k)
+        got = {}
+        for r in top.orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["id"], r["layer"], r["kind"]))
+        assert got == brute_force(queries, protocols, k)
+        compared = {r["query_id"]: r["s"] for r in pairs.groupBy("query_id").agg(F.sum("pairs").alias("s")).collect()}
+        assert max(compared.values()) <= len(protocols)
+        if pivots == 64 and k <= 4:  # what the bounds leave out
+            assert sum(compared[f"q{i}"] for i in range(15)) < 0.5 * 15 * len(protocols)
+    index[0].unpersist()
+
+
+def test_pruned_search_without_vectors(spark):
+    q = spark.createDataFrame([("q", [1.0, 0.0]), (None, None)], "query_id string, embedding array<float>")
+    p = spark.createDataFrame([("a", 0, None), ("b", 1, None), ("c", 0, None)], "id string, layer int, embedding array<float>")
+    got = M.search(q, M.build(p), 2)[0].orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["id"], r["kind"]) for r in got] == [(None, "a", 2), (None, "c", 2), ("q", "a", 2), ("q", "c", 2)]
+    assert M.search(q, M.build(p.limit(0)), 2)[0].count() == 0
+    assert M.search(q.limit(0), M.build(p), 2)[0].count() == 0
+
+
 def test_retrieve_layers_expiry_and_order(spark):
     rows = [
         ("a", "t", "c", "fhir_public", "s", None, [1.0, 0.0]),
