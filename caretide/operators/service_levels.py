@@ -28,48 +28,71 @@ def align(df: DataFrame, series: list[str], ts: str, value: str, seconds: int, h
 
 
 def sustained(points: DataFrame, series: list[str], breach: Column, seconds: int, duration: int) -> DataFrame:
-    """Adds ``firing``: the condition held in every aligned period of ``duration``; a gap breaks the run."""
-    w = Window.orderBy("start").rangeBetween(-(duration - seconds), 0)
-    w = w.partitionBy(*series)
-    hit = F.coalesce(breach, F.lit(False))
+    """Adds ``firing``: the condition held in every aligned period of ``duration``; a gap breaks the run.
+
+    A series is cut into spans of time, each preceded by a copy of what its windows look back at, so no task holds a whole
+    history, with or without a series.
+    """
+    back = duration - seconds
+    span = max(DAY, 16 * duration)
+    own = F.floor(F.col("start") / span)
+    reached = F.floor((F.col("start") + back) / span)
+    spans = points.withColumn("__hit", F.coalesce(breach, F.lit(False))).withColumn("__span", F.explode(F.sequence(own, reached)))
+    w = Window.partitionBy(*series, "__span").orderBy("start").rangeBetween(-back, 0)
     full = F.count("*").over(w) == duration // seconds
-    return points.withColumn("firing", full & F.min(hit).over(w))
+    fired = spans.withColumn("firing", full & F.min("__hit").over(w))
+    return fired.filter(own == F.col("__span")).drop("__hit", "__span")
 
 
 # --- percentiles -------------------------------------------------------------
 
 def exact_percentile(df: DataFrame, keys: list[str], value: str, q: float, out: str, width: float) -> DataFrame:
-    """Interpolated percentile per group without gathering a group.
+    """Interpolated percentile per group without gathering a group; null keys are a group.
 
-    A histogram of ``width``-wide buckets locates the one or two buckets that hold the wanted ranks; only
-    distinct values inside those are ranked. Any width is exact, it only moves the work.
+    The rows are read once and counted per distinct value, map-side first. A histogram of these counts in buckets
+    ``width`` wide says where the wanted ranks lie; its entries join the values as rows of their own, so the values of a
+    bucket are counted up beside what comes before it. Any width is exact, it only moves the work.
     """
+    bucket = F.floor(F.col("__v") / F.lit(width))
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
-    rows = rows.withColumn("__b", F.floor(F.col("__v") / F.lit(width)))
+    counts = rows.groupBy(*keys, "__v").agg(F.count("*").alias("__c")).withColumn("__b", bucket)
     groups = Window.partitionBy(*keys)
-    histogram = rows.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
-    histogram = histogram.withColumns(
-        {"__upto": F.sum("__n").over(groups.orderBy("__b")), "__total": F.sum("__n").over(groups)}
-    )
+    histogram = counts.groupBy(*keys, "__b").agg(F.sum("__c").alias("__n"))
+    histogram = histogram.withColumns({"__upto": F.sum("__n").over(groups.orderBy("__b")), "__total": F.sum("__n").over(groups)})
     position = F.lit(q) * (F.col("__total") - 1)
-    histogram = histogram.withColumns({"__lo": F.floor(position), "__hi": F.ceil(position), "__frac": position - F.floor(position)})
     base = F.col("__upto") - F.col("__n")
-    wanted = histogram.filter((base <= F.col("__hi")) & (F.col("__upto") > F.col("__lo"))).select(
-        *keys, "__b", base.alias("__base"), "__lo", "__hi", "__frac"
-    )
-    values = rows.join(wanted, [*keys, "__b"], "left_semi").groupBy(*keys, "__b", "__v").agg(F.count("*").alias("__c"))
-    inside = Window.partitionBy(*keys, "__b").orderBy("__v")
-    ranked = values.withColumn("__end", F.sum("__c").over(inside)).join(wanted, [*keys, "__b"])
-    end = F.col("__base") + F.col("__end")
+    wanted = histogram.filter((base <= F.ceil(position)) & (F.col("__upto") > F.floor(position)))
+    known = F.struct(base.alias("base"), F.floor(position).alias("lo"), F.ceil(position).alias("hi"), (position - F.floor(position)).alias("frac"))
+    heads = wanted.select(*keys, "__b", F.lit(None).cast(counts.schema["__v"].dataType).alias("__v"), F.lit(0).cast("long").alias("__c"), known.alias("__known"))
+    both = heads.unionByName(counts.withColumn("__known", F.lit(None).cast(heads.schema["__known"].dataType)))
+    inside = Window.partitionBy(*keys, "__b").orderBy(F.asc_nulls_first("__v"))  # the head of a bucket comes first
+    ranked = both.withColumns({"__end": F.sum("__c").over(inside), "__known": F.first("__known").over(inside)})
+    ranked = ranked.filter(F.col("__known").isNotNull() & F.col("__v").isNotNull())
+    end = F.col("__known.base") + F.col("__end")
     start = end - F.col("__c")
 
     def at(rank: str) -> Column:
-        return F.max(F.when((start <= F.col(rank)) & (F.col(rank) < end), F.col("__v")))
+        return F.max(F.when((start <= F.col(f"__known.{rank}")) & (F.col(f"__known.{rank}") < end), F.col("__v")))
 
-    picked = ranked.groupBy(*keys).agg(at("__lo").alias("__vlo"), at("__hi").alias("__vhi"), F.max("__frac").alias("__frac"))
+    picked = ranked.groupBy(*keys).agg(at("lo").alias("__vlo"), at("hi").alias("__vhi"), F.max("__known.frac").alias("__frac"))
     return picked.select(*keys, (F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * F.col("__frac")).alias(out))
 
 
+def percentile_sketches(logs: DataFrame, series: list[str], value: str, seconds: int, k: int = 800) -> DataFrame:
+    """A mergeable sketch of ``value`` per series and aligned period: ``start``, ``n``, ``sketch``. Works on a stream too,
+    whose state is one sketch per open group; periods are joined later by ``merged_percentile``."""
+    grouped = logs.filter(F.col(value).isNotNull()).groupBy(*series, F.window("ts", f"{seconds} seconds").alias("w"))
+    sketch = F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch")
+    return grouped.agg(F.count("*").alias("n"), sketch).select(*series, F.unix_seconds("w.start").alias("start"), "n", "sketch")
+
+
+def merged_percentile(sketches: DataFrame, keys: list[str], q: float, out: str, k: int = 800) -> DataFrame:
+    """Percentile per ``keys`` over several periods, from their sketches alone: one of the values, whose rank is off by
+    about half a percent of ``n`` with the default ``k``."""
+    merged = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+    return merged.select(*keys, "n", F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(out))
+
+
 def p99_latency(
     logs: DataFrame, series: list[str], seconds: int = MINUTE, exact: bool = True, bucket_ms: float = 100.0
 ) -> DataFrame:

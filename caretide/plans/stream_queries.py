@@ -170,6 +170,17 @@ def usage_stream(spark, d):
     return out.select("model", epoch(F.col("window.start")).alias("start"), "value")
 
 
+@query("percentile_stream", f"{ctes('requests')} SELECT service, count(latency_ms) AS n, true AS close FROM requests WHERE latency_ms IS NOT NULL GROUP BY 1")
+def percentile_stream(spark, d):
+    """p99 of each service over all hours, from hourly sketches that a stream keeps: within the exact 98th and 100th."""
+    logs = load_stream(spark, d, "requests").withColumn("ts", F.col("ts").cast("timestamp"))
+    hourly = run_to_table(L.percentile_sketches(logs, ["service"], "latency_ms", 3600), "sketches", "update", ["service", "start"])
+    p99 = L.merged_percentile(hourly, ["service"], 0.99, "p99")
+    whole = load(spark, d, "requests").select("service", "latency_ms")
+    low, high = (L.exact_percentile(whole, ["service"], "latency_ms", q, name, 100.0) for q, name in ((0.98, "low"), (1.0, "high")))
+    return p99.join(low, "service").join(high, "service").select("service", "n", F.col("p99").between(F.col("low"), F.col("high")).alias("close"))
+
+
 @query("rate_limit_stream", f"{ctes('requests')} SELECT client, {sql_period('ts', 3600)} AS start, count(*) AS requests FROM requests GROUP BY 1, 2 HAVING count(*) > 2")
 def rate_limit_stream(spark, d):
     logs = load_stream(spark, d, "requests").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -109,6 +109,39 @@ def test_sustained_needs_every_period(spark):
     assert sorted(r["start"] for r in out.filter("firing").collect()) == [120, 480]
 
 
+@pytest.mark.parametrize("series", [["service"], []])
+def test_sustained_over_spans_equals_one_window(spark, series):
+    """Runs across borders of spans and days, gaps, unknown values."""
+    rng, second = random.Random(8), 3600
+    starts = [t * second for t in range(-60, 400) if rng.random() > 0.05]
+    rows = [("s", t, rng.choice([9, 9, 9, 9, 9, 1, None])) for t in starts] + ([(None, t, 9) for t in starts] if series else [])
+    df = spark.createDataFrame(rows, "service string, start bigint, value int")
+    value = {(s, t): v for s, t, v in rows}
+    out = L.sustained(df, series, F.col("value") > 5, second, 5 * second)
+    assert out.columns == ["service", "start", "value", "firing"]
+    got = {(r["service"], r["start"]): r["firing"] for r in out.collect()}
+    assert got == {(s, t): all((value.get((s, t - i * second)) or 0) > 5 for i in range(5)) for s, t in value}
+    assert any(got.values())
+
+
+def test_percentile_reads_rows_once_and_keeps_null_keys(spark, tmp_path):
+    spark.sql("select if(id % 3 = 0, null, 'k') as k, cast(id % 101 as double) as v from range(5000)").write.parquet(str(tmp_path / "v"))
+    df = spark.read.parquet(str(tmp_path / "v"))
+    out = L.exact_percentile(df, ["k"], "v", 0.5, "p", 7.0)
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in df.groupBy("k").agg(F.percentile("v", 0.5)).collect()}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert "Join" not in plan and "ReusedExchange" in final
+
+
+def test_sketches_of_periods_merge(spark):
+    df = spark.sql("select timestamp_seconds(id * 7 % 86400) as ts, if(id % 5 = 0, 'a', 'b') as k, cast(id * 7919 % 20011 as double) as v from range(20011)")
+    hours = L.percentile_sketches(df, ["k"], "v", 3600)
+    got = {r["k"]: (r["n"], r["p"]) for r in L.merged_percentile(hours, ["k"], 0.9, "p").collect()}
+    assert got["a"][0] == 4003 and got["b"][0] == 16008
+    assert all(abs(p / 20011 - 0.9) < 0.01 for _, p in got.values())
+
+
 @pytest.mark.parametrize("width", [0.5, 10.0, 1e6])
 @pytest.mark.parametrize("q", [0.0, 0.5, 0.99, 1.0])
 def test_exact_percentile(spark, width, q):
