@@ -3,9 +3,10 @@
 An item is cut into windows of ten consecutive words (a shorter item is one window), a window into shingles of up to
 five words. Exact containment needs every shingle of a window, so one of them is enough as its prefix: the rarest,
 by its count over all documents. Documents' rolling shingles are joined with these prefixes alone; a hit proposes one
-start, which must leave room for the window (length and position bounds) and is confirmed word by word.
+start, which must leave room for the window (length and position bounds); the words there are then compared.
 
-Two passes over the texts (shingle counts, then candidates); only hits and one row per document are shuffled.
+Two passes over the texts (shingle counts, then candidates) and a third over those with candidates, which compares the
+words. Rows that are joined carry a place and a hash, never the words of a document.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -41,11 +42,12 @@ def _by_length(hashed) -> Column:
     return out
 
 
-def rolling_shingles(docs: DataFrame, lengths: list[int], doc_id: str, text: str, prefixes: bool) -> DataFrame:
-    """One row per document, word and shingle length: doc_id, text_hash, n_words, words, pos, k, hash."""
+def rolling_shingles(docs: DataFrame, lengths: list[int], doc_id: str, text: str, outer: bool) -> DataFrame:
+    """One row per document, word and shingle length: doc_id, text_hash, n_words, pos, k, hash (null where the text ends
+    before). With ``outer`` also one row for a document without words."""
     words = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), alnum_words(F.col(text)).alias("words"))
     own = ["doc_id", "text_hash", F.size("words").alias("n_words"), "words"]
-    each = words.select(*own, (F.posexplode_outer if prefixes else F.posexplode)("words").alias("pos", "word"))
+    each = words.select(*own, (F.posexplode_outer if outer else F.posexplode)("words").alias("pos", "word"))
     if lengths != [SHINGLE]:
         each = each.withColumn("k", F.explode(F.array(*map(F.lit, lengths))))
     else:
@@ -55,7 +57,7 @@ def rolling_shingles(docs: DataFrame, lengths: list[int], doc_id: str, text: str
     for n in some:
         full = F.xxhash64("word", *(at("words", i) for i in range(1, n)))
         hashed = F.when((F.col("k") == n) & (F.col("pos") + n <= F.col("n_words")), full).otherwise(hashed)
-    return each.withColumn("hash", hashed)
+    return each.select("doc_id", "text_hash", "n_words", "pos", "k", hashed.alias("hash"))
 
 
 def contamination(
@@ -75,7 +77,7 @@ def contamination(
     sent = F.broadcast if small else lambda df: df
 
     known = sent(shingles.select(F.col("hash").alias("known"), F.col("k").alias("known_k")).distinct())
-    seen = rolling_shingles(docs, lengths, doc_id, text, prefixes=False)
+    seen = rolling_shingles(docs, lengths, doc_id, text, outer=False)
     counts = (
         seen.join(known, (seen["hash"] == known["known"]) & (seen["k"] == known["known_k"]))
         .groupBy("hash", "k")
@@ -88,20 +90,25 @@ def contamination(
     whole = per_window.filter(F.col("n_known") == F.size("window") - F.col("prefix.k") + 1)
     prefixes = stored(whole.select("window", "prefix.*"), "window-prefixes")
 
-    each = rolling_shingles(docs, lengths, doc_id, text, prefixes=True)
-    p = sent(prefixes.select("window", F.col("hash").alias("p_hash"), F.col("k").alias("p_k"), "offset"))
+    each = rolling_shingles(docs, lengths, doc_id, text, outer=True)
+    p = sent(prefixes.select(F.col("hash").alias("p_hash"), F.col("k").alias("p_k"), "offset", F.size("window").alias("length")).distinct())
     start = F.col("pos") - F.col("offset")
-    bounds = (start >= 0) & (start + F.size("window") <= F.col("n_words"))
-    same = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("window")) == F.col("window")
-    found = each.join(p, (each["hash"] == p["p_hash"]) & (each["k"] == p["p_k"]) & bounds & same, "left")
+    bounds = (start >= 0) & (start + F.col("length") <= F.col("n_words"))
+    proposed = each.join(p, (each["hash"] == p["p_hash"]) & (each["k"] == p["p_k"]) & bounds, "left")
     first = F.col("pos").isNull() | ((F.col("pos") == 0) & (F.col("k") == lengths[0]))
-    found = found.filter(F.col("window").isNotNull() | first).select(
-        "doc_id", "text_hash", "n_words", "window", F.when(F.col("window").isNotNull(), start).alias("start"), F.size("window").alias("length")
-    )
-    found = stored(found, "window-hits")
-
     key = ["doc_id", "text_hash", "n_words"]
-    runs = F.sort_array(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", (F.col("start") + F.col("length")).alias("end")))))
+    place = F.when(F.col("length").isNotNull(), F.struct(start.alias("start"), "length")).alias("place")
+    proposed = stored(proposed.filter(F.col("length").isNotNull() | first).select(*key, place), "window-candidates")
+
+    # the few texts with candidates, each with its places: at most as many as it has words, for each window length
+    places = stored(proposed.filter("place is not null").groupBy(*key).agg(F.collect_set("place").alias("places")), "candidate-places")
+    texts = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
+    back = places.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    each = back.select(*key, "places", alnum_words(F.col("_text")).alias("words")).select(*key, "words", F.explode("places").alias("place"))
+    there = each.select(*key, F.col("place.start").alias("start"), F.slice("words", F.col("place.start") + 1, F.col("place.length")).alias("window"))
+    found = stored(there.join(sent(prefixes.select("window")), "window", "left_semi"), "window-hits")
+
+    runs = F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.size("window")).alias("end"))))
     spans = found.groupBy(*key).agg(runs.alias("runs"))
     covered = F.aggregate(
         "runs",
@@ -111,20 +118,21 @@ def contamination(
         ),
         lambda a: a["n"],
     )
-    spans = spans.select(*key, covered.cast("long").alias("n_hit"))
-    hit_windows = found.filter(F.col("window").isNotNull()).select(*key, "window").distinct()
+    spans = spans.select(F.struct(*key).alias("hit"), covered.cast("long").alias("n_hit"))
+    hit_windows = found.select(*key, "window").distinct()
     per_doc = (
         hit_windows.join(windows, "window")
         .groupBy(*key)
         .agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
         .select(F.struct(*key).alias("own"), F.size("ids").cast("long").alias("n_items"), F.array_join("ids", ",").alias("list"))
     )
-    joined = spans.join(per_doc, F.struct(*key) == F.col("own"), "left")
+    hits = spans.join(per_doc, F.col("hit").eqNullSafe(F.col("own")))
+    joined = proposed.select(*key).distinct().join(hits, F.struct(*key).eqNullSafe(F.col("hit")), "left")
     return joined.select(
         "doc_id",
         F.col("n_words").cast("long").alias("n_words"),
-        "n_hit",
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce("list", F.lit("")), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
     )

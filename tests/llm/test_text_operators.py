@@ -81,7 +81,9 @@ def test_quality_thresholds_follow_the_group(spark):
     assert set(range(80)) <= kept and 300 not in kept and {100, 150, 301} <= kept
 
 
-def test_decontamination(spark, docs):
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_decontamination(spark, docs, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
     base = data.prose(1, 300).split()
     items = [(1, " ".join(base[20:50])), (2, " ".join(base[40:52])), (3, "word"), (4, None), (5, "..."), (10, " ".join(base[20:50])), (11, "x x x")]
     frame = data.clashing(spark.createDataFrame(items, "item_id long, text string"), "words", "window", "doc_id", "k", "hash")
@@ -96,6 +98,11 @@ def test_decontamination(spark, docs):
     assert decontaminate.contamination(docs.union(docs), frame.union(frame)).exceptAll(decontaminate.contamination(docs, frame)).isEmpty()
 
 
+def test_decontamination_joins_carry_no_words(spark, docs):
+    rows = decontaminate.rolling_shingles(docs, [2, 5], "doc_id", "text", outer=True)
+    assert rows.columns == ["doc_id", "text_hash", "n_words", "pos", "k", "hash"]
+
+
 def test_decontamination_of_rows_without_id(spark):
     docs = spark.createDataFrame([(None, "one two three"), (1, "zero one two three four")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "one two three")], "item_id long, text string")
