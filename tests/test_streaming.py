@@ -139,3 +139,29 @@ def test_scratch_uses_the_shared_folder():
     assert scratch(session("/shared", "spark://host"), "x").startswith("/shared/x-")
     with pytest.raises(ValueError):
         scratch(session(None, "spark://host"), "x")
+
+
+def test_approval_stream_asks_the_state_per_bucket(spark, tmp_path):
+    completed = [(f"e{i}", 1, i, "x", "c", 0.5) for i in range(60)] + [(None, 1, 100, "x", "c", None)]
+    made = [(f"e{i}", t, 1000 * t + i, "approved", "r", "y") for t in (2, 5) for i in range(0, 60, 2)] + [(None, 3, 9, "rejected", "r", None)]
+    late = [("e1", 9, 9001, "approved", "r", None), ("e2", 9, 9002, "approved", "r", None), ("f", 9, 9003, "approved", "r", None)]
+    c, schema = completed_frame(spark, completed), decision_frame(spark, made)
+    folder = str(tmp_path / "buckets")
+    SA.union_events(c, schema).coalesce(1).write.parquet(folder)
+    SA.union_events(c.limit(0), decision_frame(spark, late)).coalesce(1).write.mode("append").parquet(folder)
+    events = SA.union_events(c, schema)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, SA.ROCKSDB)
+    try:
+        query = SA.approval_stream(stream, buckets=2).writeStream.format("memory").queryName("buckets").option("checkpointLocation", str(tmp_path / "cp"))
+        query = query.trigger(availableNow=True).start()
+        query.awaitTermination()
+        state = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    finally:
+        spark.conf.set(key, before)
+    got = {(r["encounter_id"], r["seq"]): r["outcome"] for r in spark.table("buckets").collect()}
+    want = {(f"e{i}", 1000 * t + i): "accepted" if t == 2 else "conflict" for t in (2, 5) for i in range(0, 60, 2)}
+    assert got == want | {(None, 9): "accepted", ("e1", 9001): "accepted", ("e2", 9002): "conflict", ("f", 9003): "not_found"}
+    assert state and max(state) <= 2  # one value a bucket, not one an encounter
