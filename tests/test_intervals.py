@@ -112,3 +112,33 @@ def test_alert_stream_equals_the_batch_form(spark, tmp_path):
     with rocksdb(spark):
         out = run_to_table(AL.alert_stream(stream, F.col("series"), F.col("bad") == 1, 300, 1500, "1 hour"), "alerts", "append")
     assert sorted((r["series"], r["event"], r["at"]) for r in out.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("spread,chunk,batch", [(100, 50, 7), (100, 3000, 64), (0, None, 10_000), (10_000, None, 5)])
+def test_edge_bans_in_one_stream_and_in_chunks(spark, spread, chunk, batch):
+    rng, rows = random.Random(spread + batch), []
+    for i in range(2500):
+        client = rng.choice(["hot", "hot", f"c{rng.randrange(40)}", None])
+        rows.append((i, client, rng.choice([rng.randrange(20_000), 10**9 + rng.randrange(20_000)])))
+    df = spark.createDataFrame(rows, "log_id long, client string, t int").withColumn("ts", F.timestamp_seconds("t"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, batch)
+    try:
+        got = {r["log_id"]: r for r in N.edge_bans(df, 4, 60, 45, chunk_seconds=chunk, spread=spread).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert len(got) == len(rows)
+    for client in {r[1] for r in rows}:
+        own = sorted((t, i) for i, c, t in rows if c == client)
+        for (_, i), end in zip(own, plain_bans([t for t, _ in own], 4, 60, 45), strict=True):
+            assert (got[i]["ban_end"] or 0) == (0 if end == N.NEVER else end * 10**6) and got[i]["allowed"] == (end == N.NEVER)
+
+
+def test_summary_of_a_dense_chunk_is_small():
+    times = np.sort(np.random.default_rng(5).integers(0, 16 * 9_000 * 10**6, 100_000))
+    summary = N.edge_summary(times, 3, 3_600 * 10**6, 5_400 * 10**6)
+    assert len(summary["upto"]) < 5_000  # it was one step for most requests of the last window and ban
+    for until in (int(times[0]) - 1, int(times[0]) + 5_399 * 10**6):
+        ends, state = N._judged(times, 3, 3_600 * 10**6, 5_400 * 10**6, (N.BANNED, until, 0))
+        assert len(ends) == len(times) and state == N.state_after((N.BANNED, until, 0), summary, 3, 3_600 * 10**6, 5_400 * 10**6)
