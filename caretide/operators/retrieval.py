@@ -11,6 +11,8 @@ from caretide.operators.keyed import top_per_group
 from caretide.operators.screening import filter_not_expired
 
 DISTANCE_DIGITS = 12
+#: Protocols of a block, which one task holds, and cells of a matrix of distances that it works on at a time.
+BLOCK, CELLS = 50_000, 4_000_000
 _NUMBER, _NAN, _NULL = 0, 1, 2
 _FOUND = "query_id string, layer int, id string, kind int, distance double"
 
@@ -48,7 +50,8 @@ class Block:
         self.dim = 0
 
     def top(self, queries: pd.DataFrame, k: int, step: int = 256) -> pd.DataFrame:
-        """By layer, kind, distance, id."""
+        """By layer, kind, distance, id; up to ``step`` queries at a time, fewer in a large block."""
+        step = max(1, min(step, CELLS // max(len(self.ids), 1)))
         dim = _dim(self.embedding, queries["embedding"])
         if dim != self.dim:
             self.dim, (self.unit, self.zero) = dim, _unit(self.embedding, dim)
@@ -117,15 +120,17 @@ def layer_of(source_type: Column) -> Column:
 
 
 def nearest(
-    queries: DataFrame, protocols: DataFrame, k: int, blocks: int = 1, chunks: int | None = None
+    queries: DataFrame, protocols: DataFrame, k: int, blocks: int | None = None, chunks: int | None = None
 ) -> DataFrame:
     """Top ``k`` of ``protocols`` (id, layer, embedding) for every row of ``queries`` (query_id, embedding).
 
     Queries are hashed into ``chunks`` and protocols into ``blocks``; every (chunk, block) multiplies matrices in one task
     and keeps ``k`` candidates per query. Top-k merges, so the last step only ranks ``k`` rows per query and block.
-    Nothing runs before the caller's action. A task holds one block: choose ``blocks`` for at most about 10^5 protocols
-    each. See ``metric_index.search`` for a way that skips blocks.
+    A task holds one block. Unless ``blocks`` is given, one job counts the protocols, so that a block has about BLOCK of
+    them however many there are; otherwise nothing runs before the caller's action. See ``metric_index.search`` for a way
+    that skips blocks.
     """
+    blocks = blocks or max(1, -(-protocols.count() // BLOCK))
     q = queries.select("query_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     p = protocols.select("id", "layer", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     return rank_found(visit(q, p, k, chunks), k)

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +128,38 @@ def test_seeding_twice_changes_nothing(spark):
     seeds = spark.createDataFrame([("a", 1), ("b", 1)], "title string, version int")
     once = P.seed_protocols(seeds.limit(0), seeds)
     assert P.seed_protocols(once, seeds).count() == 2
+
+
+def test_memory_of_a_block_does_not_follow_the_pairs():
+    rng = np.random.default_rng(0)
+    n = 60_000
+    block = R.Block(pd.DataFrame({"layer": 0, "id": [f"p{i:06d}" for i in range(n)], "embedding": list(rng.normal(size=(n, 4)))}))
+    queries = pd.DataFrame({"query_id": [f"q{i}" for i in range(300)], "embedding": list(rng.normal(size=(300, 4)))})
+    block.top(queries.head(1), 5)  # the units of the block
+    tracemalloc.start()
+    found = block.top(queries, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 1500 and peak < 400e6  # 256 queries at a time took 492 MB
+
+
+def test_blocks_follow_the_number_of_protocols(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(f"p{i}", i % 2, rng.normal(size=3).tolist()) for i in range(40)]
+    p = spark.createDataFrame(rows, "id string, layer int, embedding array<double>")
+    q = p.select(F.col("id").alias("query_id"), "embedding")
+    want = {tuple(r) for r in R.nearest(q, p, 3, blocks=1).select("query_id", "id", "rank").collect()}
+    monkeypatch.setattr(R, "BLOCK", 7)
+    visited = []
+    monkeypatch.setattr(R, "visit", lambda routed, *rest, visit=R.visit: visited.append(routed.select("block").distinct().count()) or visit(routed, *rest))
+    assert {tuple(r) for r in R.nearest(q, p, 3).select("query_id", "id", "rank").collect()} == want and visited == [6]
+
+
+def test_routed_queries_are_given_out_in_pieces(monkeypatch):
+    rng = np.random.default_rng(2)
+    cells = M.Cells(np.eye(3), np.zeros(3, int), np.zeros(3, int), np.arange(3), np.full(3, 0.5), np.full(3, 4), np.array([0, 20, 40]), np.full(3, 20))
+    frame = pd.DataFrame({"query_id": [str(i) for i in range(50)], "embedding": list(rng.normal(size=(50, 3))), "kth": None})
+    whole = pd.concat([*M._routes(frame, cells, 4, True)])
+    monkeypatch.setattr(M, "ROUTED", 100)
+    pieces = [*M._routes(frame, cells, 4, True)]
+    assert max(map(len, pieces)) <= 100 and pd.concat(pieces)[["query_id", "block"]].values.tolist() == whole[["query_id", "block"]].values.tolist()
