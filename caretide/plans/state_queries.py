@@ -144,7 +144,9 @@ def full_events(spark, d):
 @query("approval_entries", FULL_ENTRY)
 def approval_entries(spark, d):
     """Every entry with patient, result, check, audit reference and review."""
-    entries = A.replay(A.rounds(full_events(spark, d))).entries
+    events = full_events(spark, d)
+    tasks = A.tasks_for(events)
+    entries = A.replay(A.rounds(events, partitions=tasks), partitions=tasks).entries
     return entries.withColumns({c: epoch(c) for c in ("created_at", "updated_at", "reviewed_at")})
 
 

@@ -88,3 +88,34 @@ def test_null_encounters_and_empty_batches(spark, tmp_path):
     assert T.advance(None, none).isEmpty()
     events = A.approval_events(completed, decisions)
     assert A.replay(T.advance(None, events.limit(0))).verdicts.isEmpty()
+
+
+def test_tasks_follow_the_events(spark, monkeypatch):
+    from caretide.operators import approvals as A
+    from tests.test_state import completed_frame, decision_frame
+
+    completed = completed_frame(spark, [(f"e{i % 23}" if i % 3 else "hot", i * 50, i, f"x{i}", "c", 0.5) for i in range(300)])
+    made = decision_frame(spark, [(f"e{i % 29}" if i % 3 else "hot", i * 70, 10_000 + i, "approved" if i % 2 else "rejected", f"r{i}", "y") for i in range(300)])
+    names = ("verdicts", "queue", "approved", "feedback", "entries", "sessions")
+    for idempotent in (False, True):
+        few = A.approval_state_machine(completed, made, idempotent)
+        want = {n: sorted(map(str, getattr(few, n).collect())) for n in names}
+        monkeypatch.setattr(A, "TASK_EVENTS", 60)
+        monkeypatch.setattr(A, "SPAN", 4)
+        many = A.approval_state_machine(completed, made, idempotent)
+        assert A.tasks_for(completed, made) == 10
+        assert "hashpartitioning(encounter_id" in (plan := many.entries._jdf.queryExecution().executedPlan().toString()) and ", 10)" in plan
+        assert {n: sorted(map(str, getattr(many, n).collect())) for n in names} == want
+        monkeypatch.undo()
+
+
+def test_batches_of_several_files(spark, tmp_path, monkeypatch):
+    from caretide.plans import stream_queries as Q
+
+    df = spark.range(100).selectExpr("id", "timestamp_seconds(id) AS ts")
+    monkeypatch.setattr(Q, "FILE_ROWS", 9)
+    stream, seen = Q.in_files(df, str(tmp_path / "in"), "ts", 4), []
+    writer = stream.writeStream.foreachBatch(lambda batch, _: seen.append(sorted((r["id"], len(batch.inputFiles())) for r in batch.collect())))
+    writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 4 and [i for rows in seen for i, _ in rows] == list(range(100))
+    assert len(spark.read.parquet(str(tmp_path / "in")).inputFiles()) == 12  # it was one file a batch
