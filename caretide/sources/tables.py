@@ -21,16 +21,19 @@ def read_encounters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 
 def write_partitioned(
-    df: DataFrame, path: str, keys: list[str], ts: str = "created_at", mode: str = "append", batch: int | None = None
+    df: DataFrame, path: str, keys: list[str], ts: str = "created_at", mode: str = "append", batch: int | None = None, tasks: int = 1
 ) -> None:
     """Day partitions, clustered by ``keys`` inside. With ``batch``, a folder per batch within each day; ``overwrite``
     then replaces that batch's folders alone.
 
     The rebalance hint shuffles by day and lets the adaptive planner split a busy day into several tasks and
-    merge quiet ones, so files come out near the advisory size; sorting keeps narrow key ranges per row group.
+    merge quiet ones, so files come out near the advisory size; sorting keeps narrow key ranges per row group. Where that
+    planner is off, as in a stream, a task would get whole days: with ``tasks``, so many take ranges of days, keys and times
+    that are about as long.
     """
     dated = df.withColumn("day", F.to_date(ts))
-    laid_out = dated.hint("rebalance", "day").sortWithinPartitions("day", *keys, ts)
+    spread = dated.repartitionByRange(tasks, "day", *keys, ts) if tasks > 1 else dated.hint("rebalance", "day")
+    laid_out = spread.sortWithinPartitions("day", *keys, ts)
     if batch is None:
         laid_out.write.mode(mode).partitionBy("day").parquet(path)
     else:

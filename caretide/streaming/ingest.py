@@ -13,6 +13,8 @@ from caretide.sources.tables import AUDIT_CLUSTER, FEEDBACK_CLUSTER, drop_folder
 
 #: A message is redelivered or first delivered late for as long as it is retained; nothing younger is dropped.
 WATERMARK = f"{S.MESSAGE_RETENTION_SECONDS} seconds"
+#: Messages of a batch that one task decodes, and that one task writes.
+TASK_ROWS = 250_000
 
 
 def read_topic(spark: SparkSession, fmt: str, options: dict[str, str], schema=None) -> DataFrame:
@@ -73,17 +75,22 @@ def audit_stream(stream: DataFrame, out: str, checkpoint: str, once: bool = Fals
     files of days that are over.
     """
 
+    known = "publish_time" in stream.columns
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        judged = judge_messages(batch).persist()
+        # few large splits would be few large tasks; those of dedup are dealt out already, and not to be run twice
+        splits = 1 if known else -(-batch.count() // TASK_ROWS)
+        judged = judge_messages(batch.repartition(splits) if splits > 1 else batch).persist()
         try:
+            tasks = -(-judged.count() // TASK_ROWS)
             parts = split_audit_batch(judged)
-            write_partitioned(parts["audit_trail"], f"{out}/audit_trail", AUDIT_CLUSTER, mode="overwrite", batch=batch_id)
-            write_partitioned(parts["classifier_feedback"], f"{out}/classifier_feedback", FEEDBACK_CLUSTER, mode="overwrite", batch=batch_id)
+            write_partitioned(parts["audit_trail"], f"{out}/audit_trail", AUDIT_CLUSTER, mode="overwrite", batch=batch_id, tasks=tasks)
+            write_partitioned(parts["classifier_feedback"], f"{out}/classifier_feedback", FEEDBACK_CLUSTER, mode="overwrite", batch=batch_id, tasks=tasks)
             parts["rejects"].write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}")
         finally:
             judged.unpersist()
 
-    unique = dedup_stream(stream) if "publish_time" in stream.columns else stream
+    unique = dedup_stream(stream) if known else stream
     return start(unique.writeStream.foreachBatch(write), checkpoint, once, seconds).start()
 
 

@@ -165,3 +165,13 @@ def test_approval_stream_asks_the_state_per_bucket(spark, tmp_path):
     want = {(f"e{i}", 1000 * t + i): "accepted" if t == 2 else "conflict" for t in (2, 5) for i in range(0, 60, 2)}
     assert got == want | {(None, 9): "accepted", ("e1", 9001): "accepted", ("e2", 9002): "conflict", ("f", 9003): "not_found"}
     assert state and max(state) <= 2  # one value a bucket, not one an encounter
+
+
+def test_audit_stream_spreads_a_busy_day(spark, tmp_path, monkeypatch):
+    doc = {"node": "extractor", "timestamp": "2026-01-01T10:00:00Z"}
+    rows = [(str(i), base64.b64encode(json.dumps(doc | {"encounter_id": f"e{i}"}).encode()).decode()) for i in range(1000)]
+    stream = as_stream(spark, tmp_path, spark.createDataFrame(rows, "message_id string, data string"), "in")
+    monkeypatch.setattr(I, "TASK_ROWS", 200)
+    I.audit_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination()
+    written = spark.read.parquet(str(tmp_path / "out" / "audit_trail"))
+    assert written.count() == 1000 and len(written.inputFiles()) > 2  # it was one task and file for the day
