@@ -109,6 +109,23 @@ def test_tasks_follow_the_events(spark, monkeypatch):
         monkeypatch.undo()
 
 
+def test_tasks_hold_few_events_also_where_the_session_has_more_partitions(spark, monkeypatch):
+    from caretide.operators import approvals as A
+    from tests.test_state import completed_frame, decision_frame
+
+    completed = completed_frame(spark, [(f"e{i % 23}", i * 50, i, f"x{i}", "c", 0.5) for i in range(300)])
+    made = decision_frame(spark, [(f"e{i % 29}", i * 70, 10_000 + i, "approved" if i % 2 else "rejected", f"r{i}", "y") for i in range(300)])
+    want = A.approval_state_machine(completed, made)
+    assert A.tasks_for(completed, made) is None
+    monkeypatch.setattr(A, "TASK_EVENTS", 200)  # three tasks, and the session's shuffles have eight
+    got = A.approval_state_machine(completed, made)
+    for name in ("verdicts", "queue", "approved", "feedback", "entries", "sessions"):
+        frame = getattr(got, name)
+        rows = sorted(map(str, frame.collect()))
+        assert rows == sorted(map(str, getattr(want, name).collect())), name
+        assert ", 3), REPARTITION_BY_NUM" in frame._jdf.queryExecution().executedPlan().toString(), name
+
+
 def test_batches_of_several_files(spark, tmp_path, monkeypatch):
     from caretide.plans import stream_queries as Q
 
