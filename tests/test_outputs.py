@@ -127,3 +127,17 @@ def test_retries(spark):
     df = spark.createDataFrame(rows, "encounter_id string, attempt int, should_retry boolean, validated boolean, compliance_flags array<string>")
     got = {r["encounter_id"]: (r["attempt"], r["compliance_flags"]) for r in O.resolve_retries(df, ["encounter_id"], []).collect()}
     assert got == {"a": (0, ["A0"]), "b": (1, ["B0", "B1"]), "c": (2, ["C0", "C1", "C2", "FHIR_RETRY_EXHAUSTED"])}
+
+
+def test_one_row_group_of_responses_becomes_several_tasks(spark, tmp_path, monkeypatch):
+    from __spark_entry__ import queries
+    from caretide.plans import inputs
+
+    ids = F.when(F.col("id") % 50 > 0, F.col("id") % 900)  # null and repeated ids too
+    spark.range(1000).select(ids.alias("event_id"), (F.col("id") % 7).alias("user_id")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    whole = sorted(map(str, queries()["validate"](spark, str(tmp_path)).collect()))
+    assert len(whole) == 1000
+    monkeypatch.setattr(inputs, "TASK_ROWS", 150)
+    dealt = inputs.load(spark, str(tmp_path), "responses")
+    assert dealt.rdd.getNumPartitions() == 7
+    assert sorted(map(str, queries()["validate"](spark, str(tmp_path)).collect())) == whole
