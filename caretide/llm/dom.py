@@ -210,6 +210,40 @@ def blocks(node: Node, furniture: bool = False) -> list[tuple[Node, str]]:
     return out
 
 
+def places(region: Node) -> tuple[list[tuple[str, str]], list[tuple[int, str]]]:
+    """Elements of a content region by address, as (address, path), and its blocks outside page furniture in page order, as
+    (position of their element, text).
+
+    A path has the signs from the region down. An address has with each the number of the run of neighbours of that sign
+    among its siblings, so it follows the layout of a page and not its length: elements of one run share it."""
+    at: dict[str, int] = {}
+    elements: list[tuple[str, str]] = []
+    texts: list[tuple[int, str]] = []
+    stack: list[tuple] = [(region, region.sign, region.sign)]
+    while stack:
+        x = stack.pop()
+        if len(x) == 2:
+            texts.append(x)
+            continue
+        node, address, path = x
+        i = at.setdefault(address, len(elements))
+        if i == len(elements):
+            elements.append((address, path))
+        below: list[tuple] = []
+        runs: dict[str, int] = {}
+        last = None
+        for c in node.children:
+            if isinstance(c, str):
+                below.append((i, c))
+            elif not c.furniture:
+                if c.sign != last:
+                    last = c.sign
+                    runs[last] = runs.get(last, 0) + 1
+                below.append((c, f"{address}/{last}#{runs[last]}", f"{path}/{last}"))
+        stack += reversed(below)
+    return elements, texts
+
+
 def relieve(root: Node) -> None:
     """Takes elements that are furniture by a word alone for content if they or articles in them hold most of the text of
     the page. Those named so as a whole (``comments`` but not ``has-comments`` is a name) stay furniture, and their text
@@ -277,12 +311,11 @@ def content_region(root: Node) -> Node:
 
 @dataclass(slots=True)
 class Slot:
-    """A node of a wrapper: how many pages have it, and what they hold there."""
+    """A node of the element tree of a page, and what it holds."""
 
     sign: str
     texts: dict[str, int]
     children: list["Slot"]
-    pages: int = 1
 
 
 def skeleton(node: Node) -> Slot:
@@ -334,22 +367,3 @@ def tree_match(a: Slot, b: Slot) -> tuple[int, list[tuple[int, int]]]:
             i, j = i - 1, j - 1
             pairs.append((i, j))
     return 1 + best[n][m], pairs[::-1]
-
-
-def merge(wrapper: Slot, page: Slot) -> None:
-    """Aligns a page with the wrapper; what it has alone is added as an optional part."""
-    wrapper.pages += 1
-    for text, n in page.texts.items():
-        wrapper.texts[text] = wrapper.texts.get(text, 0) + n
-    _, pairs = tree_match(wrapper, page)
-    met = {j for _, j in pairs}
-    for i, j in pairs:
-        merge(wrapper.children[i], page.children[j])
-    at = dict((j, i) for i, j in pairs)
-    shift, last = 0, -1
-    for j, child in enumerate(page.children):
-        if j in met:
-            last = at[j]
-        else:
-            shift += 1
-            wrapper.children.insert(last + shift, child)

@@ -210,3 +210,23 @@ def test_template_of_numbered_elements_and_of_each_layout():
     template = frozenset(html_extract.template_texts(numbered + plain))
     assert {t.split("\t")[1] for t in template} == {"Read this every day", "Other notice"}
     assert [html_extract.main_text(h, template) for h in (numbered[3], plain[3])] == [data.prose(3, 20), data.prose(53, 20)]
+
+
+def test_rare_layout_of_a_large_host_is_learnt(spark):
+    def page(i):
+        if i % 50 == 0:  # six pages of three hundred
+            return f"<main class='rare'><p>Seldom seen notice</p><div><p>{data.prose(i, 20)}</p></div></main>"
+        tail = "<ul><li>x</ul><p>Only here, but always</p>" if i % 10 == 1 else ""
+        return f"<article><p>{data.prose(i, 20)}</p>{tail}<section>Read this every day</section></article>"
+
+    htmls = [page(i) for i in range(300)]
+    rows = [(i, f"http://hot.example/{i}", h) for i, h in enumerate(htmls)] + [(1000 + i, "http://hot.example/copy", htmls[2]) for i in range(900)]
+    rows += [(None, "http://hot.example/none", None), (None, None, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    template = frozenset(html_extract.template_texts(htmls))
+    assert {t.split("\t")[1] for t in template} == {"Seldom seen notice", "Only here, but always", "x", "Read this every day"}
+    want = sorted((str(i), html_extract.main_text(h or "", template)) for i, _, h in rows)
+    got = html_extract.extract(pages).collect()
+    assert sorted((str(r["page_id"]), r["text"]) for r in got) == want
+    assert got[0]["n_chars"] == len(got[0]["text"])
+    assert ("0", data.prose(0, 20)) in want and ("1", data.prose(1, 20)) in want
