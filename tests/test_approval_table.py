@@ -126,6 +126,31 @@ def test_tasks_hold_few_events_also_where_the_session_has_more_partitions(spark,
         assert ", 3), REPARTITION_BY_NUM" in frame._jdf.queryExecution().executedPlan().toString(), name
 
 
+def test_partitions_stay_where_tasks_write_shuffles_unsorted(spark, monkeypatch):
+    from caretide.operators import approvals as A
+
+    events = spark.range(600)
+    monkeypatch.setattr(A, "TASK_EVENTS", 2)
+    assert A.tasks_for(events) == 200  # it was 300, and the tasks before the shuffle held all that they read
+    monkeypatch.setattr(A, "MOST_EVENTS", 2)
+    assert A.tasks_for(events) == 300
+
+
+def test_carry_between_chunks_holds_no_keys(spark):
+    from caretide.operators import approvals as A
+    from tests.test_state import completed_frame, decision_frame
+
+    # chunks of a minute: decisions before any round, a round decided two chunks later, chunks of decisions alone, a round left open
+    completed = completed_frame(spark, [("a", 60, 1, "x", "c", 0.5), ("a", 61, 2, "x", "c", 0.5), ("a", 300, 3, "x", "c", 0.5), ("b", 0, 4, "x", "c", 0.5)])
+    made = decision_frame(spark, [(e, t, 10 + t, "approved", "r", "y") for e, t in [("a", 1), ("a", 181), ("a", 182), ("a", 241), ("a", 301), ("b", 119)]])
+    history = A.rounds(A.approval_events(completed, made), 60, 2)
+    got = [(r["encounter_id"], r["seq"], r["round"], r["accepted"]) for r in history.filter("kind = 1").orderBy("encounter_id", "seq").collect()]
+    assert got == [("a", 11, 0, False), ("a", 191, 2, True), ("a", 192, 2, False), ("a", 251, 2, False), ("a", 311, 3, True), ("b", 129, 1, True)]
+    plan = history._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan  # four of them held a row per round of a task
+    assert plan.split("Initial Plan")[-1].count("Window [") == 3  # it was five
+
+
 def test_batches_of_several_files(spark, tmp_path, monkeypatch):
     from caretide.plans import stream_queries as Q
 
