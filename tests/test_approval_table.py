@@ -1,6 +1,7 @@
 """The table of approval entries must move as the status machine says, batch by batch and run again."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -161,3 +162,55 @@ def test_batches_of_several_files(spark, tmp_path, monkeypatch):
     writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert len(seen) == 4 and [i for rows in seen for i, _ in rows] == list(range(100))
     assert len(spark.read.parquet(str(tmp_path / "in")).inputFiles()) == 12  # it was one file a batch
+
+
+def shuffles(spark):
+    return spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+
+
+def test_batches_in_slices(spark, tmp_path, monkeypatch):
+    completed, decisions = history(spark, 240, seed=7)
+    completed = completed.unionByName(completed.limit(3).withColumn("encounter_id", F.lit(None).cast("string")))
+    want = A.approval_state_machine(completed.filter("encounter_id IS NOT NULL"), decisions)
+    events = A.approval_events(completed, decisions)
+    monkeypatch.setattr(T, "SLICE_EVENTS", 30)
+    modes, left = [], []
+    advance, drop = T.advance, T.drop_shuffles
+    monkeypatch.setattr(T, "advance", lambda previous, some, *rest, **more: modes.append(some.count()) or advance(previous, some, *rest, **more))
+
+    def dropped(spark):
+        drop(spark)
+        for _ in range(100):  # files go in a thread of their own
+            if shuffles(spark) == 0:
+                break
+            time.sleep(0.05)
+        left.append(shuffles(spark))
+
+    monkeypatch.setattr(T, "drop_shuffles", dropped)
+    got = run(spark, str(tmp_path), events, [120])
+    assert len(modes) > 5 and sum(modes) == 243 and sum(n > 30 for n in modes) == 2  # the hot encounter is whole
+    assert len(left) > len(modes) and max(left[2:]) == 0  # the first ones drop what other tests left; files of all slices were there together
+    assert rows(got) == rows(want.entries)
+    for name in ("verdicts", "approved", "feedback"):
+        assert rows(spark.read.parquet(f"{tmp_path}/{name}").drop("batch", "round")) == rows(getattr(want, name).drop("round")), name
+    # slices are appended to what the first one of a batch that runs again replaces
+    schema = T.entry_schema(events)
+    monkeypatch.setattr(T, "SLICE_EVENTS", 5)
+    T._compact(spark, str(tmp_path), schema, 1, 2)
+    assert len(left) > len(modes) + 3
+    assert rows(T.read_version(spark, str(tmp_path), schema, 2, 2)) == rows(want.entries)
+
+
+def test_files_of_a_batch_go_when_it_is_over(spark, tmp_path, monkeypatch):
+    from caretide.plans import stream_queries as Q
+
+    monkeypatch.setattr(Q, "FILE_ROWS", 9)
+    for n in (1, 8):  # partitions
+        df = spark.range(0, 100, 1, n).selectExpr("id", "timestamp_seconds(id) AS ts")
+        if n == 8:  # rows are not shuffled
+            monkeypatch.setattr(type(df), "repartition", None)
+        stream, seen = Q.in_files(df, str(tmp_path / f"in{n}"), "ts", 4, keep=False), []
+        writer = stream.writeStream.foreachBatch(lambda batch, _: seen.append(sorted(r["id"] for r in batch.collect())))
+        writer.option("checkpointLocation", str(tmp_path / f"cp{n}")).trigger(availableNow=True).start().awaitTermination()
+        assert len(seen) == 4 and sum(seen, []) == list(range(100))
+        assert 3 <= len(spark.read.schema(df.schema).parquet(str(tmp_path / f"in{n}")).inputFiles()) < 12
