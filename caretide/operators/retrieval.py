@@ -13,6 +13,8 @@ from caretide.operators.screening import filter_not_expired
 DISTANCE_DIGITS = 12
 #: Protocols of a block, which one task holds, and cells of a matrix of distances that it works on at a time.
 BLOCK, CELLS = 50_000, 4_000_000
+#: Pairs whose exact distances are computed at a time.
+PAIRS = 65_536
 _NUMBER, _NAN, _NULL = 0, 1, 2
 _FOUND = "query_id string, layer int, id string, kind int, distance double"
 
@@ -78,6 +80,45 @@ class Block:
             )
         return pd.concat(out, ignore_index=True)
 
+    def closer(self, queries: pd.DataFrame, kth: np.ndarray, k: int, step: int = 256) -> pd.DataFrame:
+        """As ``top``, with the place of a query instead of its id and without what comes after the key ``kth`` that a
+        query has for its last place already.
+
+        Where all have numbers in one layer, products of single precision leave out what cannot be among the first, and
+        the distances of what remains are exact.
+        """
+        at = pd.Series(np.arange(len(queries)), dtype=np.int64)
+        own = queries.assign(query_id=at.to_numpy())
+        dim = _dim(self.embedding, queries["embedding"])
+        if dim != self.dim:
+            self.dim, (self.unit, self.zero) = dim, _unit(self.embedding, dim)
+        q, q_zero = _unit(queries["embedding"], dim)
+        plain = ~(queries["embedding"].isna().to_numpy() | q_zero) & np.isfinite(q).all(axis=1)
+        if self.missing.any() or self.zero.any() or (self.layer != self.layer[0]).any() or not np.isfinite(self.unit).all():
+            plain[:] = False
+        out = [self.top(own[~plain], k)] if not plain.all() else []
+        places, q = np.flatnonzero(plain), q[plain]
+        margin = (dim + 8) * 6e-8 + 1e-9  # of a product of unit vectors in single precision
+        least = (1 - (kth[plain] - self.layer[0] * 100.0) - margin).astype(np.float32)
+        short, units, n = q.astype(np.float32), self.unit.astype(np.float32), len(self.ids)
+        step = max(1, min(step, CELLS // n))
+        for start in range(0, len(q), step):
+            cos = short[start : start + step] @ units.T
+            near = cos >= least[start : start + step, None]
+            many = np.count_nonzero(near, axis=1) > 4 * k + 16 if n > k else np.zeros(len(cos), bool)
+            if many.any():
+                some = cos[many]
+                near[many] &= some >= (np.partition(some, n - k, axis=1)[:, n - k] - 2 * margin).astype(np.float32)[:, None]
+            row, column = np.nonzero(near)
+            exact = [np.einsum("ij,ij->i", q[start + row[i : i + PAIRS]], self.unit[column[i : i + PAIRS]]) for i in range(0, len(row), PAIRS)]
+            distance = np.round(1.0 - np.concatenate(exact), DISTANCE_DIGITS) if exact else np.zeros(0)
+            order = np.lexsort((distance, row))  # of equal ones by column, that is by id
+            row, column, distance = row[order], column[order], distance[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, column, distance = row[first], column[first], distance[first]
+            out.append(pd.DataFrame({"query_id": places[start + row], "layer": self.layer[column], "id": self.ids[column], "kind": np.int64(_NUMBER), "distance": distance}))
+        return pd.concat([o for o in out if len(o)] or out, ignore_index=True)
+
 
 def visit(routed: DataFrame, protocols: DataFrame, k: int, chunks: int | None = None) -> DataFrame:
     """Top ``k`` of each block for the queries routed to it (query_id, embedding, block); protocols have id, layer,

@@ -163,3 +163,49 @@ def test_routed_queries_are_given_out_in_pieces(monkeypatch):
     monkeypatch.setattr(M, "ROUTED", 100)
     pieces = [*M._routes(frame, cells, 4, True)]
     assert max(map(len, pieces)) <= 100 and pd.concat(pieces)[["query_id", "block"]].values.tolist() == whole[["query_id", "block"]].values.tolist()
+
+
+def found(top):
+    return sorted(str((r["query_id"], r["rank"], r["id"], r["layer"], r["kind"], round(r["distance"], 11) + 0.0)) for r in top.collect())
+
+
+def test_pruned_search_shuffles_queries_once_and_equals_nearest(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = [rng.normal(size=6).round(1).tolist() for _ in range(9)]
+    protocols = [(None if i % 10 == 9 else f"p{i % 37:02d}", i % 2, base[i % 9]) for i in range(60)]  # copies, ids that repeat, ids that are missing
+    protocols += [("zero", 0, [0.0] * 6), ("none", 0, None), ("none", 1, None)]
+    queries = [(f"q{i % 12}", rng.normal(size=6).tolist()) for i in range(16)] + [("q0", base[0]), ("q0", base[0]), (None, base[1]), (None, base[2]), ("z", [0.0] * 6), ("n", None)]
+    q = spark.createDataFrame(queries, "query_id string, embedding array<double>")
+    p = spark.createDataFrame(protocols, "id string, layer int, embedding array<double>")
+    for k in (1, 5, 40, 200):
+        want = found(R.nearest(q, p, k, 2, 2))
+        for pivots, block, visits in ((1, 1_000, 4_000_000), (5, 4, 20)):
+            monkeypatch.setattr(M, "VISITS", visits)
+            index = M.build(p, pivots, block)
+            top, _ = M.search(q, index, k, 3)
+            assert found(top) == want
+            plan = top._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+            assert "explode" not in plan and plan.count("Exchange ") == 2  # copies of the protocols, and of the queries for every block, were shuffled
+            index[0].unpersist()
+
+
+@pytest.mark.parametrize("k", [1, 5, 700])
+def test_closer_protocols_are_those_of_top(monkeypatch, k):
+    rng = np.random.default_rng(4)
+    for size, odd in ((500, False), (500, True), (3, False)):
+        vectors = list(rng.normal(size=(size, 16)).astype(np.float32))
+        vectors[1::7] = [vectors[0]] * len(vectors[1::7])  # copies
+        if odd:
+            vectors[5], vectors[8] = None, np.zeros(16, np.float32)
+        block = R.Block(pd.DataFrame({"layer": 1, "id": [f"p{i:03d}" for i in range(size)], "embedding": vectors}))
+        asked = [*rng.normal(size=(30, 16)), vectors[0], np.zeros(16), None]
+        queries = pd.DataFrame({"query_id": [f"q{i}" for i in range(33)], "embedding": asked})
+        want = block.top(queries, k).assign(query_id=lambda t: t["query_id"].str[1:].astype(int))
+        order = lambda t: t.sort_values(["query_id"], kind="stable").round({"distance": 11}).reset_index(drop=True)
+        for pairs in (10, 65_536):
+            monkeypatch.setattr(R, "PAIRS", pairs)
+            pd.testing.assert_frame_equal(order(block.closer(queries, np.full(33, np.inf), k)), order(want), check_dtype=False)
+        kth = np.full(33, 100.7)
+        got = {*block.closer(queries, kth, k)[["query_id", "id"]].itertuples(index=False, name=None)}
+        must = want[want["layer"] * 100 + want["kind"] * 10 + want["distance"] <= 100.7]
+        assert {*must[["query_id", "id"]].itertuples(index=False, name=None)} <= got <= {*want[["query_id", "id"]].itertuples(index=False, name=None)}
