@@ -36,7 +36,9 @@ def retrieve(spark, d):
 def retrieve_pruned(spark, d):
     """The same by pivots and the triangle inequality, leaving out what cannot be among the first."""
     live = screening.filter_not_expired(load(spark, d, "protocols"), at(_AS_OF)).withColumn("layer", R.layer_of(F.col("source_type")))
-    top, _ = M.search(_query_vectors(spark, d), M.build(live), 5)
+    index = M.build(live)
+    top, _ = M.search(_query_vectors(spark, d), index, 5)
+    index[0].unpersist()
     return R.with_details(top, live).withColumn("similarity", F.round("similarity", 6))
 
 
